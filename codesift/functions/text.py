@@ -41,11 +41,26 @@ def has_odd_case(text: Column) -> Column:
     return F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
 
 
+def sql_text(value: str | None) -> str:
+    """A text as a Spark SQL literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def text_array(values) -> Column:
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")")
+
+
+def text_map(pairs: dict[str, str]) -> Column:
+    """A constant lookup table; folded to one literal by the optimizer."""
+    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in pairs.items()) + ")")
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    """True when the text holds one of the words.  ``text`` should be a plain
+    column or a bound variable: it is read once per word."""
+    return F.exists(text_array(words), lambda w: F.contains(text, w))
 
 
 def lines_of(text: Column) -> Column:

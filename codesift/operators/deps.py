@@ -312,29 +312,33 @@ def go_sum(text: Column) -> Column:
 _TOML_NAMES = ("pyproject.toml", "Pipfile")
 
 
-def _formats(text: Column, doc: Column, name: Column) -> dict[str, tuple[Column, Column]]:
-    """File test and expression per format."""
-    return {
-        "requirements.txt": (name == "requirements.txt", requirements_txt(text)),
-        "setup.py": (name == "setup.py", setup_py(text)),
-        "pyproject.toml": (name == "pyproject.toml", pyproject(doc)),
-        "Pipfile": (name == "Pipfile", pipfile(doc)),
-        "Pipfile.lock": (name == "Pipfile.lock", pipfile_lock(text)),
-        "package.json": (name == "package.json", package_json(text)),
-        "package-lock.json": (name.isin("package-lock.json", "npm-shrinkwrap.json"), package_lock(text, name)),
-        "yarn.lock": (name == "yarn.lock", yarn_lock(text)),
-        "composer.json": (name == "composer.json", composer_json(text)),
-        "composer.lock": (name == "composer.lock", composer_lock(text)),
-        "pom.xml": (name == "pom.xml", pom_xml(text)),
-        "build.gradle": (name.isin("build.gradle", "build.gradle.kts"), gradle(text, name)),
-        "csproj": (name.endswith(".csproj"), csproj(text, name)),
-        "packages.config": (name == "packages.config", packages_config(text)),
-        "project.json": (name == "project.json", project_json(text)),
-        "go.mod": (name == "go.mod", go_mod(text)),
-        "Gopkg.toml": (name == "Gopkg.toml", gopkg_toml(text)),
-        "Gopkg.lock": (name == "Gopkg.lock", gopkg_lock(text)),
-        "go.sum": (name == "go.sum", go_sum(text)),
-    }
+# File test and expression (of text, TOML document and file name) per format.
+FORMATS = {
+    "requirements.txt": (["requirements.txt"], lambda text, doc, name: requirements_txt(text)),
+    "setup.py": (["setup.py"], lambda text, doc, name: setup_py(text)),
+    "pyproject.toml": (["pyproject.toml"], lambda text, doc, name: pyproject(doc)),
+    "Pipfile": (["Pipfile"], lambda text, doc, name: pipfile(doc)),
+    "Pipfile.lock": (["Pipfile.lock"], lambda text, doc, name: pipfile_lock(text)),
+    "package.json": (["package.json"], lambda text, doc, name: package_json(text)),
+    "package-lock.json": (["package-lock.json", "npm-shrinkwrap.json"], lambda text, doc, name: package_lock(text, name)),
+    "yarn.lock": (["yarn.lock"], lambda text, doc, name: yarn_lock(text)),
+    "composer.json": (["composer.json"], lambda text, doc, name: composer_json(text)),
+    "composer.lock": (["composer.lock"], lambda text, doc, name: composer_lock(text)),
+    "pom.xml": (["pom.xml"], lambda text, doc, name: pom_xml(text)),
+    "build.gradle": (["build.gradle", "build.gradle.kts"], lambda text, doc, name: gradle(text, name)),
+    "csproj": (["*.csproj"], lambda text, doc, name: csproj(text, name)),
+    "packages.config": (["packages.config"], lambda text, doc, name: packages_config(text)),
+    "project.json": (["project.json"], lambda text, doc, name: project_json(text)),
+    "go.mod": (["go.mod"], lambda text, doc, name: go_mod(text)),
+    "Gopkg.toml": (["Gopkg.toml"], lambda text, doc, name: gopkg_toml(text)),
+    "Gopkg.lock": (["Gopkg.lock"], lambda text, doc, name: gopkg_lock(text)),
+    "go.sum": (["go.sum"], lambda text, doc, name: go_sum(text)),
+}
+_TOML_FORMATS = ("pyproject.toml", "Pipfile")
+
+
+def _named(name: Column, names: list[str]) -> Column:
+    return name.endswith(names[0][1:]) if names[0].startswith("*") else name.isin(names)
 
 
 def read_dependencies(files: DataFrame, formats: list[str] | None = None) -> DataFrame:
@@ -343,24 +347,17 @@ def read_dependencies(files: DataFrame, formats: list[str] | None = None) -> Dat
     Only TOML documents pass through Python, and only when a TOML format is
     asked for.
     """
-    name = tx.base_name(F.col("path"))
-    wanted = formats or list(_formats(F.col("text"), F.col("text"), name))
-    toml = any(f in _TOML_NAMES for f in wanted)
-    rows = find_manifests(files).select("file_id", "path", "language", "text", name.alias("_name"))
-    tests = _formats(F.col("text"), F.col("text"), F.col("_name"))
-    keep = F.lit(False)
-    for f in wanted:
-        keep = keep | tests[f][0]
-    rows = rows.where(keep)
-    if toml:
-        is_toml = F.col("_name").isin(*_TOML_NAMES)
-        rows = rows.withColumn("_doc", toml_as_json(F.when(is_toml, F.col("text"))))
-    else:
-        rows = rows.withColumn("_doc", F.lit(None).cast("string"))
+    wanted = formats or list(FORMATS)
+    name, text = F.col("_name"), F.col("text")
+    rows = find_manifests(files).select("file_id", "path", "language", "text", tx.base_name(F.col("path")).alias("_name"))
+    rows = rows.withColumn("_format", F.coalesce(*[F.when(_named(name, FORMATS[f][0]), f) for f in wanted]))
+    rows = rows.where(F.col("_format").isNotNull())
+    toml = [f for f in wanted if f in _TOML_FORMATS]
+    doc = toml_as_json(F.when(F.col("_format").isin(toml), text)) if toml else F.lit(None).cast("string")
+    rows = rows.withColumn("_doc", doc)
     value = F.lit(None).cast(DEP_TYPE)
     for f in wanted:
-        test, expr = _formats(F.col("text"), F.col("_doc"), F.col("_name"))[f]
-        value = F.when(test, expr.cast(DEP_TYPE)).otherwise(value)
+        value = F.when(F.col("_format") == f, FORMATS[f][1](text, F.col("_doc"), name).cast(DEP_TYPE)).otherwise(value)
     found = rows.select("file_id", "path", "language", F.posexplode_outer(value).alias("dep_no", "d"))
     return found.where(F.col("d").isNotNull()).select(
         "file_id", "path", "dep_no", "d.name", "d.version", "d.version_constraint", "language", "d.source")

@@ -241,7 +241,7 @@ def skipped_rules(rules: DataFrame) -> DataFrame:
 
 def dangerous_calls(facts: DataFrame) -> DataFrame:
     """Exact call names with a fixed type; the table is a literal map."""
-    kinds = F.create_map(*[F.lit(x) for pair in DANGEROUS_CALLS.items() for x in pair])
+    kinds = tx.text_map(DANGEROUS_CALLS)
     rows = of_kind(facts, "call").where(F.col("rooted")).withColumn("type", F.try_element_at(kinds, F.col("name")))
     return as_findings(
         rows.where(F.col("type").isNotNull()), "call",

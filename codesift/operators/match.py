@@ -34,43 +34,42 @@ def _label_names(rules: Sequence[Rule]) -> list[str]:
     return sorted({name for rule in rules for name in rule.labels})
 
 
-def _rule_struct(rule: Rule, names: list[str], flags: str) -> Column:
-    return F.struct(
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(tx.java_regex(rule.pattern, flags)).alias("pattern"),
-        *[F.lit(rule.labels.get(n)).cast("string").alias(n) for n in names],
-    )
+def _rule_sql(rule: Rule, names: list[str], flags: str) -> str:
+    fields = {"rule_id": rule.rule_id, "pattern": tx.java_regex(rule.pattern, flags)}
+    fields |= {n: rule.labels.get(n) for n in names}
+    return "named_struct(" + ", ".join(f"'{n}', {tx.sql_text(v)}" for n, v in fields.items()) + ")"
 
 
-def _applies(rule: Rule, group: Column | None, flags: str) -> Column:
+def _applies_sql(rule: Rule, grouped: bool, flags: str) -> str:
     """Cheap tests first: group, then literals, then the regex itself."""
-    test = F.col("text").rlike(tx.java_regex(rule.pattern, flags))
+    tests = []
+    if rule.group is not None and grouped:
+        tests.append(f"_group = {tx.sql_text(rule.group)}")
     if rule.hints:
-        hinted = tx.contains_any(F.col("_folded"), [h.upper() for h in rule.hints if not h.startswith("~")])
-        for probe in (h[1:] for h in rule.hints if h.startswith("~")):
-            hinted = hinted | F.col("text").rlike(probe)
+        hinted = [
+            f"text RLIKE {tx.sql_text(h[1:])}" if h.startswith("~") else f"contains(_folded, {tx.sql_text(h.upper())})"
+            for h in rule.hints]
         if "(?i)" in rule.pattern:
-            hinted = hinted | F.col("_odd_case")
-        test = hinted & test
-    if rule.group is not None and group is not None:
-        test = (group == rule.group) & test
-    return test
+            hinted.append("_odd_case")
+        tests.append("(" + " OR ".join(hinted) + ")")
+    tests.append(f"text RLIKE {tx.sql_text(tx.java_regex(rule.pattern, flags))}")
+    return " AND ".join(tests)
 
 
 def _pair_with_list(files, rules, group, keep, flags) -> DataFrame:
     names = _label_names(rules)
-    catalogue = F.array(*[_rule_struct(r, names, flags) for r in rules])
-    if any(r.hints for r in rules):
-        files = files.withColumns(
-            {"_folded": F.upper("text"), "_odd_case": tx.has_odd_case(F.col("text"))}
-        )
-    hits = F.array_compact(
-        F.array(*[F.when(_applies(r, group, flags), F.lit(i)) for i, r in enumerate(rules)])
-    )
+    rows = files.select(
+        *keep, "text",
+        *([group.alias("_group")] if group is not None else []),
+        *([F.upper("text").alias("_folded"), tx.has_odd_case(F.col("text")).alias("_odd_case")]
+          if any(r.hints for r in rules) else []))
+    cases = [f"CASE WHEN {_applies_sql(r, group is not None, flags)} THEN {i} END" for i, r in enumerate(rules)]
+    hits = F.expr("array_compact(array(" + ", ".join(cases) + "))")
+    catalogue = F.expr("array(" + ", ".join(_rule_sql(r, names, flags) for r in rules) + ")")
     # explode_outer + filter: a plain explode lets the optimizer infer
     # size(hits) > 0 below the projection and run every regex twice.
     return (
-        files.select(*keep, "text", hits.alias("_hits"))
+        rows.select(*keep, "text", hits.alias("_hits"))
         .select(*keep, "text", F.explode_outer("_hits").alias("_hit"))
         .where(F.col("_hit").isNotNull())
         .select(*keep, "text", F.get(catalogue, F.col("_hit")).alias("rule"))

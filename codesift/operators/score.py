@@ -9,41 +9,51 @@ from codesift.functions import text as tx
 
 
 def base_severity(kind: Column) -> Column:
-    levels = F.create_map(*[F.lit(x) for pair in cat.BASE_SEVERITY.items() for x in pair])
-    return F.coalesce(F.try_element_at(levels, kind), F.lit("Medium"))
+    return F.coalesce(F.try_element_at(tx.text_map(cat.BASE_SEVERITY), kind), F.lit("Medium"))
 
 
-def _word_factors(code: Column, words: list[str], sentence: str) -> list[Column]:
-    return [F.when(F.contains(code, F.lit(w)), F.lit(sentence.format(w))) for w in words]
+def _word_factors(code: Column, words: list[str], sentence: str) -> Column:
+    before, after = sentence.split("{}")
+    found = F.filter(tx.text_array(words), lambda w: F.contains(code, w))
+    return F.transform(found, lambda w: F.concat(F.lit(before), w, F.lit(after)))
 
 
 def keyword_factors(code: Column) -> tuple[Column, Column]:
     """Raising and lowering sentences for the words in a lower-cased line."""
     return (
-        F.array_compact(F.array(*_word_factors(code, cat.HIGH_RISK_WORDS, cat.HIGH_RISK_TEXT))),
-        F.array_compact(F.array(*_word_factors(code, cat.LOW_RISK_WORDS, cat.LOW_RISK_TEXT))),
+        tx.let(code, lambda c: _word_factors(c, cat.HIGH_RISK_WORDS, cat.HIGH_RISK_TEXT)),
+        tx.let(code, lambda c: _word_factors(c, cat.LOW_RISK_WORDS, cat.LOW_RISK_TEXT)),
     )
 
 
+def _no_texts() -> Column:
+    return F.expr("CAST(array() AS ARRAY<STRING>)")
+
+
+def _if(test: Column, sentence: str) -> Column:
+    return F.when(test, F.array(F.lit(sentence))).otherwise(_no_texts())
+
+
 def type_factors(kind: Column, code: Column) -> tuple[Column, Column]:
     """Further sentences for four types of finding."""
-    def has(*words: str) -> Column:
-        return tx.contains_any(code, list(words))
-
     command, sql = kind == "Command Execution", kind == "SQL Injection"
-    up = [
-        F.when(command & has("+", 'f"', "${", "%s"), F.lit(cat.DYNAMIC_COMMAND_TEXT)),
-        F.when(sql & has("+", "concat"), F.lit(cat.CONCATENATED_SQL_TEXT)),
-        *[F.when((kind == "Hard-coded Credentials") & has(w), F.lit(cat.HARD_CODED_TEXT.format(w)))
-          for w in cat.HARD_CODED_WORDS],
-    ]
-    parameters = ((has("?") & has("execute")) | has("%s")) & ~has("concatenat", "+")
-    down = [
-        F.when(command & has("validate", "sanitize", "escape"), F.lit(cat.VALIDATED_COMMAND_TEXT)),
-        F.when(sql & parameters, F.lit(cat.PARAMETERIZED_SQL_TEXT)),
-        F.when((kind == "XSS") & has("escape", "sanitize", "htmlspecialchars"), F.lit(cat.ENCODED_OUTPUT_TEXT)),
-    ]
-    return F.array_compact(F.array(*up)), F.array_compact(F.array(*down))
+
+    def raising(c: Column) -> Column:
+        return F.concat(
+            _if(command & tx.contains_any(c, ["+", 'f"', "${", "%s"]), cat.DYNAMIC_COMMAND_TEXT),
+            _if(sql & tx.contains_any(c, ["+", "concat"]), cat.CONCATENATED_SQL_TEXT),
+            F.when(kind == "Hard-coded Credentials", _word_factors(c, cat.HARD_CODED_WORDS, cat.HARD_CODED_TEXT))
+            .otherwise(_no_texts()))
+
+    def lowering(c: Column) -> Column:
+        asked = F.contains(c, F.lit("?")) & F.contains(c, F.lit("execute"))
+        parameters = (asked | F.contains(c, F.lit("%s"))) & ~tx.contains_any(c, ["concatenat", "+"])
+        return F.concat(
+            _if(command & tx.contains_any(c, ["validate", "sanitize", "escape"]), cat.VALIDATED_COMMAND_TEXT),
+            _if(sql & parameters, cat.PARAMETERIZED_SQL_TEXT),
+            _if((kind == "XSS") & tx.contains_any(c, ["escape", "sanitize", "htmlspecialchars"]), cat.ENCODED_OUTPUT_TEXT))
+
+    return tx.let(code, raising), tx.let(code, lowering)
 
 
 def with_factors(findings: DataFrame) -> DataFrame:

@@ -28,13 +28,13 @@ def rule_group(path: Column) -> Column:
 
 def rules_for_language(files: DataFrame) -> DataFrame:
     """Each file with the ids of the rules that apply to it."""
-    by_group = {}
+    by_group: dict[str, list[str]] = {}
     for r in pattern_rules(EXTENSION_GROUPS + [GENERIC]):
         by_group.setdefault(r.group, []).append(r.rule_id)
-    table = F.create_map(*[
-        x for g, ids in by_group.items() for x in (F.lit(g), F.array(*[F.lit(i) for i in ids]))])
+    table = F.split(F.try_element_at(
+        tx.text_map({g: " ".join(ids) for g, ids in by_group.items()}), rule_group(F.col("path"))), " ")
     group = rule_group(F.col("path"))
-    return files.select("file_id", "path", group.alias("rule_group"), F.explode(table[group]).alias("rule_id"))
+    return files.select("file_id", "path", group.alias("rule_group"), F.explode(table).alias("rule_id"))
 
 
 def match_rules(files: DataFrame, groups: list[str] | None = None, context: bool = False) -> DataFrame:
@@ -83,18 +83,18 @@ def search_functions(files: DataFrame, names: list[str]) -> DataFrame:
     flag = f"(?{MULTILINE})"
     choices = []
     for name in names:
-        first = None
-        for p in function_patterns(name):
-            hit = F.col("text").rlike(flag + p)
-            first = F.when(hit, F.lit(p)) if first is None else first.when(hit, F.lit(p))
-        named = F.contains("text", F.lit(name))
-        choices.append(F.when(named, F.struct(F.lit(name).alias("function"), first.alias("pattern"))))
+        forms = [flag + p for p in function_patterns(name)]
+        whens = " ".join(f"WHEN text RLIKE {tx.sql_text(p)} THEN {tx.sql_text(p)}" for p in forms)
+        choices.append(
+            f"CASE WHEN contains(text, {tx.sql_text(name)}) THEN "
+            f"named_struct('function', {tx.sql_text(name)}, 'pattern', CASE {whens} END) END")
+    choices = F.expr("array(" + ", ".join(choices) + ")")
     picked = (
-        files.select("file_id", "path", "text", F.explode_outer(F.array(*choices)).alias("c"))
+        files.select("file_id", "path", "text", F.explode_outer(choices).alias("c"))
         .where(F.col("c.pattern").isNotNull())
         .select("file_id", "path", "text", "c.function", "c.pattern")
     )
-    pattern = F.concat(F.lit(flag), F.col("pattern"))
+    pattern = F.col("pattern")
     found = tx.let(
         tx.lines_of(F.col("text")),
         lambda lines: tx.let(

@@ -60,12 +60,11 @@ def as_secret_rows(findings: DataFrame) -> DataFrame:
 
 
 def env_confidence(key: Column) -> Column:
-    low = F.lower(key)
-    return (
+    return tx.let(F.lower(key), lambda low: (
         F.when(tx.contains_any(low, cat.ENV_HIGH_WORDS), "High")
         .when(tx.contains_any(low, cat.ENV_MEDIUM_WORDS), "Medium")
         .otherwise("Low")
-    )
+    ))
 
 
 def env_pairs(files: DataFrame) -> DataFrame:

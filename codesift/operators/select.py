@@ -28,7 +28,7 @@ def env_files(files: DataFrame, extensions: list[str] | None = None) -> DataFram
 
 
 def with_language(files: DataFrame) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for pair in SUPPORTED_EXTENSIONS.items() for x in pair])
+    names = tx.text_map(SUPPORTED_EXTENSIONS)
     return files.withColumn("language", F.try_element_at(names, tx.extension(F.col("path"))))
 
 
@@ -53,8 +53,8 @@ def exclude_dirs_files(
 
 
 def severity_rank(severity: Column) -> Column:
-    ranks = F.create_map(*[F.lit(x) for pair in SEVERITY_RANKS.items() for x in pair])
-    return F.coalesce(F.try_element_at(ranks, severity), F.lit(0))
+    ranks = tx.text_map({k: str(v) for k, v in SEVERITY_RANKS.items()})
+    return F.coalesce(F.try_element_at(ranks, severity).cast("int"), F.lit(0))
 
 
 def severity_threshold(findings: DataFrame, level: str = "Low") -> DataFrame:

@@ -19,16 +19,15 @@ IDENTIFIER = r"(?dU)\b[^\W\d]\w*"
 _GRAM = 3
 
 
-def _named(name: Column, entry: str) -> Column:
-    return name.startswith(entry) | name.endswith("." + entry)
-
-
-def _matching(name: Column, table: dict, build) -> Column:
-    """Array of the table's entries a call name matches; a trailing ``(`` of an
-    entry is dropped, since call names have none."""
-    return F.array_compact(F.array(*[
-        F.when(_named(name, entry.rstrip("(")), build(i, entry.rstrip("("), value))
-        for i, (entry, value) in enumerate(table.items())]))
+def _matching(table: list[dict]) -> Column:
+    """Entries of a table that the call ``name`` starts with, or ends in after
+    a dot; a trailing ``(`` of an entry is dropped, since call names have none."""
+    rows = ", ".join(
+        "named_struct(" + ", ".join(f"'{k}', {v if isinstance(v, int) else tx.sql_text(v)}" for k, v in row.items()) + ")"
+        for row in table)
+    return F.filter(
+        F.expr(f"array({rows})"),
+        lambda e: F.startswith(F.col("name"), e["entry"]) | F.endswith(F.col("name"), F.concat(F.lit("."), e["entry"])))
 
 
 def taint_sources(facts: DataFrame, sources: dict[str, str] = TAINT_SOURCES) -> DataFrame:
@@ -39,8 +38,9 @@ def taint_sources(facts: DataFrame, sources: dict[str, str] = TAINT_SOURCES) ->
     """
     calls = of_kind(facts, "call").select(
         "file_id", "path", F.col("seq").alias("call_seq"), "line",
-        F.explode_outer(_matching(F.col("name"), sources, lambda i, s, kind: F.struct(
-            F.lit(i).alias("no"), F.lit(s).alias("origin"), F.lit(kind).alias("taint_type")))).alias("s"),
+        F.explode_outer(_matching([
+            {"no": i, "entry": s.rstrip("("), "taint_type": kind}
+            for i, (s, kind) in enumerate(sources.items())])).alias("s"),
     ).where(F.col("s").isNotNull())
     near = calls.withColumn("line", F.explode(F.sequence(F.col("line") - 1, F.col("line") + 1)))
     assigns = of_kind(facts, "assign").select(
@@ -49,7 +49,7 @@ def taint_sources(facts: DataFrame, sources: dict[str, str] = TAINT_SOURCES) ->
         F.min(F.struct("assign_seq", "var", "line")).alias("a"))
     marked = first.groupBy("file_id", "path", F.col("a.var").alias("var")).agg(
         F.max(F.struct("call_seq", F.col("s.no").alias("no"), F.col("s.taint_type").alias("taint_type"),
-                       F.col("s.origin").alias("origin"), F.col("a.line").alias("line"))).alias("m"))
+                       F.col("s.entry").alias("origin"), F.col("a.line").alias("line"))).alias("m"))
     return marked.select(
         "file_id", "path", "var", "m.taint_type", "m.origin",
         F.lit(None).cast("string").alias("parent"), "m.line", F.lit(0).alias("depth"))
@@ -119,8 +119,7 @@ def taint_propagate(facts: DataFrame, tainted: DataFrame | None = None, match: s
 
 
 def mitigation_for(weakness: Column) -> Column:
-    advice = F.create_map(*[F.lit(x) for pair in MITIGATIONS.items() for x in pair])
-    return F.coalesce(F.try_element_at(advice, weakness), F.lit(DEFAULT_MITIGATION))
+    return F.coalesce(F.try_element_at(tx.text_map(MITIGATIONS), weakness), F.lit(DEFAULT_MITIGATION))
 
 
 def taint_to_sinks(
@@ -134,9 +133,9 @@ def taint_to_sinks(
     clean = tx.contains_any(F.col("code"), SANITIZERS)
     calls = of_kind(facts, "call").where(~clean).select(
         "file_id", "path", "seq", "line", "col", "code", "context", F.col("name").alias("sink_call"),
-        F.explode_outer(_matching(F.col("name"), sinks, lambda i, s, v: F.struct(
-            F.lit(i).alias("no"), F.lit(s).alias("sink"), F.lit(v[0]).alias("weakness"),
-            F.lit(v[1]).alias("severity")))).alias("k"),
+        F.explode_outer(_matching([
+            {"entry": s.rstrip("("), "weakness": weakness, "severity": severity}
+            for s, (weakness, severity) in sinks.items()])).alias("k"),
     ).where(F.col("k").isNotNull())
     vars_ = tainted.select(
         "file_id", "var", "origin", "taint_type", "depth", "path_steps", F.col("line").alias("taint_line"),
@@ -145,7 +144,8 @@ def taint_to_sinks(
     if not self_hits:
         hits = hits.where(F.col("taint_line") != F.col("line"))
     return hits.select(
-        "file_id", "path", "seq", "line", "col", "code", "context", "k.*", "sink_call",
+        "file_id", "path", "seq", "line", "col", "code", "context",
+        F.col("k.entry").alias("sink"), "k.weakness", "k.severity", "sink_call",
         F.col("var").alias("tainted_variable"), "origin", "taint_type", "depth", "path_steps")
 
 

@@ -13,6 +13,7 @@ from codesift.catalog.patterns import PATTERN_ROWS
 from codesift.catalog.queries import SAVED_QUERY_ROWS
 from codesift.catalog.secrets import SECRET_ROWS
 from codesift.catalog.structural import APPLIED_PATTERN_TYPES, STRUCTURAL_RULE_ROWS
+from codesift.functions import text as tx
 from codesift.operators.match import Rule
 
 PATTERN_SCHEMA = T.StructType([
@@ -200,5 +201,4 @@ def read_advisories(spark: SparkSession, path: str) -> DataFrame:
 
 def extension_of_language(language):
     """Rule language to file extension; ``common`` rules apply to Python."""
-    names = F.create_map(*[F.lit(x) for pair in RULE_LANGUAGE_EXTENSIONS.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, language), F.lit(".py"))
+    return F.coalesce(F.try_element_at(tx.text_map(RULE_LANGUAGE_EXTENSIONS), language), F.lit(".py"))
