@@ -116,10 +116,9 @@ def finding_function(findings: DataFrame, facts: DataFrame) -> DataFrame:
     inside = (F.col("f_line") <= F.col("line")) & (F.col("line") <= F.col("f_end"))
     found = rows.join(_function_bins(facts), ["file_id", "_bin"]).where(inside).groupBy(*keys).agg(
         F.min(F.struct((F.col("f_end") - F.col("f_line")).alias("size"), "f_line", "function", "f_end")).alias("f"))
-    return findings.join(
-        found.select(*keys, "f.function", "f.f_line", "f.f_end"),
-        on=[findings[k].eqNullSafe(found[k]) for k in keys], how="left",
-    ).select(*[findings[c] for c in findings.columns], "function", "f_line", "f_end")
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "f.function", "f.f_line", "f.f_end")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return findings.join(found, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def reachable_findings(findings: DataFrame, facts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -144,7 +143,7 @@ def triage_difficulty(hits: DataFrame, facts: DataFrame, max_depth: int = MAX_DE
     # The path of a call is the nodes of its function up to itself.
     at = nodes.where(F.col("node_type") == "CALL").select(
         "file_id", "seq", "function", F.col("depth").alias("end_depth"))
-    targets = hits.join(at, ["file_id", "seq"])
+    targets = hits.select("file_id", "seq", "sink", "tainted_variable", "line").join(at, ["file_id", "seq"])
     way = targets.join(
         nodes.select("file_id", "function", "depth", "label", "args"), ["file_id", "function"]
     ).where(F.col("depth") <= F.col("end_depth"))
