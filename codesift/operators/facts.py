@@ -15,9 +15,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from codesift.catalog.structural import DANGEROUS_CALLS
+from codesift.catalog.structural import DANGEROUS_CALLS, STRUCTURAL_RULE_ROWS
+from codesift.catalog.taint import TAINT_SINKS
 from codesift.functions import text as tx
+from codesift.operators.match import MAX_RULES
 from codesift.schemas import as_findings
+from codesift.session import durable
 from codesift.sources.catalogues import extension_of_language
 
 # The parser helpers travel with the job, so executors need no installed package.
@@ -43,8 +46,8 @@ FACTS = T.StructType([
     T.StructField("is_formatted", T.BooleanType()),
     T.StructField("shadowed", T.BooleanType()), # a later definition has the same name
     T.StructField("code", T.StringType()),      # the line, as written
-    T.StructField("context", T.StringType()),   # two lines around
-    T.StructField("body", T.StringType()),      # all lines of a function
+    T.StructField("context", T.StringType()),   # two lines around, see context_names
+    T.StructField("body", T.StringType()),      # lines of a function with an except:
 ])
 
 _ARROW = pa.schema([
@@ -121,7 +124,15 @@ def _facts_of(node: ast.AST) -> Iterator[dict]:
         yield {"kind": "branch", "name": "if"}
 
 
-def file_facts(text: str, context: bool = True) -> list[dict]:
+def context_names() -> frozenset[str]:
+    """Last name parts of the calls, imports and variables that the built-in
+    rules and sinks ask for; only such facts carry their context."""
+    named = [p.get("name") or p.get("variable_name") for row in STRUCTURAL_RULE_ROWS for p in row[5]]
+    named += [entry.rstrip("(") for entry in TAINT_SINKS]
+    return frozenset(n.rsplit(".", 1)[-1] for n in named if n)
+
+
+def file_facts(text: str, names: frozenset[str] = frozenset()) -> list[dict]:
     """Facts of one file in source order."""
     try:
         with warnings.catch_warnings():
@@ -132,39 +143,49 @@ def file_facts(text: str, context: bool = True) -> list[dict]:
     except (ValueError, RecursionError, MemoryError):
         return [{"kind": "unparsed", "seq": 0, "line": 0, "col": 0, "code": ""}]
     lines = text.split("\n")
+    prefixes = tuple(names)
     out, newest, stack = [], {}, [tree]
     while stack:
         node = stack.pop()
         for fact in _facts_of(node):
-            at = node.lineno
-            fact.update(seq=len(out), line=at, end_line=node.end_lineno, col=node.col_offset,
-                        code=lines[at - 1] if at <= len(lines) else "")
-            if context and fact["kind"] != "string":
-                fact["context"] = "\n".join(lines[max(0, at - 3):at + 2])
-            if fact["kind"] in ("function", "class"):
-                key = (fact["kind"], fact["name"])
-                if key in newest:
-                    newest[key]["shadowed"] = True
+            at, kind, name = node.lineno, fact["kind"], fact.get("name")
+            fact.update(seq=len(out), line=at, end_line=node.end_lineno, col=node.col_offset)
+            around = "\n".join(lines[max(0, at - 3):at + 2])
+            if kind in ("call", "import", "assign", "function", "class"):
+                fact["code"] = lines[at - 1] if at <= len(lines) else ""
+            if kind in ("call", "import", "assign"):
+                last = (name or "").rsplit(".", 1)[-1]
+                if last in names or (fact.get("module") or "").rsplit(".", 1)[-1] in names or (name or "").startswith(prefixes):
+                    fact["context"] = around
+            if kind in ("function", "class"):
+                if (kind, name) in newest:
+                    newest[(kind, name)]["shadowed"] = True
                 fact["shadowed"] = False
-                newest[key] = fact
-                if context and fact["kind"] == "function":
-                    fact["body"] = "\n".join(lines[at - 1:node.end_lineno])
+                newest[(kind, name)] = fact
+            if kind == "function":
+                body = "\n".join(lines[at - 1:node.end_lineno])
+                if "except:" in body or "except:" in around:
+                    fact["context"], fact["body"] = around, body
             out.append(fact)
         stack.extend(reversed(list(ast.iter_child_nodes(node))))
     return out
 
 
-def extract_facts(files: DataFrame, context: bool = True) -> DataFrame:
+def extract_facts(files: DataFrame, names: frozenset[str] | None = None) -> DataFrame:
     """Fact rows of all Python files.
 
-    Files stay where they are and leave the parser in small Arrow batches;
-    ``context=False`` omits the two columns that only findings need.
+    Files stay where they are and leave the parser in small Arrow batches.
+    The rows are kept lean for a large corpus: the two lines around a fact are
+    added only where a rule or sink of ``names`` (the built-in ones by default)
+    may report it, and a body only to functions with an ``except:``.
     """
+    wanted = context_names() if names is None else names
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
             for file_id, path, text in zip(*(batch.column(c) for c in ("file_id", "path", "text"))):
-                for fact in file_facts(text.as_py() or "", context):
+                for fact in file_facts(text.as_py() or "", wanted):
                     rows.append({"file_id": file_id.as_py(), "path": path.as_py(), **fact})
                     if len(rows) >= _BATCH:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -176,6 +197,12 @@ def extract_facts(files: DataFrame, context: bool = True) -> DataFrame:
     return python.select("file_id", "path", "text").mapInArrow(parse, FACTS)
 
 
+def fact_table(files: DataFrame, names: frozenset[str] | None = None) -> DataFrame:
+    """The facts, parsed once and sorted by kind inside each file written, so
+    that a rule skips the row groups of other kinds and reads its columns only."""
+    return durable(extract_facts(files, names).sortWithinPartitions("kind"))
+
+
 def of_kind(facts: DataFrame, kind: str) -> DataFrame:
     return facts.where(F.col("kind") == kind)
 
@@ -193,6 +220,15 @@ def _last_part(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+def rule_names(rules: DataFrame) -> frozenset[str]:
+    """Names for ``extract_facts`` when other than the built-in rules run."""
+    rows = rules.select(F.explode(F.array_compact(F.array("name", "variable_name"))).alias("n")).distinct()
+    found = rows.limit(MAX_RULES + 1).collect()
+    if len(found) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rule names")
+    return context_names() | {r["n"].rsplit(".", 1)[-1] for r in found}
+
+
 def _python_rules(rules: DataFrame, pattern_type: str) -> DataFrame:
     here = extension_of_language(F.col("language")) == ".py"
     return rules.where(here & (F.col("pattern_type") == pattern_type))

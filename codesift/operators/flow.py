@@ -8,7 +8,7 @@ from codesift.catalog.taint import MAX_DEPTH
 from codesift.operators.facts import definitions, of_kind
 from codesift.operators.ordering import next_in_groups
 from codesift.schemas import as_findings
-from codesift.session import durable
+from codesift.session import durable, durable_counted
 
 # Lines per bin of the interval joins, and calls per chunk of a function.
 BIN = 64
@@ -102,8 +102,9 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -
     seen = frontier
     for depth in range(1, max_depth + 1):
         step = edges.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
-        frontier = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier, n = durable_counted(
+            step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if n == 0:
             break
         seen = seen.unionByName(frontier)
     return seen

@@ -1,10 +1,9 @@
 """Regex rules over a corpus of texts.
 
-A catalogue is either a Python list of :class:`Rule` (compiled into literal
-patterns) or a DataFrame with the same fields (joined on the group).  Both end
-in one shared expansion from (file, rule) to one row per match.  No step
-shuffles: the text is read once, tested against every rule in place, and only
-(file, rule) pairs that match are expanded.
+A catalogue is a list of :class:`Rule`, or a small table of them, compiled into
+literal patterns.  No step shuffles or joins: the text is read once, tested
+against every rule in place, and only the (file, rule) pairs that match are
+expanded to one row per match.
 """
 
 from __future__ import annotations
@@ -56,7 +55,8 @@ def _applies_sql(rule: Rule, grouped: bool, flags: str) -> str:
     return " AND ".join(tests)
 
 
-def _pair_with_list(files, rules, group, keep, flags) -> DataFrame:
+def _pairs(files: DataFrame, rules: list[Rule], group: Column | None, keep: list[str], flags: str) -> DataFrame:
+    """(file, rule) pairs that match: one row per pair, the text still whole."""
     names = _label_names(rules)
     rows = files.select(
         *keep, "text",
@@ -76,19 +76,22 @@ def _pair_with_list(files, rules, group, keep, flags) -> DataFrame:
     )
 
 
-def _pair_with_table(files, rules: DataFrame, group, keep, flags) -> DataFrame:
-    labels = [c for c in rules.columns if c not in ("rule_id", "pattern", "group", "hints")]
-    right = rules.select(
-        F.col("group").alias("_rule_group") if "group" in rules.columns else F.lit(None).cast("string").alias("_rule_group"),
-        F.struct(
-            F.col("rule_id"),
-            F.concat(F.lit(f"(?{flags})"), F.col("pattern")).alias("pattern"),
-            *[F.col(c) for c in sorted(labels)],
-        ).alias("rule"),
-    )
-    left = files.select(*keep, "text", (group if group is not None else F.lit(None).cast("string")).alias("_group"))
-    on = F.col("_rule_group").isNull() | F.col("_group").isNull() | (F.col("_group") == F.col("_rule_group"))
-    return left.join(right, on & F.expr("text rlike rule.pattern")).select(*keep, "text", "rule")
+# A catalogue is configuration: its regexes become literals of the plan.  A
+# larger one is run part by part and the results are united.
+MAX_RULES = 2000
+
+
+def rules_from_table(rules: DataFrame) -> list[Rule]:
+    """Rules of a small table: ``rule_id``, ``pattern``, optionally ``group``
+    and any text columns as labels.  More than MAX_RULES are refused."""
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules: run the catalogue in parts and unite the matches")
+    labels = [c for c in rules.columns if c not in ("rule_id", "pattern", "group")]
+    return [
+        Rule(r["rule_id"], r["pattern"], r["group"] if "group" in rules.columns else None, (),
+             {c: r[c] for c in labels})
+        for r in rows]
 
 
 def find_matches(
@@ -110,10 +113,8 @@ def find_matches(
     ``context_rows`` (the same as an array).
     """
     keep = list(keep)
-    if isinstance(rules, DataFrame):
-        pairs = _pair_with_table(files, rules, group, keep, flags)
-    else:
-        pairs = _pair_with_list(files, list(rules), group, keep, flags)
+    rules = rules_from_table(rules) if isinstance(rules, DataFrame) else list(rules)
+    pairs = _pairs(files, rules, group, keep, flags)
 
     text, pattern = F.col("text"), F.col("rule.pattern")
 

@@ -61,14 +61,8 @@ def severity_threshold(findings: DataFrame, level: str = "Low") -> DataFrame:
     return findings.where(severity_rank(F.col("severity")) >= SEVERITY_RANKS[level])
 
 
-def suppress_patterns(findings: DataFrame, patterns: list[str] | DataFrame, column: str = "code") -> DataFrame:
-    """Drop findings whose line matches a suppression regex.
-
-    A list becomes literal tests; a table (column ``pattern``) an anti join.
-    """
-    if isinstance(patterns, DataFrame):
-        rules = patterns.select(F.concat(F.lit("(?dU)"), F.col("pattern")).alias("_suppress"))
-        return findings.join(rules, F.expr(f"{column} rlike _suppress"), "left_anti")
+def suppress_patterns(findings: DataFrame, patterns: list[str], column: str = "code") -> DataFrame:
+    """Drop findings whose line matches one of the suppression regexes."""
     for p in patterns:
         findings = findings.where(~F.coalesce(F.col(column), F.lit("")).rlike(tx.java_regex(p)))
     return findings

@@ -13,7 +13,7 @@ from codesift.catalog.taint import DEFAULT_MITIGATION, MITIGATIONS, SANITIZERS,
 from codesift.functions import text as tx
 from codesift.operators.facts import of_kind
 from codesift.schemas import as_findings
-from codesift.session import durable
+from codesift.session import durable, durable_counted
 
 IDENTIFIER = r"(?dU)\b[^\W\d]\w*"
 _GRAM = 3
@@ -107,13 +107,13 @@ def taint_propagate(facts: DataFrame, tainted: DataFrame | None = None, match: s
             seen.select("file_id", F.col("var").alias("target")), ["file_id", "target"], "left_anti")
         best = fresh.groupBy("file_id", "path", "target").agg(
             F.min(F.struct("assign_line", "var", "taint_type", "origin", "path_steps")).alias("b"))
-        frontier = durable(best.select(
+        frontier, n = durable_counted(best.select(
             "file_id", "path", F.col("target").alias("var"), "b.taint_type", "b.origin",
             F.col("b.var").alias("parent"), F.col("b.assign_line").alias("line"), F.lit(depth).alias("depth"),
             F.concat("b.path_steps", F.array(_step(
                 F.col("target"), F.col("b.assign_line"),
                 F.concat(F.lit("propagated from "), F.col("b.var"))))).alias("path_steps")))
-        if frontier.isEmpty():
+        if n == 0:
             return seen
         seen = seen.unionByName(frontier)
 

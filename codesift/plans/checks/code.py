@@ -19,11 +19,11 @@ _FLOW_PATH = "'repo' || (p_partkey % 97)::VARCHAR || '/app' || p_partkey::VARCHA
 
 
 def _code(s, d):
-    return durable(fx.extract_facts(tables.code_files(s, d)))
+    return fx.fact_table(tables.code_files(s, d))
 
 
 def _flow(s, d):
-    return durable(fx.extract_facts(tables.flow_files(s, d)))
+    return fx.fact_table(tables.flow_files(s, d))
 
 
 def _expect(columns: list[str], code: list[tuple] = (), flow_: list[tuple] = (), select: str | None = None) -> str:

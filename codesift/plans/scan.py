@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from codesift.operators import deps, facts as fx, flow, report, score, search, secrets, select, taint
-from codesift.session import durable
 from codesift.sources import catalogues
 
 
@@ -40,7 +39,7 @@ def pattern_scan(
     if exclude_pattern:
         chosen = select.exclude_paths(chosen, exclude_pattern)
     texts = chosen.where(~F.col("path").endswith(".env")) if with_secrets else chosen
-    facts = durable(fx.extract_facts(texts))
+    facts = fx.fact_table(texts)
     findings = score.score_findings(report.all_findings(
         search.pattern_findings(texts), fx.dangerous_calls(facts), fx.user_input_calls(facts), fx.syntax_errors(facts)))
     extra = None
@@ -67,9 +66,10 @@ def advanced_scan(
     """
     spark = files.sparkSession
     chosen = select.supported_files(files, extensions)
+    names = None if rules is None else fx.rule_names(rules)
     rules = catalogues.rules_table(spark) if rules is None else rules
     advisories = catalogues.advisory_table(spark) if advisories is None else advisories
-    facts = durable(fx.extract_facts(chosen))
+    facts = fx.fact_table(chosen, names)
     tainted = taint.taint_propagate(facts, match=match)
     hits = deps.dedup_advisories(deps.vulnerable_deps(deps.read_dependencies(files), advisories))
     findings = report.all_findings(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -41,6 +42,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint and survives lost executors, but as a
+    columnar table: later reads prune columns and row groups, and the optimizer
+    knows the real size, so a small table is broadcast and a large one is not.
+    """
+    return durable_counted(df)[0]
+
+
+def durable_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``durable``, with the number of rows, counted while writing."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+# A catalogue of at most this many rows is broadcast; it is counted where it is
+# made, on the driver.
+BROADCAST_ROWS = 10_000
+
+
+def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A catalogue the driver holds anyway, broadcast when it is small."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df

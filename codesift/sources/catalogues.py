@@ -15,6 +15,7 @@ from codesift.catalog.secrets import SECRET_ROWS
 from codesift.catalog.structural import APPLIED_PATTERN_TYPES, STRUCTURAL_RULE_ROWS
 from codesift.functions import text as tx
 from codesift.operators.match import Rule
+from codesift.session import local_table
 
 PATTERN_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
@@ -81,8 +82,8 @@ def saved_query_rules(query_id: str | None = None) -> list[Rule]:
 def pattern_table(spark: SparkSession) -> DataFrame:
     rows = [(r.group, r.rule_id, r.labels["type"], r.pattern, r.labels["description"],
              r.labels["severity"], r.labels["confidence"], r.labels["cwe"]) for r in pattern_rules()]
-    return spark.createDataFrame(
-        rows, "lang string, rule_id string, type string, pattern string, description string, "
+    return local_table(
+        spark, rows, "lang string, rule_id string, type string, pattern string, description string, "
               "severity string, confidence string, cwe string")
 
 
@@ -118,7 +119,7 @@ def rules_table(spark: SparkSession) -> DataFrame:
             "id": rid, "name": name, "description": description, "severity": severity,
             "patterns": patterns, "mitigation": mitigation})
     rows = [{"language": k, "rules": v} for k, v in by_language.items()]
-    return _one_row_per_pattern(spark.createDataFrame(rows, RULE_FILE_SCHEMA))
+    return _one_row_per_pattern(local_table(spark, rows, RULE_FILE_SCHEMA))
 
 
 def read_rules_json(spark: SparkSession, path: str) -> DataFrame:
@@ -153,13 +154,13 @@ def read_rules_yaml(spark: SparkSession, path: str) -> DataFrame:
             data = yaml.safe_load("\n".join(block)) or {}
             if data.get("rules"):
                 rows.append(json.dumps({"language": data.get("language"), "rules": data["rules"]}))
-    parsed = spark.createDataFrame([(r,) for r in rows], "doc string").select(
+    parsed = local_table(spark, [(r,) for r in rows], "doc string").select(
         F.from_json("doc", RULE_FILE_SCHEMA).alias("d"))
     return _one_row_per_pattern(parsed.select("d.*"))
 
 
 def query_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SAVED_QUERY_ROWS, QUERY_SCHEMA)
+    return local_table(spark, SAVED_QUERY_ROWS, QUERY_SCHEMA)
 
 
 def read_queries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -188,8 +189,8 @@ def query_rules(queries: DataFrame) -> DataFrame:
 def advisory_table(spark: SparkSession) -> DataFrame:
     rows = [(i, lang, pkg, aff, pat, sev, title, desc, [reference_link(i)], day)
             for i, lang, pkg, aff, pat, sev, title, desc, day in ADVISORY_ROWS]
-    return spark.createDataFrame(
-        rows, "id string, language string, package string, affected_versions array<string>, "
+    return local_table(
+        spark, rows, "id string, language string, package string, affected_versions array<string>, "
               "patched_versions array<string>, severity string, title string, description string, "
               "references array<string>, published_date string",
     ).withColumn("published_date", F.to_date("published_date"))
