@@ -91,10 +91,12 @@ def context(lines: Column, line: Column, around: int = 2) -> Column:
     return F.array_join(line_window(lines, line, line, around), "\n")
 
 
-def context_rows(lines: Column, first: Column, last: Column, around: int = 2) -> Column:
+def numbered_lines(window: Column, first: Column, last: Column, around: int = 2) -> Column:
+    """The lines of a ``line_window`` with their numbers and whether they are
+    part of the match."""
     start = F.greatest(first - around, F.lit(1))
     return F.transform(
-        line_window(lines, first, last, around),
+        window,
         lambda content, i: F.struct(
             (start + i).cast("int").alias("line_num"),
             content.alias("content"),
@@ -103,8 +105,8 @@ def context_rows(lines: Column, first: Column, last: Column, around: int = 2) ->
     )
 
 
-def match_lines(text: Column, lines: Column, pattern: Column) -> Column:
-    """Line number of every match, in match order.
+def match_counts(text: Column, lines: Column, pattern: Column) -> Column:
+    """Number of matches that start on each line.
 
     Each match is prefixed with one extra character; line ``i`` of the marked
     text is then longer than line ``i`` of the text by its number of matches.
@@ -112,12 +114,20 @@ def match_lines(text: Column, lines: Column, pattern: Column) -> Column:
     and independent of which character is used as the mark.
     """
     marked = lines_of(F.regexp_replace(text, pattern, F.lit("\x01$0")))
-    return F.flatten(
-        F.transform(
-            F.zip_with(lines, marked, lambda a, b: F.length(b) - F.length(a)),
-            lambda n, i: F.array_repeat((i + 1).cast("int"), n),
-        )
-    )
+    return F.zip_with(lines, marked, lambda a, b: F.length(b) - F.length(a))
+
+
+def match_lines(counts: Column) -> Column:
+    """Line number of every match, in match order."""
+    return F.flatten(F.transform(counts, lambda n, i: F.array_repeat((i + 1).cast("int"), n)))
+
+
+def on_matched_lines(counts: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(line number)`` for the lines that hold a match, null elsewhere.
+
+    Built once per line, however many matches the line holds.
+    """
+    return F.transform(counts, lambda n, i: F.when(n > 0, build((i + 1).cast("int"))))
 
 
 def html_escape(text: Column) -> Column:

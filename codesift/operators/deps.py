@@ -344,8 +344,8 @@ def _named(name: Column, names: list[str]) -> Column:
 def read_dependencies(files: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """Dependencies of the named formats (all by default) in one pass.
 
-    Only TOML documents pass through Python, and only when a TOML format is
-    asked for.
+    Only the text of TOML documents is sent to Python, and only when a TOML
+    format is asked for.
     """
     wanted = formats or list(FORMATS)
     name, text = F.col("_name"), F.col("text")

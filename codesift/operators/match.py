@@ -116,32 +116,60 @@ def find_matches(
     rules = rules_from_table(rules) if isinstance(rules, DataFrame) else list(rules)
     pairs = _pairs(files, rules, group, keep, flags)
 
-    text, pattern = F.col("text"), F.col("rule.pattern")
-
-    def one(lines: Column, numbers: Column):
-        def build(match: Column, i: Column) -> Column:
-            line = F.get(numbers, i)
-            last = (line + tx.newlines(match)).cast("int")
-            out = [i.cast("int").alias("match_no"), line.alias("line"), match.alias("match")]
-            if end_line:
-                out.append(last.alias("line_end"))
-            if code:
-                out.append(tx.strip(F.get(lines, line - 1)).alias("code"))
-            if context:
-                out.append(tx.context(lines, line).alias("context"))
-            if context_rows:
-                out.append(tx.context_rows(lines, line, last if end_line else line).alias("context_rows"))
-            return F.struct(*out)
-
-        return build
-
-    found = tx.let(
-        tx.lines_of(text),
-        lambda lines: tx.let(
-            tx.match_lines(text, lines, pattern),
-            lambda numbers: F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), one(lines, numbers)),
-        ),
-    )
-    rule_fields = [f.name for f in pairs.schema["rule"].dataType.fields if f.name != "pattern"]
-    rows = pairs.select(*keep, "rule", F.explode_outer(found).alias("m")).where(F.col("m").isNotNull())
-    return rows.select(*keep, *[F.col("rule")[n].alias(n) for n in rule_fields], "m.*")
+    rows = expand_matches(
+        pairs.withColumn("pattern", F.col("rule.pattern")), [*keep, "rule"], code, context, context_rows, end_line)
+    labels = [f.name for f in pairs.schema["rule"].dataType.fields if f.name != "pattern"]
+    found = [c for c in rows.columns if c not in (*keep, "rule")]
+    return rows.select(*keep, *[F.col("rule")[n].alias(n) for n in labels], *found)
+
+
+def expand_matches(
+    pairs: DataFrame, carry: list[str], code: bool, context: bool, context_rows: bool, end_line: bool
+) -> DataFrame:
+    """One row per match of ``pattern`` in ``text``.
+
+    The row of a file holds its lines once; the matches are exploded from
+    plain columns inside generated code, and each takes its line by position.
+    So a file of one long line with very many matches needs memory for one
+    line, not for one per match.
+    """
+    text, pattern = F.col("text"), F.col("pattern")
+
+    def match(m: Column, i: Column, numbers: Column) -> Column:
+        line = F.get(numbers, i)
+        out = [i.cast("int").alias("match_no"), line.alias("line"), m.alias("match")]
+        if end_line:
+            out.append((line + tx.newlines(m)).cast("int").alias("line_end"))
+        return F.struct(*out)
+
+    def arrays(lines: Column, counts: Column) -> Column:
+        matches = tx.let(tx.match_lines(counts), lambda numbers: F.transform(
+            F.regexp_extract_all(text, pattern, F.lit(0)), lambda m, i: match(m, i, numbers)))
+        out = [matches.alias("_matches")]
+        if code:
+            out.append(tx.on_matched_lines(counts, lambda n: tx.strip(F.get(lines, n - 1))).alias("_codes"))
+        if context:
+            out.append(tx.on_matched_lines(counts, lambda n: tx.context(lines, n)).alias("_contexts"))
+        if context_rows:
+            out.append(lines.alias("_lines"))
+        return F.struct(*out)
+
+    found = tx.let(tx.lines_of(text), lambda lines: tx.let(
+        tx.match_counts(text, lines, pattern), lambda counts: arrays(lines, counts)))
+    rows = pairs.select(*carry, found.alias("_f")).select(*carry, "_f.*")
+    rows = rows.withColumn("m", F.explode_outer("_matches")).where(F.col("m").isNotNull())
+    at, last = F.col("m.line"), F.col("m.line_end" if end_line else "m.line")
+    out = [F.col("m.match_no"), at.alias("line"), F.col("m.match")]
+    if end_line:
+        out.append(last.alias("line_end"))
+    if code:
+        out.append(F.get("_codes", at - 1).alias("code"))
+    if context:
+        out.append(F.get("_contexts", at - 1).alias("context"))
+    if not context_rows:
+        return rows.select(*carry, *out)
+    out.append(tx.line_window(F.col("_lines"), at, last).alias("_around"))
+    rows = rows.select(*carry, *out)
+    # Read twice, so that the window is not inlined and stays in generated code.
+    around = F.when(F.size("_around") > 0, tx.numbered_lines(F.col("_around"), F.col("line"), F.col("line_end" if end_line else "line")))
+    return rows.withColumn("context_rows", around).drop("_around")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codesift.catalog.patterns import PATTERN_ROWS
 from codesift.catalog.queries import DANGEROUS_EVAL_PATTERN
 from codesift.functions import text as tx
-from codesift.operators.match import GENERIC, Rule, find_matches
+from codesift.operators.match import GENERIC, Rule, expand_matches, find_matches
 from codesift.operators.ordering import numbered_in_groups
 from codesift.schemas import as_findings
 from codesift.sources.catalogues import extension_of_language, pattern_rules, query_rules, saved_query_rules
@@ -94,20 +94,10 @@ def search_functions(files: DataFrame, names: list[str]) -> DataFrame:
         .where(F.col("c.pattern").isNotNull())
         .select("file_id", "path", "text", "c.function", "c.pattern")
     )
-    pattern = F.col("pattern")
-    found = tx.let(
-        tx.lines_of(F.col("text")),
-        lambda lines: tx.let(
-            tx.match_lines(F.col("text"), lines, pattern),
-            lambda at: F.transform(
-                F.regexp_extract_all("text", pattern, F.lit(0)),
-                lambda m, i: F.struct(
-                    F.get(at, i).alias("line"), m.alias("match"),
-                    tx.context(lines, F.get(at, i)).alias("context"))),
-        ),
-    )
-    return picked.select("file_id", F.col("path").alias("file"), "function", F.explode(found).alias("m")).select(
-        "file_id", "file", "function", "m.*", F.lit("function_match").alias("type"))
+    rows = expand_matches(
+        picked, ["file_id", "path", "function"], code=False, context=True, context_rows=False, end_line=False)
+    return rows.select("file_id", F.col("path").alias("file"), "function", "line", "match", "context",
+                       F.lit("function_match").alias("type"))
 
 
 def _query_rows(files: DataFrame, rules) -> DataFrame:

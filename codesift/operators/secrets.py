@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codesift.catalog import secrets as cat
+from codesift.catalog.languages import MAX_FILE_BYTES
 from codesift.functions import text as tx
 from codesift.operators.match import find_matches
 from codesift.sources.catalogues import secret_rules
@@ -98,8 +99,10 @@ def secrets_union(env: DataFrame, pattern_secrets: DataFrame) -> DataFrame:
 
 
 def all_secrets(files: DataFrame) -> DataFrame:
-    """Both kinds over one corpus, likely false positives left out."""
-    return secrets_union(env_secrets(files), as_secret_rows(drop_false_positives(scan_sensitive(files))))
+    """Both kinds over one corpus, likely false positives left out.  Files over
+    the size cap are searched for keys only."""
+    capped = files.where(F.col("size") <= MAX_FILE_BYTES)
+    return secrets_union(env_secrets(files), as_secret_rows(drop_false_positives(scan_sensitive(capped))))
 
 
 def findings_by_file(findings: DataFrame) -> DataFrame:

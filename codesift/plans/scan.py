@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from codesift.operators import deps, facts as fx, flow, report, score, search, secrets, select, taint
-from codesift.sources import catalogues
+from codesift.sources import catalogues, corpus
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ def pattern_scan(
     chosen = select.env_files(files, extensions) if with_secrets else select.supported_files(files, extensions)
     if exclude_pattern:
         chosen = select.exclude_paths(chosen, exclude_pattern)
-    texts = chosen.where(~F.col("path").endswith(".env")) if with_secrets else chosen
+    texts = corpus.size_cap(chosen.where(~F.col("path").endswith(".env")) if with_secrets else chosen)
     facts = fx.fact_table(texts)
     findings = score.score_findings(report.all_findings(
         search.pattern_findings(texts), fx.dangerous_calls(facts), fx.user_input_calls(facts), fx.syntax_errors(facts)))
@@ -62,10 +62,11 @@ def advanced_scan(
     """Structural rules, data flow, control flow, dependencies and queries.
 
     The parsed facts are written once to the shared folder and read by the
-    three phases that join on them.
+    three phases that join on them.  The size cap holds for parsed files only:
+    manifests and queries see every file given.
     """
     spark = files.sparkSession
-    chosen = select.supported_files(files, extensions)
+    chosen = corpus.size_cap(select.supported_files(files, extensions))
     names = None if rules is None else fx.rule_names(rules)
     rules = catalogues.rules_table(spark) if rules is None else rules
     advisories = catalogues.advisory_table(spark) if advisories is None else advisories
@@ -76,7 +77,7 @@ def advanced_scan(
         fx.rule_calls(facts, rules), fx.rule_imports(facts, rules), fx.rule_assignments(facts, rules),
         taint.taint_findings(taint.taint_to_sinks(facts, tainted, match=match)),
         flow.bare_except(facts), flow.unmanaged_open(facts),
-        deps.dependency_findings(hits), search.run_all_queries(chosen, queries))
+        deps.dependency_findings(hits), search.run_all_queries(files, queries))
     return Scan(chosen, findings)
 
 
