@@ -95,33 +95,48 @@ def _formatted(node: ast.expr) -> bool:
     return isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "format"
 
 
-def _facts_of(node: ast.AST) -> Iterator[dict]:
-    if isinstance(node, ast.FunctionDef):
-        yield {"kind": "function", "name": node.name, "args": [a.arg for a in node.args.args],
-               "value_type": getattr(node.returns, "id", None), "value": ast.get_docstring(node)}
-    elif isinstance(node, ast.ClassDef):
-        yield {"kind": "class", "name": node.name, "bases": [getattr(b, "id", None) for b in node.bases],
-               "value": ast.get_docstring(node)}
-    elif isinstance(node, ast.Call):
-        name, rooted = _dotted(node.func)
-        if name:
-            yield {"kind": "call", "name": name, "rooted": rooted, "args": [_short(a) for a in node.args],
-                   "keywords": [(k.arg, _short(k.value)) for k in node.keywords if k.arg is not None],
-                   "is_formatted": any(_formatted(a) for a in node.args)}
-    elif isinstance(node, ast.Assign):
-        for target in node.targets:
-            if isinstance(target, ast.Name):
-                constant = isinstance(node.value, ast.Constant)
-                yield {"kind": "assign", "name": target.id, "value_type": type(node.value).__name__,
-                       "value": _safe(node.value.value) if constant else None}
-    elif isinstance(node, (ast.Import, ast.ImportFrom)):
-        for alias in node.names:
-            yield {"kind": "import", "name": alias.name, "asname": alias.asname,
-                   "module": getattr(node, "module", None)}
-    elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-        yield {"kind": "string", "value": _safe(node.value)}
-    elif isinstance(node, ast.If):
-        yield {"kind": "branch", "name": "if"}
+def _function(node: ast.FunctionDef) -> list[dict]:
+    return [{"kind": "function", "name": node.name, "args": [a.arg for a in node.args.args],
+             "value_type": getattr(node.returns, "id", None), "value": ast.get_docstring(node)}]
+
+
+def _class(node: ast.ClassDef) -> list[dict]:
+    return [{"kind": "class", "name": node.name, "bases": [getattr(b, "id", None) for b in node.bases],
+             "value": ast.get_docstring(node)}]
+
+
+def _call(node: ast.Call) -> list[dict]:
+    name, rooted = _dotted(node.func)
+    if not name:
+        return []
+    return [{"kind": "call", "name": name, "rooted": rooted, "args": [_short(a) for a in node.args],
+             "keywords": [(k.arg, _short(k.value)) for k in node.keywords if k.arg is not None],
+             "is_formatted": any(_formatted(a) for a in node.args)}]
+
+
+def _assign(node: ast.Assign) -> list[dict]:
+    value = _safe(node.value.value) if isinstance(node.value, ast.Constant) else None
+    return [{"kind": "assign", "name": t.id, "value_type": type(node.value).__name__, "value": value}
+            for t in node.targets if isinstance(t, ast.Name)]
+
+
+def _import(node: ast.Import | ast.ImportFrom) -> list[dict]:
+    return [{"kind": "import", "name": a.name, "asname": a.asname, "module": getattr(node, "module", None)}
+            for a in node.names]
+
+
+def _constant(node: ast.Constant) -> list[dict]:
+    return [{"kind": "string", "value": _safe(node.value)}] if isinstance(node.value, str) else []
+
+
+def _branch(node: ast.If) -> list[dict]:
+    return [{"kind": "branch", "name": "if"}]
+
+
+_FACTS_OF = {
+    ast.FunctionDef: _function, ast.ClassDef: _class, ast.Call: _call, ast.Assign: _assign,
+    ast.Import: _import, ast.ImportFrom: _import, ast.Constant: _constant, ast.If: _branch,
+}
 
 
 def context_names() -> frozenset[str]:
@@ -135,9 +150,7 @@ def context_names() -> frozenset[str]:
 def file_facts(text: str, names: frozenset[str] = frozenset()) -> list[dict]:
     """Facts of one file in source order."""
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
+        tree = ast.parse(text)
     except SyntaxError:
         return [{"kind": "syntax_error", "seq": 0, "line": 0, "col": 0, "code": ""}]
     except (ValueError, RecursionError, MemoryError):
@@ -145,27 +158,30 @@ def file_facts(text: str, names: frozenset[str] = frozenset()) -> list[dict]:
     lines = text.split("\n")
     prefixes = tuple(names)
     out, newest, stack = [], {}, [tree]
+    def around(at: int) -> str:
+        return "\n".join(lines[max(0, at - 3):at + 2])
+
     while stack:
         node = stack.pop()
-        for fact in _facts_of(node):
+        build = _FACTS_OF.get(type(node))
+        for fact in build(node) if build else ():
             at, kind, name = node.lineno, fact["kind"], fact.get("name")
             fact.update(seq=len(out), line=at, end_line=node.end_lineno, col=node.col_offset)
-            around = "\n".join(lines[max(0, at - 3):at + 2])
-            if kind in ("call", "import", "assign", "function", "class"):
+            if kind not in ("string", "branch"):
                 fact["code"] = lines[at - 1] if at <= len(lines) else ""
             if kind in ("call", "import", "assign"):
-                last = (name or "").rsplit(".", 1)[-1]
-                if last in names or (fact.get("module") or "").rsplit(".", 1)[-1] in names or (name or "").startswith(prefixes):
-                    fact["context"] = around
-            if kind in ("function", "class"):
+                last, module = name.rsplit(".", 1)[-1], fact.get("module") or ""
+                if last in names or module.rsplit(".", 1)[-1] in names or name.startswith(prefixes):
+                    fact["context"] = around(at)
+            elif kind in ("function", "class"):
                 if (kind, name) in newest:
                     newest[(kind, name)]["shadowed"] = True
                 fact["shadowed"] = False
                 newest[(kind, name)] = fact
-            if kind == "function":
-                body = "\n".join(lines[at - 1:node.end_lineno])
-                if "except:" in body or "except:" in around:
-                    fact["context"], fact["body"] = around, body
+                if kind == "function":
+                    body, near = "\n".join(lines[at - 1:node.end_lineno]), around(at)
+                    if "except:" in body or "except:" in near:
+                        fact["context"], fact["body"] = near, body
             out.append(fact)
         stack.extend(reversed(list(ast.iter_child_nodes(node))))
     return out
@@ -182,6 +198,7 @@ def extract_facts(files: DataFrame, names: frozenset[str] | None = None) -> Data
     wanted = context_names() if names is None else names
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        warnings.simplefilter("ignore")  # the worker's own; odd escapes in parsed code warn
         rows: list[dict] = []
         for batch in batches:
             for file_id, path, text in zip(*(batch.column(c) for c in ("file_id", "path", "text"))):
