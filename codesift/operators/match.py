@@ -8,7 +8,7 @@ expanded to one row per match.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -80,6 +80,9 @@ def _pairs(files: DataFrame, rules: list[Rule], group: Column | None, keep: list
 # larger one is run part by part and the results are united.
 MAX_RULES = 2000
 
+# A regex without matches, for an empty catalogue.
+NEVER = "(?!)"
+
 
 def rules_from_table(rules: DataFrame) -> list[Rule]:
     """Rules of a small table: ``rule_id``, ``pattern``, optionally ``group``
@@ -88,6 +91,8 @@ def rules_from_table(rules: DataFrame) -> list[Rule]:
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules: run the catalogue in parts and unite the matches")
     labels = [c for c in rules.columns if c not in ("rule_id", "pattern", "group")]
+    if not rows:
+        return [Rule("none", NEVER, None, (), dict.fromkeys(labels))]
     return [
         Rule(r["rule_id"], r["pattern"], r["group"] if "group" in rules.columns else None, (),
              {c: r[c] for c in labels})
@@ -104,27 +109,31 @@ def find_matches(
     context: bool = False,
     context_rows: bool = False,
     end_line: bool = False,
+    line_flags: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Every non-overlapping match of every applicable rule, one row each.
 
     Columns: ``keep``, ``rule_id``, the rule labels, ``match_no`` (0-based
     within file and rule), ``line``, ``match`` and, on request, ``line_end``,
-    ``code`` (the trimmed line), ``context`` (two lines around, as text) and
-    ``context_rows`` (the same as an array).
+    ``code`` (the trimmed line), ``context`` (two lines around, as text),
+    ``context_rows`` (the same as an array) and ``line_flags`` (tests of the
+    line, made once per line).
     """
     keep = list(keep)
-    rules = rules_from_table(rules) if isinstance(rules, DataFrame) else list(rules)
+    rules = rules_from_table(rules) if isinstance(rules, DataFrame) else list(rules) or [Rule("none", NEVER)]
     pairs = _pairs(files, rules, group, keep, flags)
 
     rows = expand_matches(
-        pairs.withColumn("pattern", F.col("rule.pattern")), [*keep, "rule"], code, context, context_rows, end_line)
+        pairs.withColumn("pattern", F.col("rule.pattern")), [*keep, "rule"], code, context, context_rows, end_line,
+        line_flags or {})
     labels = [f.name for f in pairs.schema["rule"].dataType.fields if f.name != "pattern"]
     found = [c for c in rows.columns if c not in (*keep, "rule")]
     return rows.select(*keep, *[F.col("rule")[n].alias(n) for n in labels], *found)
 
 
 def expand_matches(
-    pairs: DataFrame, carry: list[str], code: bool, context: bool, context_rows: bool, end_line: bool
+    pairs: DataFrame, carry: list[str], code: bool, context: bool, context_rows: bool, end_line: bool,
+    line_flags: dict[str, Callable[[Column], Column]],
 ) -> DataFrame:
     """One row per match of ``pattern`` in ``text``.
 
@@ -150,6 +159,8 @@ def expand_matches(
             out.append(tx.on_matched_lines(counts, lambda n: tx.strip(F.get(lines, n - 1))).alias("_codes"))
         if context:
             out.append(tx.on_matched_lines(counts, lambda n: tx.context(lines, n)).alias("_contexts"))
+        for name, test in line_flags.items():
+            out.append(tx.on_matched_lines(counts, lambda n, test=test: test(F.get(lines, n - 1))).alias(f"_{name}"))
         if context_rows:
             out.append(lines.alias("_lines"))
         return F.struct(*out)
@@ -166,6 +177,7 @@ def expand_matches(
         out.append(F.get("_codes", at - 1).alias("code"))
     if context:
         out.append(F.get("_contexts", at - 1).alias("context"))
+    out += [F.get(f"_{name}", at - 1).alias(name) for name in line_flags]
     if not context_rows:
         return rows.select(*carry, *out)
     out.append(tx.line_window(F.col("_lines"), at, last).alias("_around"))

@@ -95,7 +95,8 @@ def search_functions(files: DataFrame, names: list[str]) -> DataFrame:
         .select("file_id", "path", "text", "c.function", "c.pattern")
     )
     rows = expand_matches(
-        picked, ["file_id", "path", "function"], code=False, context=True, context_rows=False, end_line=False)
+        picked, ["file_id", "path", "function"], code=False, context=True, context_rows=False, end_line=False,
+        line_flags={})
     return rows.select("file_id", F.col("path").alias("file"), "function", "line", "match", "context",
                        F.lit("function_match").alias("type"))
 

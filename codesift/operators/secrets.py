@@ -37,11 +37,12 @@ def secret_severity(category: Column, sensitive_file: Column) -> Column:
 
 def scan_sensitive(files: DataFrame, context: bool = True) -> DataFrame:
     """One row per match of the 23 patterns, with flags and severity."""
-    rows = find_matches(files, secret_rules(), code=True, context=context)
+    rows = find_matches(
+        files, secret_rules(), code=False, context=context,
+        line_flags={"probable_false_positive": is_false_positive})
     sensitive = is_sensitive_file(F.col("path"))
     return rows.withColumns({
         "is_sensitive_file": sensitive,
-        "probable_false_positive": is_false_positive(F.col("code")),
         "severity": secret_severity(F.col("category"), sensitive),
     }).withColumnRenamed("path", "file")
 

@@ -107,6 +107,7 @@ def _inventory_sql() -> str:
 
 # Tainted variables: (kind, var, origin, parent, line, depth).
 _TAINT_COLUMNS = ["var", "taint_type", "origin", "parent", "line", "depth"]
+_TAINT_SELECT = "var, taint_type, origin, parent::VARCHAR AS parent, line, depth"
 _CODE_TAINT = [
     (2, "q", "user_input", "request.args", None, 1, 0), (3, "f", "file_io", "open", None, 1, 0),
     (6, "q", "user_input", "request.args", None, 1, 0), (6, "r", "user_input", "request.args", "q", 3, 1)]
@@ -245,10 +246,10 @@ CHECKS = {
     "facts_inventory": Check(_both(fx.facts_inventory), _inventory_sql()),
     "taint_sources": Check(
         _both(lambda f: taint.taint_sources(f).select("file_id", "path", *_TAINT_COLUMNS)),
-        _expect(_TAINT_COLUMNS, [r for r in _CODE_TAINT if r[6] == 0], [r for r in _FLOW_TAINT if r[6] == 0])),
+        _expect(_TAINT_COLUMNS, [r for r in _CODE_TAINT if r[6] == 0], [r for r in _FLOW_TAINT if r[6] == 0], _TAINT_SELECT)),
     "taint_propagate": Check(
         _both(lambda f: taint.taint_propagate(f).select("file_id", "path", *_TAINT_COLUMNS)),
-        _expect(_TAINT_COLUMNS, _CODE_TAINT, _FLOW_TAINT)),
+        _expect(_TAINT_COLUMNS, _CODE_TAINT, _FLOW_TAINT, _TAINT_SELECT)),
     "taint_to_sinks": Check(
         lambda s, d: _hits(s, d, _code).unionByName(_hits(s, d, _flow)).select("file_id", "path", *_SINK_COLUMNS),
         _expect(_SINK_COLUMNS, _CODE_SINKS, _FLOW_SINKS)),

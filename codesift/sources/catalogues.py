@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from codesift.catalog.advisories import ADVISORY_ROWS, reference_link
 from codesift.catalog.languages import RULE_LANGUAGE_EXTENSIONS
 from codesift.catalog.patterns import PATTERN_ROWS
-from codesift.catalog.queries import SAVED_QUERY_ROWS
+from codesift.catalog.queries import DANGEROUS_EVAL_PATTERN, SAVED_QUERY_ROWS
 from codesift.catalog.secrets import SECRET_ROWS
 from codesift.catalog.structural import APPLIED_PATTERN_TYPES, STRUCTURAL_RULE_ROWS
 from codesift.functions import text as tx
@@ -174,16 +174,19 @@ def read_queries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     whole = F.col("language").isNotNull() & F.col("name").isNotNull() & F.col("pattern").isNotNull()
     loaded = raw.where(whole).withColumns({
         "type": F.coalesce("type", F.lit("regex")),
-        "severity": F.coalesce("severity", F.lit("Medium")),
+        "severity": F.coalesce("severity", F.when(F.col("type") == "ast", "High").otherwise("Medium")),
     })
     return loaded, raw.where(~whole)
 
 
 def query_rules(queries: DataFrame) -> DataFrame:
-    """A query table as rules for ``find_matches``; any number of them."""
-    return queries.where(F.coalesce("type", F.lit("regex")) == "regex").select(
-        F.col("id").alias("rule_id"), "pattern", F.lit(".py").alias("group"),
-        "name", "severity", "language")
+    """A query table as rules for ``find_matches``.  Of the structural queries
+    only ``dangerous_eval`` has a meaning: it is a search for a fixed text."""
+    structural = (F.col("type") == "ast") & F.contains("pattern", F.lit("dangerous_eval"))
+    return queries.where((F.coalesce("type", F.lit("regex")) == "regex") | structural).select(
+        F.col("id").alias("rule_id"),
+        F.when(structural, DANGEROUS_EVAL_PATTERN).otherwise(F.col("pattern")).alias("pattern"),
+        F.lit(".py").alias("group"), "name", "severity", "language")
 
 
 def advisory_table(spark: SparkSession) -> DataFrame:

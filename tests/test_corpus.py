@@ -139,6 +139,19 @@ def test_query_files(spark, tmp_path, files):
     assert [r["id"] for r in skipped.collect()] == ["no"]
     rows = search.run_all_queries(files({"a.py": "eval"}), loaded).collect()
     assert [(r["type"], r["severity"], r["query_id"]) for r in rows] == [("Custom Query: Mine", "Medium", "mine")]
+    assert search.run_all_queries(files({"a.py": "eval"}), skipped).count() == 0
+    (tmp_path / "mine.json").write_text(json.dumps(
+        {"id": "t", "name": "T", "language": "python", "type": "ast", "pattern": "find dangerous_eval"}))
+    loaded, _ = catalogues.read_queries(spark, str(tmp_path))
+    rows = search.run_all_queries(files({"a.py": "eval (x)", "b.js": "eval(x)"}), loaded).collect()
+    assert [(r["file"], r["code"], r["severity"]) for r in rows] == [("a.py", "eval (x)", "High")]
+
+
+def test_false_positives_by_line(files):
+    df = files({"a.txt": "# a@b.cc\nx@y.zz\nc@d.ee test f@g.hh\n"})
+    rows = secrets.scan_sensitive(df).collect()
+    assert sorted((r["line"], r["match"], r["probable_false_positive"]) for r in rows) == [
+        (1, "a@b.cc", True), (2, "x@y.zz", False), (3, "c@d.ee", True), (3, "f@g.hh", True)]
 
 
 def test_query_ids(spark):
