@@ -84,10 +84,11 @@ def _meet(acc: Column, x: Column, seed: int) -> Column:
 
 
 def _fold(units: DataFrame, seed: int) -> DataFrame:
-    """Let the units of each (source, leaf) meet in order of size."""
+    """Let the units of each (source, leaf) meet, the largest first, so that
+    what is left over in the end belongs to a small one."""
     unit = "struct<size:bigint,mix:bigint,doc_id:bigint,p:double>"
     start = F.struct(F.lit(None).cast(unit).alias("carry"), F.array().cast(f"array<{unit}>").alias("done"))
-    ordered = units.groupBy("source", "leaf").agg(F.sort_array(F.collect_list("unit")).alias("units"))
+    ordered = units.groupBy("source", "leaf").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
     met = F.aggregate("units", start, lambda acc, x: _meet(acc, x, seed))
     return durable(ordered.select("source", "leaf", met.alias("met")).select("source", "leaf", "met.carry", "met.done"))
 
@@ -107,7 +108,7 @@ def mixed(rows: DataFrame, sizes: DataFrame, leaf: int = LEAF, seed: int = SEED,
     units = sizes.distinct().withColumn("bin", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
     # Leaves of a source follow the size: each bin has as many as it needs.
     bins = units.groupBy("source", "bin").agg(F.ceil(F.count("*") / leaf).alias("leaves"))
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("start", F.coalesce(F.sum("leaves").over(before), F.lit(0)))
     same_source = F.col("s.source").eqNullSafe(F.col("u.source"))
     units = (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codesift.llm import exact_dedup, mixing, packing, sharding
+from codesift.llm import exact_dedup, mixing, packing, sharding, simhash
 
 QUERIES = {
     "op1_perfect_hash_dedup": exact_dedup.op1_perfect_hash_dedup,
+    "op3_pigeonhole_simhash": simhash.op3_pigeonhole_simhash,
     "op5_length_buckets": packing.op5_length_buckets,
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
     "op8_external_shuffle": sharding.op8_external_shuffle,
