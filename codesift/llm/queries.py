@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from codesift.llm import exact_dedup, mixing, packing, sharding, simhash
+from codesift.llm import exact_dedup, licences, mixing, packing, sharding, simhash, sketches
 
 QUERIES = {
     "op1_perfect_hash_dedup": exact_dedup.op1_perfect_hash_dedup,
     "op3_pigeonhole_simhash": simhash.op3_pigeonhole_simhash,
+    "op4_licence_index": licences.op4_licence_index,
     "op5_length_buckets": packing.op5_length_buckets,
+    "op6_bottom_k": sketches.op6_bottom_k,
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
     "op8_external_shuffle": sharding.op8_external_shuffle,
 }
