@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codesift.llm import exact_dedup, licences, mixing, packing, sharding, simhash, sketches
+from codesift.llm import exact_dedup, html_text, licences, mixing, packing, sharding, simhash, sketches
 
 QUERIES = {
     "op1_perfect_hash_dedup": exact_dedup.op1_perfect_hash_dedup,
+    "op2_text_to_tag": html_text.op2_text_to_tag,
     "op3_pigeonhole_simhash": simhash.op3_pigeonhole_simhash,
     "op4_licence_index": licences.op4_licence_index,
     "op5_length_buckets": packing.op5_length_buckets,
