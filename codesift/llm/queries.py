@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codesift.llm import exact_dedup, html_text, licences, mixing, packing, sharding, simhash, sketches
+from codesift.llm import exact_dedup, html_text, licences, mixing, packing, sharding, simhash, sketches, toxicity
 
 QUERIES = {
     "op1_perfect_hash_dedup": exact_dedup.op1_perfect_hash_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bottom_k": sketches.op6_bottom_k,
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
     "op8_external_shuffle": sharding.op8_external_shuffle,
+    "op9_counterfactual_toxicity": toxicity.op9_counterfactual_toxicity,
 }
 ORACLE = {
     "op1_perfect_hash_dedup": exact_dedup.OP1_SQL,
