@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codesift.llm import exact_dedup, html_text, licences, mixing, packing, sharding, simhash, sketches, toxicity
+from codesift.llm import exact_dedup, html_text, licences, mixing, packing, personal_data, sharding, simhash, sketches, toxicity
 
 QUERIES = {
     "op1_perfect_hash_dedup": exact_dedup.op1_perfect_hash_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
     "op8_external_shuffle": sharding.op8_external_shuffle,
     "op9_counterfactual_toxicity": toxicity.op9_counterfactual_toxicity,
+    "op10_weak_supervision_pii": personal_data.op10_weak_supervision_pii,
 }
 ORACLE = {
     "op1_perfect_hash_dedup": exact_dedup.OP1_SQL,
