@@ -93,14 +93,21 @@ def _fold(units: DataFrame, seed: int) -> DataFrame:
     return durable(ordered.select("source", "leaf", met.alias("met")).select("source", "leaf", "met.carry", "met.done"))
 
 
-def copies(docs: DataFrame, size: Column, leaf: int = LEAF, seed: int = SEED, **targets) -> DataFrame:
-    """Every document as ``row`` with ``source, size, source_size, target`` and
-    the number of ``copies`` the mix takes."""
-    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source"), size=size)
-    return mixed(rows, durable(rows.select("doc_id", "source", "size")), leaf, seed, **targets)
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"), size=word_count())
+    sizes = durable(rows.select("doc_id", "source", "size"))
+    taken = mixed(sizes.distinct(), sizes, **options).where("copies > 0").select("doc_id", "source", "size", "copies")
+    same = (
+        F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source"))
+        & (F.col("r.size") == F.col("t.size")))
+    rows = rows.alias("r").join(taken.alias("t"), same).select("r.row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return rows.select("row.*")
 
 
 def mixed(rows: DataFrame, sizes: DataFrame, leaf: int = LEAF, seed: int = SEED, **targets) -> DataFrame:
+    """``rows(doc_id, source, size)`` with source_size, target and the number of
+    copies; ``sizes`` holds every row that counts for the sources."""
     goals = durable(source_targets(sizes, **targets))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = goals.withColumn("base", F.floor(ratio).cast("long")).withColumn("part", ratio - F.col("base"))

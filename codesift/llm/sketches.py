@@ -75,12 +75,12 @@ def merge_sketches(rows: DataFrame, keys: list[str], column: str = "sketch", k:
     """One sketch per key of sketches as text.  Hashes are rows here, so a key
     with any number of parts is combined before the shuffle, not collected."""
     pieces = F.transform(
-        F.sequence(F.lit(0), F.length(column) / 16 - 1), lambda i: F.substring(F.col(column), i.cast("int") * 16 + 1, F.lit(16)))
+        F.sequence(F.lit(0), (F.length(column) / 16).cast("int") - 1), lambda i: F.substring(F.col(column), i * 16 + 1, F.lit(16)))
     each = rows.select(*keys, F.explode_outer(F.when(F.length(column) > 0, pieces)).alias("h")).distinct()
     # Hashes of a hot key are cut to the k smallest in chunks first.
     chunk = F.substring("h", 4, 2)
     for by in ([*keys, chunk], keys):
-        w = Window.partitionBy(*by).orderBy("h")
+        w = Window.partitionBy(*by).orderBy(F.col("h").asc_nulls_last())
         each = each.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
     return each.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("h")), "").alias(column))
 
