@@ -15,18 +15,19 @@ gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codesift.llm.common import columns_of, table, text_or_empty
 from codesift.llm.simhash import hashes
-from codesift.session import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,60 +103,86 @@ def _row(doc_id, text, next_text, k, words, mine, others) -> dict:
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _ARROW = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
-    ("part", pa.int64()), ("edge", pa.string()), ("text", pa.string())])
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_DEALT = pa.schema([
+    ("part", pa.int64()), ("guest", pa.bool_()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("text", pa.binary())])
 _FLUSH = 4 << 20
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 100_000
+_TRIED = 20
+
+
+def range_starts(keys: DataFrame) -> list[tuple]:
+    """First keys of ranges of about equal size in the order of ``keys(last,
+    doc_id, tie, size)``.  Each is the key of a row, the first the smallest.
+
+    Their number follows the bytes of the table up to ``MOST_RANGES``; ranges
+    are read as streams, so larger ones need no more memory.
+    """
+    key = F.struct("last", "doc_id", "tie")
+    seen = keys.agg(F.min(key).alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    if not seen["n"]:
+        return []
+    ranges = min(MOST_RANGES, max(1, -(-seen["bytes"] // RANGE_BYTES)))
+    share = min(1.0, ranges * _TRIED / seen["n"])
+    tried = keys.where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    tried = sorted({(r["last"], r["doc_id"] or 0, r["tie"]) for r in tried.select("last", "doc_id", "tie").collect()})
+    first = (seen["first"]["last"], seen["first"]["doc_id"] or 0, seen["first"]["tie"])
+    return [first, *[k for k in tried[_TRIED::_TRIED] if k > first]]
 
 
 def beside_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """Each document's sketch beside its edited text's and the next document's.
 
-    The texts are dealt once, by ranges of (doc_id, hash of the text), and each
-    range is read in order with one row held back.  Only the first and last
-    text of each range are kept whole, to join the ranges afterwards.
+    The texts are dealt once, compressed, by ranges of (doc_id, hash of the
+    text), and each range is read in order with one row held back.  The first
+    document of a range also goes to the range before it, as a guest at its
+    end; the first of all to the last range.  Ranges are fixed by the keys
+    they start with, so a repeated task deals alike.
     """
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
-    ranged = body.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select(
+        F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("tie"), "text")
+    starts = range_starts(body.select("last", "doc_id", "tie", F.octet_length("text").cast("long").alias("size")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            out, size = [], 0
+            for last, doc_id, tie, text in columns_of(batch, "last", "doc_id", "tie", "text"):
+                key = (last, doc_id or 0, tie)
+                part = bisect.bisect_right(starts, key) - 1
+                row = {"part": part, "guest": False, "last": last, "doc_id": doc_id, "tie": tie,
+                       "text": squeeze(text.encode("utf-8", "surrogatepass"))}
+                out.append(row)
+                size += len(row["text"])
+                if starts[part] == key:
+                    out.append({**row, "part": (part - 1) % len(starts), "guest": True})
+                if size > _FLUSH:
+                    yield pa.RecordBatch.from_pylist(out, schema=_DEALT)
+                    out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema=_DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size, last = [], 0, None
+        opened = zstandard.ZstdDecompressor().decompress
+        out, size, held = [], 0, None
         for batch in batches:
-            for doc_id, text, part in columns_of(batch, "doc_id", "text", "part"):
+            for part, guest, doc_id, packed in columns_of(batch, "part", "guest", "doc_id", "text"):
+                text = opened(packed).decode("utf-8", "surrogatepass")
                 mine = sketch(text, k, words)
-                if last is None:
-                    out.append({"part": part, "edge": "first", "text": text, "doc_id": doc_id})
-                else:
-                    out.append(_row(last[0], last[1], text, k, words, last[2], mine))
-                last = (doc_id, text, mine, part)
-                size += len(text) // 8 + 40 * k
+                # A range ends with its guest; of equal guests the first counts.
+                if held is not None and held[0] == part:
+                    out.append(_row(held[1], held[2], text, k, words, held[3], mine))
+                    size += len(text) // 8 + 40 * k
+                held = None if guest else (part, doc_id, text, mine)
                 if size > _FLUSH:
                     yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
                     out, size = [], 0
-        if last is not None:
-            out.append({"part": last[3], "edge": "last", "text": last[1], "doc_id": last[0]})
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
-    ranged = ranged.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
-    met = durable(ranged.mapInArrow(run, _OUT + ", part bigint, edge string, text string"))
-    inner = met.where("edge IS NULL").drop("part", "edge", "text")
-
-    # One row per range: which range comes next, the first after the last.
-    parts = met.where("edge = 'first'").select("part")
-    order = Window.orderBy("part")
-    following = parts.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next_part"))
-    lasts = met.where("edge = 'last'").select("part", "doc_id", "text").join(following, "part")
-    firsts = met.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_row(d, t, n, k, words, sketch(t, k, words), sketch(n, k, words))
-                    for d, t, n in columns_of(batch, "doc_id", "text", "next_text")]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(_ARROW)[:7]))
-
-    outer = lasts.join(firsts, "next_part").select("doc_id", "text", "next_text").mapInArrow(meet, _OUT)
-    return inner.unionByName(outer)
+    dealt = body.mapInArrow(deal, "part bigint, guest boolean, last boolean, doc_id bigint, tie bigint, text binary")
+    order = ["part", "guest", "last", "doc_id", "tie"]
+    return dealt.repartition("part").sortWithinPartitions(*order).select("part", "guest", "doc_id", "text").mapInArrow(run, _OUT)
 
 
 def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,14 @@ def test_query_against_brute_force(spark):
     check(sk.op6_bottom_k(spark, SF).collect(), docs)
 
 
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sk, "RANGE_BYTES", 9000)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs += [(None, "a text without an id")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    check(sk.beside_next(df).collect(), docs)
+
+
 def test_estimates():
     rng = random.Random(5)
     errors, counts = [], []
