@@ -61,6 +61,3 @@ MITIGATIONS = {
     "ssrf": "Validate and sanitize URLs against an allowlist. Do not allow requests to internal resources.",
 }
 DEFAULT_MITIGATION = "Review and sanitize untrusted inputs before use."
-
-# Bounds of the reachability search.
-MAX_DEPTH = 10

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from codesift.catalog.structural import DANGEROUS_CALLS, STRUCTURAL_RULE_ROWS
 from codesift.catalog.taint import TAINT_SINKS
 from codesift.functions import text as tx
-from codesift.operators.match import MAX_RULES
 from codesift.schemas import as_findings
 from codesift.session import durable
 from codesift.sources.catalogues import extension_of_language
@@ -240,10 +239,7 @@ def _last_part(name: Column) -> Column:
 def rule_names(rules: DataFrame) -> frozenset[str]:
     """Names for ``extract_facts`` when other than the built-in rules run."""
     rows = rules.select(F.explode(F.array_compact(F.array("name", "variable_name"))).alias("n")).distinct()
-    found = rows.limit(MAX_RULES + 1).collect()
-    if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rule names")
-    return context_names() | {r["n"].rsplit(".", 1)[-1] for r in found}
+    return context_names() | {r["n"].rsplit(".", 1)[-1] for r in rows.collect()}
 
 
 def _python_rules(rules: DataFrame, pattern_type: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codesift.catalog.taint import MAX_DEPTH
 from codesift.operators.facts import definitions, of_kind
-from codesift.operators.ordering import next_in_groups
+from codesift.operators.ordering import next_in_groups, numbered_in_groups
 from codesift.schemas import as_findings
 from codesift.session import durable, durable_counted
 
@@ -84,23 +85,38 @@ def flow_nodes(facts: DataFrame) -> DataFrame:
     return nodes.select("*", node_id())
 
 
+def _chunk() -> Column:
+    """Chunks of a function's nodes that follow their order."""
+    return F.col("pos") * 1_000_000 + F.floor(F.col("seq") / CHUNK)
+
+
 def flow_edges(nodes: DataFrame) -> DataFrame:
     """Edges between neighbours in each function."""
-    chunk = F.col("pos") * 1_000_000 + F.floor(F.col("seq") / CHUNK)
-    return next_in_groups(nodes, ["file_id", "function"], ["pos", "seq"], chunk, "node").withColumn(
+    return next_in_groups(nodes, ["file_id", "function"], ["pos", "seq"], _chunk(), "node").withColumn(
         "type", F.lit("flow"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Nodes within ``max_depth`` edges of a start, with the least depth.
+def flow_depths(nodes: DataFrame) -> DataFrame:
+    """Each node with its depth, the number of edges from its function's entry.
+
+    The graph of a function is one chain, so the depth of a node is its place
+    in the order, however long the chain.
+    """
+    rows = numbered_in_groups(nodes, ["file_id", "function"], ["pos", "seq"], _chunk(), "depth")
+    return rows.withColumn("depth", (F.col("depth") - 1).cast("int"))
+
+
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Nodes that edges lead to from a start, with the least depth.
 
     Breadth first: each round expands only nodes not seen before, so paths are
-    never enumerated.  ``edges(src, dst)``, ``starts(node)``.
+    never enumerated.  ``edges(src, dst)``, ``starts(node)``.  With
+    ``max_depth`` nodes beyond it are left out.
     """
     edges = durable(edges.select("src", "dst"))
     frontier = durable(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = edges.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
         frontier, n = durable_counted(
             step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
@@ -122,44 +138,56 @@ def finding_function(findings: DataFrame, facts: DataFrame) -> DataFrame:
     return findings.join(found, same, "left").drop(*[f"_{k}" for k in keys])
 
 
-def reachable_findings(findings: DataFrame, facts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def reachable_findings(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """Whether a node on the finding's line can be reached from the entry of
     its function, and at which depth."""
-    nodes = durable(flow_nodes(facts))
-    depths = reachable(flow_edges(nodes), nodes.where(F.col("node_type") == "ENTRY"), max_depth)
-    at_line = nodes.join(depths, "node").groupBy("file_id", "function", "line").agg(F.min("depth").alias("depth"))
+    nodes = flow_depths(flow_nodes(facts))
+    at_line = nodes.groupBy("file_id", "function", "line").agg(F.min("depth").alias("depth"))
     placed = finding_function(findings, facts)
     return placed.join(at_line, ["file_id", "function", "line"], "left").withColumn(
         "reachable", F.col("depth").isNotNull())
 
 
-def triage_difficulty(hits: DataFrame, facts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _on_the_way(targets: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether the way to a target names authentication, and its variable.
+
+    The way is all nodes of the function up to the target, so it is enough to
+    know how deep the first node lies that does: one row per function, and one
+    per function and variable.
+    """
+    on_way = F.concat_ws(" ", "label", F.concat_ws(" ", "args"))
+    held = nodes.join(targets.select("file_id", "function").distinct(), ["file_id", "function"], "left_semi")
+    auth = held.where(F.contains(on_way, F.lit("auth"))).groupBy("file_id", "function").agg(F.min("depth").alias("auth_depth"))
+    wanted = targets.select("file_id", "function", "tainted_variable").distinct()
+    named = held.join(wanted, ["file_id", "function"]).where(F.contains(on_way, F.col("tainted_variable"))).groupBy(
+        "file_id", "function", "tainted_variable").agg(F.min("depth").alias("named_depth"))
+    rows = targets.join(auth, ["file_id", "function"], "left").join(named, ["file_id", "function", "tainted_variable"], "left")
+    before = lambda d: F.coalesce(F.col(d) <= F.col("end_depth"), F.lit(False))
+    return rows.groupBy(*keys).agg(F.bool_or(before("auth_depth")).alias("auth"), F.bool_or(before("named_depth")).alias("controlled"))
+
+
+def triage_difficulty(hits: DataFrame, facts: DataFrame) -> DataFrame:
     """Easy, Medium or Hard for each reachable taint finding, from the
     branches before it, words of authentication and the tainted variable on
     the way from the entry of its function."""
     keys = ["file_id", "function", "seq", "sink", "tainted_variable", "line"]
-    nodes = durable(flow_nodes(facts))
-    depths = reachable(flow_edges(nodes), nodes.where(F.col("node_type") == "ENTRY"), max_depth)
-    nodes = nodes.join(depths, "node")
+    nodes = durable(flow_depths(flow_nodes(facts)))
     # The path of a call is the nodes of its function up to itself.
     at = nodes.where(F.col("node_type") == "CALL").select(
         "file_id", "seq", "function", F.col("depth").alias("end_depth"))
     targets = hits.select("file_id", "seq", "sink", "tainted_variable", "line").join(at, ["file_id", "seq"])
-    way = targets.join(
-        nodes.select("file_id", "function", "depth", "label", "args"), ["file_id", "function"]
-    ).where(F.col("depth") <= F.col("end_depth"))
-    on_way = F.concat_ws(" ", "label", F.concat_ws(" ", "args"))
-    words = way.groupBy(*keys).agg(
-        F.bool_or(F.contains(on_way, F.lit("auth"))).alias("auth"),
-        F.bool_or(F.contains(on_way, F.col("tainted_variable"))).alias("controlled"))
+    words = _on_the_way(targets, nodes, keys)
     ranges = _function_bins(facts)
     branches = of_kind(facts, "branch").select("file_id", F.col("line").alias("b_line"), _bin(F.col("line")).alias("_bin"))
     inside = branches.join(ranges, ["file_id", "_bin"]).where(
         (F.col("f_line") < F.col("b_line")) & (F.col("b_line") <= F.col("f_end")))
-    # Few rows per function are left; count those before the finding.
-    counts = targets.select(*keys).join(inside.select("file_id", "function", "b_line"), ["file_id", "function"]).where(
-        F.col("b_line") <= F.col("line")).groupBy(*keys).agg(F.count("*").alias("branches"))
-    rows = words.join(counts, keys, "left").withColumn("branches", F.coalesce("branches", F.lit(0)))
+    # Branches up to the finding's line, counted along the lines of the function.
+    marks = inside.select("file_id", "function", F.col("b_line").alias("line"), F.lit(1).alias("n")).unionByName(
+        targets.select("file_id", "function", "line").distinct().withColumn("n", F.lit(0)))
+    steps = marks.groupBy("file_id", "function", "line").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy("file_id", "function").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    counts = steps.withColumn("branches", F.sum("n").over(along)).select("file_id", "function", "line", "branches")
+    rows = words.join(counts, ["file_id", "function", "line"])
     n = F.col("branches")
     return rows.withColumn(
         "difficulty",
@@ -179,7 +207,7 @@ def call_edges(facts: DataFrame) -> DataFrame:
     return top.unionByName(inner).join(names, ["file_id", "callee"], "left_semi").distinct()
 
 
-def unreachable_functions(facts: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
+def unreachable_functions(facts: DataFrame) -> DataFrame:
     """Functions no chain of calls from module level leads to."""
     def node(c: str) -> Column:
         return F.concat_ws(":", F.col("file_id").cast("string"), F.col(c))
@@ -187,7 +215,7 @@ def unreachable_functions(facts: DataFrame, max_depth: int = 1_000_000) -> DataF
     edges = durable(call_edges(facts))
     inner = edges.where(F.col("caller").isNotNull()).select(node("caller").alias("src"), node("callee").alias("dst"))
     starts = edges.where(F.col("caller").isNull()).select(node("callee").alias("node"))
-    reached = reachable(inner, starts, max_depth)
+    reached = reachable(inner, starts)
     functions = definitions(facts).select("file_id", "path", F.col("name").alias("function"), "line").withColumn(
         "node", node("function"))
     return functions.join(reached, "node", "left_anti").drop("node")

@@ -9,7 +9,8 @@ expanded to one row per match.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,6 +28,12 @@ class Rule:
     group: str | None = None
     hints: tuple[str, ...] = ()
     labels: dict[str, str | None] = field(default_factory=dict)
+    # A pattern with the same matches that is run in place of ``pattern``.
+    run: str | None = None
+
+    @property
+    def regex(self) -> str:
+        return self.run or self.pattern
 
 
 def _label_names(rules: Sequence[Rule]) -> list[str]:
@@ -34,7 +41,7 @@ def _label_names(rules: Sequence[Rule]) -> list[str]:
 
 
 def _rule_sql(rule: Rule, names: list[str], flags: str) -> str:
-    fields = {"rule_id": rule.rule_id, "pattern": tx.java_regex(rule.pattern, flags)}
+    fields = {"rule_id": rule.rule_id, "pattern": tx.java_regex(rule.regex, flags)}
     fields |= {n: rule.labels.get(n) for n in names}
     return "named_struct(" + ", ".join(f"'{n}', {tx.sql_text(v)}" for n, v in fields.items()) + ")"
 
@@ -51,7 +58,7 @@ def _applies_sql(rule: Rule, grouped: bool, flags: str) -> str:
         if "(?i)" in rule.pattern:
             hinted.append("_odd_case")
         tests.append("(" + " OR ".join(hinted) + ")")
-    tests.append(f"text RLIKE {tx.sql_text(tx.java_regex(rule.pattern, flags))}")
+    tests.append(f"text RLIKE {tx.sql_text(tx.java_regex(rule.regex, flags))}")
     return " AND ".join(tests)
 
 
@@ -76,8 +83,8 @@ def _pairs(files: DataFrame, rules: list[Rule], group: Column | None, keep: list
     )
 
 
-# A catalogue is configuration: its regexes become literals of the plan.  A
-# larger one is run part by part and the results are united.
+# Regexes are literals of the plan, so a larger catalogue is run part by part
+# and the matches are united.
 MAX_RULES = 2000
 
 # A regex without matches, for an empty catalogue.
@@ -85,12 +92,10 @@ NEVER = "(?!)"
 
 
 def rules_from_table(rules: DataFrame) -> list[Rule]:
-    """Rules of a small table: ``rule_id``, ``pattern``, optionally ``group``
-    and any text columns as labels.  More than MAX_RULES are refused."""
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: run the catalogue in parts and unite the matches")
+    """Rules of a table: ``rule_id``, ``pattern``, optionally ``group`` and any
+    text columns as labels.  A catalogue is configuration the driver reads."""
     labels = [c for c in rules.columns if c not in ("rule_id", "pattern", "group")]
+    rows = rules.collect()
     if not rows:
         return [Rule("none", NEVER, None, (), dict.fromkeys(labels))]
     return [
@@ -121,6 +126,13 @@ def find_matches(
     """
     keep = list(keep)
     rules = rules_from_table(rules) if isinstance(rules, DataFrame) else list(rules) or [Rule("none", NEVER)]
+    if len(rules) > MAX_RULES:
+        names = _label_names(rules)
+        rules = [replace(r, labels={**dict.fromkeys(names), **r.labels}) for r in rules]
+        parts = [
+            find_matches(files, rules[i:i + MAX_RULES], group, keep, flags, code, context, context_rows, end_line, line_flags)
+            for i in range(0, len(rules), MAX_RULES)]
+        return reduce(DataFrame.unionByName, parts)
     pairs = _pairs(files, rules, group, keep, flags)
 
     rows = expand_matches(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codesift.catalog.patterns import PATTERN_ROWS
 from codesift.catalog.queries import DANGEROUS_EVAL_PATTERN
 from codesift.functions import text as tx
 from codesift.operators.match import GENERIC, Rule, expand_matches, find_matches
 from codesift.operators.ordering import numbered_in_groups
 from codesift.schemas import as_findings
+from codesift.session import durable, durable_counted
 from codesift.sources.catalogues import extension_of_language, pattern_rules, query_rules, saved_query_rules
 
 MULTILINE = "dUm"
@@ -22,7 +22,7 @@ EXTENSION_GROUPS = ["py", "js", "php", "java", "c", "cpp", "go", "rb"]
 
 def rule_group(path: Column) -> Column:
     """Rule group of a file: its extension, or ``generic`` when it has none."""
-    ext = F.substring(tx.extension(path), 2, 64)
+    ext = F.ltrim(tx.extension(path), F.lit("."))
     return F.when(ext.isin(EXTENSION_GROUPS), ext).otherwise(GENERIC)
 
 
@@ -150,41 +150,70 @@ def query_result_counts(matches: DataFrame, queries: DataFrame) -> DataFrame:
         "query_id", "query_name", F.coalesce("n", F.lit(0)).alias("result_count"))
 
 
+# An id such as "a-2" is number 2 of the name "a".
+_NUMBERED = r"^(.*)-([1-9][0-9]{0,8})$"
+
+
+def _as_numbers(ids: DataFrame) -> DataFrame:
+    """``id`` as (base_id, no): number 0 of itself, and its number of its stem."""
+    whole = ids.select(F.col("id").alias("base_id"), F.lit(0).cast("long").alias("no"))
+    stem = ids.where(F.col("id").rlike(_NUMBERED)).select(
+        F.regexp_extract("id", _NUMBERED, 1).alias("base_id"), F.regexp_extract("id", _NUMBERED, 2).cast("long").alias("no"))
+    return whole.unionByName(stem).distinct()
+
+
+def _free_numbers(rows: DataFrame, taken: DataFrame, chunk_size: int) -> DataFrame:
+    """The ``k``-th row of a base (from 0) gets the ``k``-th number not taken.
+
+    The ``j``-th taken number ``t`` has ``t - j`` free ones below it, so it
+    moves every row from place ``t - j`` on by one: a running count over rows
+    and taken numbers laid on one axis, in chunks so that no base is one task.
+    """
+    numbered = numbered_in_groups(taken, ["base_id"], ["no"], F.floor(F.col("no") / chunk_size), "j")
+    marks = numbered.select("base_id", (F.col("no") - F.col("j") + 1).alias("at"), F.lit(1).alias("mark"), F.lit(None).cast("long").alias("seq"))
+    axis = rows.select("base_id", F.col("k").alias("at"), F.lit(0).alias("mark"), "seq").unionByName(marks)
+    axis = axis.withColumn("chunk", F.floor(F.col("at") / chunk_size))
+    sums = axis.groupBy("base_id", "chunk").agg(F.sum("mark").alias("n"))
+    before = Window.partitionBy("base_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("base_id", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("base_id", "chunk").orderBy("at", F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    axis = axis.withColumn("moved", F.sum("mark").over(inside)).where("mark = 0").join(starts, ["base_id", "chunk"])
+    return axis.select("seq", (F.col("at") + F.col("moved") + F.col("start")).alias("no"))
+
+
 def create_query_ids(new: DataFrame, existing: DataFrame, chunk_size: int = 10000) -> DataFrame:
     """Ids and defaults for new queries (``seq, name, pattern, language`` and
     any of ``description, severity, type, tags``).
 
     The id is the lower-cased name with dashes; later queries of one name, and
     names already taken, get ``-1``, ``-2``, ... in the order of ``seq``.
-    ``existing`` holds the ids in use (column ``id``).
+    ``existing`` holds the ids in use (column ``id``).  A name that itself ends
+    in a number may ask for the id of another name's query: the earlier query
+    keeps it, and the numbers are dealt again until no id is given twice.
     """
     base = F.replace(F.lower("name"), F.lit(" "), F.lit("-"))
     new = new.where(F.col("name").isNotNull() & F.col("pattern").isNotNull() & F.col("language").isNotNull())
     rows = numbered_in_groups(
-        new.withColumn("base_id", base), ["base_id"], ["seq"], F.floor(F.col("seq") / chunk_size), "_k")
-    # Numbers already taken per base: 0 is the bare name.  An id such as "a-2"
-    # is number 2 of "a" and number 0 of "a-2".
-    stem = r"^(.*)-([1-9][0-9]{0,8})$"
-    taken = (
-        existing.select(F.col("id").alias("base_id"), F.lit(0).cast("long").alias("no"))
-        .unionByName(existing.where(F.col("id").rlike(stem)).select(
-            F.regexp_extract("id", stem, 1).alias("base_id"),
-            F.regexp_extract("id", stem, 2).cast("long").alias("no")))
-        .groupBy("base_id").agg(F.sort_array(F.collect_set("no")).alias("_taken"))
-    )
-    free = F.aggregate(
-        F.coalesce("_taken", F.array().cast("array<bigint>")),
-        (F.col("_k") - 1).cast("long"),
-        lambda acc, t: F.when(t <= acc, acc + 1).otherwise(acc))
-    rows = rows.join(taken, "base_id", "left").withColumn("_no", free)
+        new.withColumn("base_id", base), ["base_id"], ["seq"], F.floor(F.col("seq") / chunk_size), "k")
+    rows = durable(rows.withColumn("k", F.col("k").cast("long") - 1))
+    taken = _as_numbers(existing)
+    query_id = F.when(F.col("_no") == 0, F.col("base_id")).otherwise(F.concat_ws("-", "base_id", F.col("_no").cast("string")))
+    while True:
+        free = _free_numbers(rows.select("base_id", "k", "seq"), taken, chunk_size).select("seq", F.col("no").alias("_no"))
+        given = durable(rows.join(free, "seq").withColumn("query_id", query_id))
+        first = given.groupBy("query_id").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1")
+        lost = given.join(first, "query_id").where(F.col("seq") > F.col("first")).select("base_id", F.col("_no").alias("no"))
+        lost, n = durable_counted(lost.distinct())
+        if n == 0:
+            break
+        taken = taken.unionByName(lost)
+    rows = given
 
     def default(name: str, value: Column) -> Column:
         return F.coalesce(F.col(name), value) if name in new.columns else value
 
     return rows.select(
-        "seq", "name",
-        F.when(F.col("_no") == 0, F.col("base_id"))
-        .otherwise(F.concat_ws("-", "base_id", F.col("_no").cast("string"))).alias("query_id"),
+        "seq", "name", "query_id",
         default("description", F.concat(F.lit("Custom query: "), F.col("name"))).alias("description"),
         default("severity", F.lit("Medium")).alias("severity"),
         default("type", F.lit("regex")).alias("type"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codesift.operators import facts as fx, flow, taint
-from codesift.operators.ordering import next_in_groups
+from codesift.operators.ordering import next_in_groups, numbered_in_groups
 from codesift.plans.checks.common import Check, values
 from codesift.session import durable
 from codesift.sources import catalogues, tables
@@ -202,10 +202,21 @@ def _event_edges(s, d):
     return next_in_groups(_event_nodes(s, d), ["user_id"], ["ts", "event_id"], F.date_trunc("day", F.col("ts")), "event_id")
 
 
+def _event_depths(s, d):
+    """Place of each event in the chain of its user."""
+    day = F.date_trunc("day", F.col("ts"))
+    rows = numbered_in_groups(_event_nodes(s, d), ["user_id"], ["ts", "event_id"], day, "k")
+    return rows.select(F.col("event_id").alias("node"), (F.col("k") - 1).cast("int").alias("depth"))
+
+
 def _event_reach(s, d):
-    first = _event_nodes(s, d).groupBy("user_id").agg(
-        F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node")
-    return flow.reachable(_event_edges(s, d), first)
+    """Events that steps of a day at most lead to from the first of a user."""
+    near = _event_nodes(s, d).withColumn("day", F.date_trunc("day", F.col("ts")))
+    firsts = near.groupBy("user_id").agg(F.min("day").alias("day"))
+    near = near.join(firsts, ["user_id", "day"])
+    edges = next_in_groups(near, ["user_id"], ["ts", "event_id"], F.col("day"), "event_id")
+    first = near.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node")
+    return flow.reachable(edges, first)
 
 
 def _triage(s, d):
@@ -290,9 +301,13 @@ CHECKS = {
         lambda s, d: flow.reachable_findings(*reversed(_rule_findings(s, d))).select(
             "file_id", F.col("file").alias("path"), "rule_id", "line", "function", "depth", "reachable"),
         _expect(["rule_id", "line", "function", "depth"], [], _PLACED, "rule_id, line, function, depth, depth IS NOT NULL AS reachable")),
+    "event_depths": Check(
+        _event_depths,
+        "SELECT event_id AS node, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS depth FROM events"),
     "reachable_events": Check(
         _event_reach,
-        "SELECT node, depth FROM (SELECT event_id AS node, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS depth FROM events) WHERE depth <= 10"),
+        "WITH e AS (SELECT *, date_trunc('day', ts) AS day, min(date_trunc('day', ts)) OVER (PARTITION BY user_id) AS first_day FROM events) "
+        "SELECT event_id AS node, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS depth FROM e WHERE day = first_day"),
     "triage_difficulty": Check(
         _triage,
         _strip_path(_expect(["function", "sink", "tainted_variable", "line", "branches", "auth", "controlled", "difficulty"], [], [

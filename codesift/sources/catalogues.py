@@ -63,15 +63,30 @@ def pattern_rules(groups: list[str] | None = None) -> list[Rule]:
     return out
 
 
+# How eight of the secret patterns begin: any run of name characters.
+_ANY_PREFIX = "(?i)([a-z0-9_-]+)?"
+# All that such a pattern takes before its sign is one run of name characters,
+# so a match begins where a run begins, and only in a run that a sign follows.
+# Tested first, this keeps a long run without a sign linear.
+_RUN_START = r"(?i)(?<![a-z0-9_-])(?=[a-z0-9_-]++\s*+[=:])"
+
+
+def linear(pattern: str) -> str | None:
+    """A form of the pattern with the same matches that reads a run once."""
+    if not pattern.startswith(_ANY_PREFIX):
+        return None
+    return _RUN_START + pattern.removeprefix("(?i)")
+
+
 def secret_rules() -> list[Rule]:
     return [
-        Rule(f"secret-{i}", pattern, None, _hints(hints), {"category": category})
+        Rule(f"secret-{i}", pattern, None, _hints(hints), {"category": category}, linear(pattern))
         for i, (category, pattern, hints) in enumerate(SECRET_ROWS, 1)
     ]
 
 
 def saved_query_rules(query_id: str | None = None) -> list[Rule]:
-    """The saved regex queries; all run on Python files."""
+    """The saved regex queries; of Python or common to all, they run on Python files."""
     return [
         Rule(qid, pattern, ".py", (), {"name": name, "severity": severity, "language": language})
         for qid, name, _desc, language, kind, pattern, severity, _tags in SAVED_QUERY_ROWS
@@ -179,14 +194,33 @@ def read_queries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return loaded, raw.where(~whole)
 
 
+def query_extension(language):
+    """Extension a query of a language runs on; null for other languages."""
+    known = {"common": ".py", **RULE_LANGUAGE_EXTENSIONS}
+    return F.try_element_at(tx.text_map(known), F.lower(language))
+
+
+def _structural_query():
+    return (F.col("type") == "ast") & F.contains("pattern", F.lit("dangerous_eval"))
+
+
 def query_rules(queries: DataFrame) -> DataFrame:
     """A query table as rules for ``find_matches``.  Of the structural queries
-    only ``dangerous_eval`` has a meaning: it is a search for a fixed text."""
-    structural = (F.col("type") == "ast") & F.contains("pattern", F.lit("dangerous_eval"))
+    only ``dangerous_eval`` has a meaning: it is a search for a fixed text.  A
+    query runs on the files of its language; see ``skipped_queries``."""
+    structural = _structural_query()
     return queries.where((F.coalesce("type", F.lit("regex")) == "regex") | structural).select(
         F.col("id").alias("rule_id"),
         F.when(structural, DANGEROUS_EVAL_PATTERN).otherwise(F.col("pattern")).alias("pattern"),
-        F.lit(".py").alias("group"), "name", "severity", "language")
+        query_extension(F.col("language")).alias("group"), "name", "severity", "language",
+    ).where(F.col("group").isNotNull())
+
+
+def skipped_queries(queries: DataFrame) -> DataFrame:
+    """Queries that do not run, with the reason."""
+    regex = F.coalesce("type", F.lit("regex")) == "regex"
+    reason = F.when(query_extension(F.col("language")).isNull(), "language").when(~(regex | _structural_query()), "type")
+    return queries.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("id", "language", "type", "reason")
 
 
 def advisory_table(spark: SparkSession) -> DataFrame:

@@ -1,5 +1,6 @@
 """Patterns against Python's ``re``: the same matches on the same lines."""
 
+import random
 import re
 
 import pytest
@@ -139,10 +140,14 @@ def test_rules_from_a_table(spark, files):
     assert [(r["path"], r["note"], r["match_no"]) for r in rows] == [("a.py", "x", 0), ("a.py", "x", 1)]
 
 
-def test_too_many_rules_are_refused(spark, files):
-    table = spark.range(3000).selectExpr("cast(id as string) AS rule_id", "'x' AS pattern")
-    with pytest.raises(ValueError):
-        find_matches(files({"a": "x"}), table)
+def test_large_catalogues_run_in_parts(spark, files, monkeypatch):
+    from codesift.operators import match
+
+    table = spark.createDataFrame([(f"r{i}", p) for i, p in enumerate("abcab")], "rule_id string, pattern string")
+    df = files({"a.py": "a b a"})
+    whole = sorted(map(tuple, find_matches(df, table).collect()))
+    monkeypatch.setattr(match, "MAX_RULES", 2)
+    assert sorted(map(tuple, find_matches(df, table).collect())) == whole and len(whole) == 6
 
 
 def test_search(files):
@@ -159,3 +164,73 @@ def test_query_lines(files):
     assert (row["line_start"], row["line_end"]) == (4, 6)
     assert [(c["line_num"], c["is_match"]) for c in row["context_rows"]] == [
         (2, False), (3, False), (4, True), (5, True), (6, True), (7, False), (8, False)]
+
+
+def test_ids_are_given_once(spark):
+    """Names that look like numbered ids, against the loop that tries one id after another."""
+    from codesift.operators import search
+
+    rng = random.Random(4)
+    pool = ["a", "a-1", "a-1-1", "a 2", "b", "b-1", "A"]
+    for names, used in [(["a", "a", "a-1"], []), (["a-1", "a", "a"], []), (["a"] * 4, ["a-1", "a-3"]), (["b", "a", "b"], ["b"])]:
+        taken, want = set(used), []
+        for n in names:
+            base = n.lower().replace(" ", "-")
+            q, k = base, 0
+            while q in taken:
+                k += 1
+                q = f"{base}-{k}"
+            taken.add(q)
+            want.append(q)
+        new = spark.createDataFrame([(i, n, "x", "python") for i, n in enumerate(names)], "seq long, name string, pattern string, language string")
+        got = search.create_query_ids(new, spark.createDataFrame([(u,) for u in used], "id string"), chunk_size=2).orderBy("seq").collect()
+        assert [r["query_id"] for r in got] == want
+    names = [rng.choice(pool) for _ in range(60)]
+    new = spark.createDataFrame([(i, n, "x", "python") for i, n in enumerate(names)], "seq long, name string, pattern string, language string")
+    got = [r["query_id"] for r in search.create_query_ids(new, spark.createDataFrame([("a-4",)], "id string"), chunk_size=7).collect()]
+    assert len(set(got) | {"a-4"}) == 61
+
+
+def test_linear_forms_match_alike():
+    """The forms that are run find what the published patterns find."""
+    from codesift.catalog.secrets import SECRET_ROWS
+    from codesift.sources.catalogues import linear
+
+    rng = random.Random(9)
+    words = ["api_key", "password", "secret", "auth-token", "x", "passwd", "credential", "secret_key", "access_token", "_", "-", "9"]
+    marks = ["=", ":", " ", ";", ",", ")", "\n", ".", "'", "é", "="]
+    for _, pattern, _ in SECRET_ROWS:
+        form = linear(pattern)
+        if form is None:
+            continue
+        # Look-ahead with a possessive run: Python reads it alike.
+        for _ in range(800):
+            text = "".join(rng.choice(words if rng.random() < 0.6 else marks) for _ in range(rng.randrange(1, 14)))
+            assert [m[0] for m in re.finditer(form, text)] == [m[0] for m in re.finditer(pattern, text)], text
+
+
+def test_a_long_run_is_scanned_in_linear_time(spark):
+    import time
+
+    from codesift.operators import secrets
+
+    run = "a" * (1 << 20) + " api secret auth access password passwd credential uri url oauth aws"
+    df = spark.createDataFrame([(0, "a.txt", run)], "file_id long, path string, text string")
+    secrets.scan_sensitive(df.limit(0), context=False).count()
+    start = time.perf_counter()
+    assert secrets.scan_sensitive(df, context=False).count() == 0
+    assert time.perf_counter() - start < 15
+
+
+def test_queries_run_on_their_language(spark, files):
+    from codesift.operators import search
+    from codesift.sources import catalogues
+
+    queries = spark.createDataFrame(
+        [("e1", "E", "", "javascript", "regex", "eval", "High", []), ("e2", "E", "", "python", "regex", "eval", "High", []),
+         ("e3", "E", "", "cobol", "regex", "eval", "High", []), ("e4", "E", "", "common", "other", "eval", "High", [])],
+        catalogues.QUERY_SCHEMA)
+    df = files({"a.py": "eval(x)", "b.js": "eval(x)"})
+    got = {(r["query_id"], r["file"]) for r in search.run_query(df, None, queries).collect()}
+    assert got == {("e1", "b.js"), ("e2", "a.py")}
+    assert {(r["id"], r["reason"]) for r in catalogues.skipped_queries(queries).collect()} == {("e3", "language"), ("e4", "type")}
