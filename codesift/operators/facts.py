@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FACTS = T.StructType([
     T.StructField("file_id", T.LongType()),
     T.StructField("path", T.StringType()),
-    T.StructField("kind", T.StringType()),      # function class call import assign string branch syntax_error unparsed
+    T.StructField("kind", T.StringType()),      # function class call import assign string branch handler line syntax_error unparsed
     T.StructField("seq", T.IntegerType()),      # position in the source order of the file
     T.StructField("name", T.StringType()),
     T.StructField("line", T.IntegerType()),
@@ -58,7 +58,12 @@ _ARROW = pa.schema([
     ("is_formatted", pa.bool_()), ("shadowed", pa.bool_()), ("code", pa.string()),
     ("context", pa.string()), ("body", pa.string()),
 ])
+# Rows and bytes of text of one Arrow batch.
 _BATCH = 2000
+_BATCH_BYTES = 8 << 20
+# A longer line is stored once, in a fact of kind "line", and not with each of
+# its facts; ``with_lines`` puts it back.
+INLINE = 2000
 
 
 def _safe(value) -> str:
@@ -132,9 +137,14 @@ def _branch(node: ast.If) -> list[dict]:
     return [{"kind": "branch", "name": "if"}]
 
 
+def _handler(node: ast.ExceptHandler) -> list[dict]:
+    return [{"kind": "handler", "value": _safe(f"except {ast.unparse(node.type)}:" if node.type else "except:")}]
+
+
 _FACTS_OF = {
     ast.FunctionDef: _function, ast.ClassDef: _class, ast.Call: _call, ast.Assign: _assign,
     ast.Import: _import, ast.ImportFrom: _import, ast.Constant: _constant, ast.If: _branch,
+    ast.ExceptHandler: _handler,
 }
 
 
@@ -156,33 +166,47 @@ def file_facts(text: str, names: frozenset[str] = frozenset()) -> list[dict]:
         return [{"kind": "unparsed", "seq": 0, "line": 0, "col": 0, "code": ""}]
     lines = text.split("\n")
     prefixes = tuple(names)
-    out, newest, stack = [], {}, [tree]
+    out, newest, stack, long = [], {}, [tree], {}
+
     def around(at: int) -> str:
         return "\n".join(lines[max(0, at - 3):at + 2])
 
+    def place(fact: dict, at: int, near: bool) -> None:
+        """The fact's line and, on request, the lines around it; long ones
+        are left to the row of the line."""
+        code = lines[at - 1] if at <= len(lines) else ""
+        if any(len(x) > INLINE for x in (lines[max(0, at - 3):at + 2] if near else [code])):
+            long[at] = long.get(at, False) or near
+        else:
+            fact["code"] = code
+            if near:
+                fact["context"] = around(at)
+
     while stack:
         node = stack.pop()
         build = _FACTS_OF.get(type(node))
         for fact in build(node) if build else ():
             at, kind, name = node.lineno, fact["kind"], fact.get("name")
             fact.update(seq=len(out), line=at, end_line=node.end_lineno, col=node.col_offset)
-            if kind not in ("string", "branch"):
-                fact["code"] = lines[at - 1] if at <= len(lines) else ""
+            near = kind == "handler"
             if kind in ("call", "import", "assign"):
                 last, module = name.rsplit(".", 1)[-1], fact.get("module") or ""
-                if last in names or module.rsplit(".", 1)[-1] in names or name.startswith(prefixes):
-                    fact["context"] = around(at)
+                near = last in names or module.rsplit(".", 1)[-1] in names or name.startswith(prefixes)
             elif kind in ("function", "class"):
                 if (kind, name) in newest:
                     newest[(kind, name)]["shadowed"] = True
                 fact["shadowed"] = False
                 newest[(kind, name)] = fact
                 if kind == "function":
-                    body, near = "\n".join(lines[at - 1:node.end_lineno]), around(at)
-                    if "except:" in body or "except:" in near:
-                        fact["context"], fact["body"] = near, body
+                    body = "\n".join(lines[at - 1:node.end_lineno])
+                    if "except:" in body or "except:" in around(at):
+                        fact["body"], near = body, True
+            if kind not in ("string", "branch"):
+                place(fact, at, near)
             out.append(fact)
         stack.extend(reversed(list(ast.iter_child_nodes(node))))
+    for at, near in sorted(long.items()):
+        out.append({"kind": "line", "seq": len(out), "line": at, "code": lines[at - 1], "context": around(at) if near else None})
     return out
 
 
@@ -199,13 +223,15 @@ def extract_facts(files: DataFrame, names: frozenset[str] | None = None) -> Data
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore")  # the worker's own; odd escapes in parsed code warn
         rows: list[dict] = []
+        held = 0
         for batch in batches:
             for file_id, path, text in zip(*(batch.column(c) for c in ("file_id", "path", "text"))):
                 for fact in file_facts(text.as_py() or "", wanted):
                     rows.append({"file_id": file_id.as_py(), "path": path.as_py(), **fact})
-                    if len(rows) >= _BATCH:
+                    held += sum(len(fact.get(c) or "") for c in ("code", "context", "body", "value"))
+                    if len(rows) >= _BATCH or held >= _BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows = []
+                        rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
@@ -223,6 +249,14 @@ def of_kind(facts: DataFrame, kind: str) -> DataFrame:
     return facts.where(F.col("kind") == kind)
 
 
+def with_lines(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` of facts with the code and context of long lines filled in.
+    Few lines are long, so the join is small."""
+    long = of_kind(facts, "line").select("file_id", "line", F.col("code").alias("_code"), F.col("context").alias("_context"))
+    return rows.join(long, ["file_id", "line"], "left").withColumns({
+        "code": F.coalesce("code", "_code"), "context": F.coalesce("context", "_context")}).drop("_code", "_context")
+
+
 def definitions(facts: DataFrame, kind: str = "function") -> DataFrame:
     """Definitions by name; the last one of a name counts."""
     return of_kind(facts, kind).where(~F.col("shadowed"))
@@ -247,9 +281,9 @@ def _python_rules(rules: DataFrame, pattern_type: str) -> DataFrame:
     return rules.where(here & (F.col("pattern_type") == pattern_type))
 
 
-def _rule_finding(rows: DataFrame) -> DataFrame:
+def _rule_finding(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return as_findings(
-        rows, "rule", file=F.col("path"), match_no=F.col("seq"), type=F.col("rule_name"))
+        with_lines(rows, facts), "rule", file=F.col("path"), match_no=F.col("seq"), type=F.col("rule_name"))
 
 
 _RULE_LABELS = ("rule_id", "rule_name", "description", "severity", "mitigation")
@@ -266,7 +300,7 @@ def rule_calls(facts: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("include_methods") & F.col("name").endswith(F.concat(F.lit("."), F.col("rule_call"))))
     formatted = F.col("is_formatted") | F.exists("args", lambda a: a.rlike(r"%s|\{|\+"))
     return _rule_finding(
-        calls.join(r, "_last").where(same & (~F.col("with_string_formatting") | formatted)))
+        calls.join(r, "_last").where(same & (~F.col("with_string_formatting") | formatted)), facts)
 
 
 def rule_imports(facts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -274,13 +308,24 @@ def rule_imports(facts: DataFrame, rules: DataFrame) -> DataFrame:
     r = _python_rules(rules, "import").select(*_RULE_LABELS, F.col("name").alias("_key"))
     keys = of_kind(facts, "import").withColumn(
         "_key", F.explode(F.array_distinct(F.array_compact(F.array("name", "module")))))
-    return _rule_finding(keys.join(r, "_key"))
+    return _rule_finding(keys.join(r, "_key"), facts)
 
 
 def rule_assignments(facts: DataFrame, rules: DataFrame) -> DataFrame:
     r = _python_rules(rules, "assignment").where(F.col("variable_name").isNotNull()).select(
         *_RULE_LABELS, F.col("variable_name").alias("_key"))
-    return _rule_finding(of_kind(facts, "assign").withColumn("_key", F.col("name")).join(r, "_key"))
+    return _rule_finding(of_kind(facts, "assign").withColumn("_key", F.col("name")).join(r, "_key"), facts)
+
+
+def rule_exceptions(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Exception handlers whose head holds the text of a rule."""
+    r = _python_rules(rules, "exception_handling").where(F.col("pattern").isNotNull()).select(
+        *_RULE_LABELS, F.col("pattern").alias("_text"))
+    # The texts are configuration: each head is tested against them in place.
+    texts = sorted(row["_text"] for row in r.select("_text").distinct().collect())
+    handlers = of_kind(facts, "handler").drop("severity", "description").withColumn(
+        "_text", F.explode(F.filter(tx.text_array(texts or ["\0"]), lambda t: F.contains(F.col("value"), t))))
+    return _rule_finding(handlers.join(r, "_text"), facts)
 
 
 def skipped_rules(rules: DataFrame) -> DataFrame:
@@ -293,7 +338,7 @@ def dangerous_calls(facts: DataFrame) -> DataFrame:
     kinds = tx.text_map(DANGEROUS_CALLS)
     rows = of_kind(facts, "call").where(F.col("rooted")).withColumn("type", F.try_element_at(kinds, F.col("name")))
     return as_findings(
-        rows.where(F.col("type").isNotNull()), "call",
+        with_lines(rows.where(F.col("type").isNotNull()), facts), "call",
         file=F.col("path"), match_no=F.col("seq"), rule_id=F.lit("dangerous-call"),
         severity=F.lit("Medium"), confidence=F.lit("Medium"), code=tx.strip(F.col("code")),
         description=F.concat(F.lit("Potentially dangerous function call: "), F.col("name")))
@@ -302,11 +347,16 @@ def dangerous_calls(facts: DataFrame) -> DataFrame:
 def user_input_calls(facts: DataFrame) -> DataFrame:
     rows = of_kind(facts, "call").where(F.col("rooted") & (F.col("name") == "input"))
     return as_findings(
-        rows, "call", file=F.col("path"), match_no=F.col("seq"), rule_id=F.lit("user-input"),
+        with_lines(rows, facts), "call", file=F.col("path"), match_no=F.col("seq"), rule_id=F.lit("user-input"),
         type=F.lit("User Input"), severity=F.lit("Low"), confidence=F.lit("Low"),
         code=tx.strip(F.col("code")), description=F.lit("Unvalidated user input from input() function"))
 
 
+def unparsed_files(facts: DataFrame) -> DataFrame:
+    """Files the parser gave up on for another reason than their syntax."""
+    return of_kind(facts, "unparsed").select("file_id", "path")
+
+
 def syntax_errors(facts: DataFrame) -> DataFrame:
     return as_findings(
         of_kind(facts, "syntax_error"), "call", file=F.col("path"), match_no=F.col("seq"),

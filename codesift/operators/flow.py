@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import itertools
+import sys
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codesift.operators.facts import definitions, of_kind
+from codesift.operators.facts import definitions, of_kind, with_lines
 from codesift.operators.ordering import next_in_groups, numbered_in_groups
 from codesift.schemas import as_findings
 from codesift.session import durable, durable_counted
 
+# The helpers travel with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Lines per bin of the interval joins, and calls per chunk of a function.
 BIN = 64
 CHUNK = 1000
@@ -32,7 +38,7 @@ def bare_except(facts: DataFrame, scope: str = "function") -> DataFrame:
     """Functions with ``except:`` and no ``except Exception`` in their text, or,
     with ``scope='context'``, in the two lines around their definition."""
     text = F.col("body" if scope == "function" else "context")
-    rows = definitions(facts).where(
+    rows = with_lines(definitions(facts).where(F.col("body").isNotNull()), facts).where(
         F.contains(text, F.lit("except:")) & ~F.contains(text, F.lit("except Exception")))
     return as_findings(
         rows, "flow", file=F.col("path"), match_no=F.col("seq"), rule_id=F.lit("bare-except"),
@@ -44,7 +50,7 @@ def bare_except(facts: DataFrame, scope: str = "function") -> DataFrame:
 
 
 def unmanaged_open(facts: DataFrame) -> DataFrame:
-    rows = of_kind(facts, "call").where((F.col("name") == "open") & ~F.contains("code", F.lit("with ")))
+    rows = with_lines(of_kind(facts, "call").where(F.col("name") == "open"), facts).where(~F.contains("code", F.lit("with ")))
     return as_findings(
         rows, "flow", file=F.col("path"), match_no=F.col("seq"), rule_id=F.lit("unmanaged-open"),
         type=F.lit("Resource not properly managed"), severity=F.lit("Medium"),
@@ -207,18 +213,39 @@ def call_edges(facts: DataFrame) -> DataFrame:
     return top.unionByName(inner).join(names, ["file_id", "callee"], "left_semi").distinct()
 
 
+def _unreached(rows: pa.Table) -> pa.Table:
+    """Functions of one file that no calls from module level lead to."""
+    calls: dict[str, list[str]] = {}
+    reach: list[str] = []
+    for caller, callee, is_call in zip(*(rows[c].to_pylist() for c in ("caller", "function", "is_call"))):
+        if is_call and caller is None:
+            reach.append(callee)
+        elif is_call:
+            calls.setdefault(caller, []).append(callee)
+    seen = set(reach)
+    while reach:
+        for callee in calls.get(reach.pop(), ()):
+            if callee not in seen:
+                seen.add(callee)
+                reach.append(callee)
+    keep = [not is_call and f not in seen for f, is_call in zip(rows["function"].to_pylist(), rows["is_call"].to_pylist())]
+    return rows.filter(pa.array(keep, pa.bool_())).select(["file_id", "path", "function", "line"])
+
+
 def unreachable_functions(facts: DataFrame) -> DataFrame:
-    """Functions no chain of calls from module level leads to."""
-    def node(c: str) -> Column:
-        return F.concat_ws(":", F.col("file_id").cast("string"), F.col(c))
-
-    edges = durable(call_edges(facts))
-    inner = edges.where(F.col("caller").isNotNull()).select(node("caller").alias("src"), node("callee").alias("dst"))
-    starts = edges.where(F.col("caller").isNull()).select(node("callee").alias("node"))
-    reached = reachable(inner, starts)
-    functions = definitions(facts).select("file_id", "path", F.col("name").alias("function"), "line").withColumn(
-        "node", node("function"))
-    return functions.join(reached, "node", "left_anti").drop("node")
+    """Functions no chain of calls from module level leads to.
+
+    A chain stays in its file, and a file was one text in one row, so each
+    file's calls are followed in one task, however long the chain.
+    """
+    functions = definitions(facts).select(
+        "file_id", "path", F.col("name").alias("function"), "line", F.lit(None).cast("string").alias("caller"), F.lit(False).alias("is_call"))
+    none = F.lit(None)
+    calls = call_edges(facts).select(
+        "file_id", none.cast("string").alias("path"), F.col("callee").alias("function"), none.cast("int").alias("line"),
+        "caller", F.lit(True).alias("is_call"))
+    schema = "file_id bigint, path string, function string, line int"
+    return functions.unionByName(calls).groupBy("file_id").applyInArrow(_unreached, schema)
 
 
 def path_count(facts: DataFrame) -> DataFrame:

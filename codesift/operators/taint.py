@@ -1,22 +1,29 @@
 """Data flow: untrusted values from sources through assignments to sinks.
 
-Everything is keyed by (file, variable) or (file, line), so no join gathers a
-whole file, and the closure is a loop of joins whose frontier is cut durably
-each round.
+Joins are keyed by (file, variable) or (file, line).  The closure runs file by
+file in one job: a file was one text in one row, so its variables and lines fit
+in a task.
 """
 
 from __future__ import annotations
 
+import sys
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codesift.catalog.taint import DEFAULT_MITIGATION, MITIGATIONS, SANITIZERS, TAINT_SINKS, TAINT_SOURCES
 from codesift.functions import text as tx
-from codesift.operators.facts import of_kind
+from codesift.operators.facts import of_kind, with_lines
 from codesift.schemas import as_findings
-from codesift.session import durable, durable_counted
+from codesift.session import durable
+
+# The helpers travel with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 IDENTIFIER = r"(?dU)\b[^\W\d]\w*"
-_GRAM = 3
 
 
 def _matching(table: list[dict]) -> Column:
@@ -43,10 +50,11 @@ def taint_sources(facts: DataFrame, sources: dict[str, str] = TAINT_SOURCES) ->
             for i, (s, kind) in enumerate(sources.items())])).alias("s"),
     ).where(F.col("s").isNotNull())
     near = calls.withColumn("line", F.explode(F.sequence(F.col("line") - 1, F.col("line") + 1)))
-    assigns = of_kind(facts, "assign").select(
-        "file_id", "line", F.col("seq").alias("assign_seq"), F.col("name").alias("var"))
+    # Of each line only the first assignment can be the first near a call.
+    assigns = of_kind(facts, "assign").groupBy("file_id", "line").agg(
+        F.min(F.struct(F.col("seq").alias("assign_seq"), F.col("name").alias("var"))).alias("f"))
     first = near.join(assigns, ["file_id", "line"]).groupBy("file_id", "path", "call_seq", "s").agg(
-        F.min(F.struct("assign_seq", "var", "line")).alias("a"))
+        F.min(F.struct("f.assign_seq", "f.var", "line")).alias("a"))
     marked = first.groupBy("file_id", "path", F.col("a.var").alias("var")).agg(
         F.max(F.struct("call_seq", F.col("s.no").alias("no"), F.col("s.taint_type").alias("taint_type"),
                        F.col("s.entry").alias("origin"), F.col("a.line").alias("line"))).alias("m"))
@@ -55,67 +63,106 @@ def taint_sources(facts: DataFrame, sources: dict[str, str] = TAINT_SOURCES) ->
         F.lit(None).cast("string").alias("parent"), "m.line", F.lit(0).alias("depth"))
 
 
-def _line_keys(code: Column, match: str) -> Column:
-    """Join keys of a line: its identifiers, or, to find a variable anywhere
-    inside the line, its short substrings."""
-    if match == "identifier":
-        return F.array_distinct(F.regexp_extract_all(code, F.lit(IDENTIFIER), F.lit(0)))
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.length(code)), lambda p: F.substr(code, p, F.lit(n)))
-        for n in range(1, _GRAM + 1)]
-    return F.when(F.length(code) > 0, F.array_distinct(F.concat(*grams)))
-
-
-def _variable_key(var: Column, match: str) -> Column:
-    return var if match == "identifier" else F.left(var, F.lit(_GRAM))
-
-
-def _uses(rows: DataFrame, match: str) -> DataFrame:
-    return rows.withColumn("_key", F.explode(_line_keys(F.col("code"), match)))
-
-
-def _really(match: str) -> Column:
-    return F.lit(True) if match == "identifier" else F.contains(F.col("code"), F.col("var"))
+def _lines(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """The distinct lines of facts, each with its code once."""
+    once = rows.groupBy("file_id", "line").agg(F.first("code", ignorenulls=True).alias("code"), F.lit(None).cast("string").alias("context"))
+    return with_lines(once, facts).select("file_id", "line", "code")
 
 
+def _names(code: Column, match: str) -> Column:
+    """What a line is searched for: its identifiers, or its whole text."""
+    if match == "identifier":
+        return F.array_distinct(F.regexp_extract_all(code, F.lit(IDENTIFIER), F.lit(0)))
+    return F.array(code)
 
 
-def _step(var: Column, line: Column, source: Column) -> Column:
-    return F.struct(var.alias("variable"), line.alias("line"), source.alias("source"))
+def _uses(lines: list[tuple[int, list[str]]], known: set[str], match: str) -> dict[str, list[int]]:
+    """Lines that name each of the known variables."""
+    out: dict[str, list[int]] = {}
+    if match == "identifier":
+        for line, names in lines:
+            for v in names or ():
+                if v in known:
+                    out.setdefault(v, []).append(line)
+        return out
+    search = ahocorasick.Automaton()
+    for v in known:
+        search.add_word(v, v)
+    search.make_automaton()
+    for line, (code,) in lines:
+        for v in {v for _, v in search.iter(code or "")} if known else ():
+            out.setdefault(v, []).append(line)
+    return out
+
+
+def _closure(rows: pa.Table, match: str) -> pa.Table:
+    """Tainted variables of one file, round by round.
+
+    A round takes the variables marked last; a line that names one of them
+    taints its targets not yet seen, the smallest (line, variable) first.  A
+    target is looked at until it is seen, so the work is linear in the file.
+    """
+    sources, targets, lines = {}, {}, []
+    for r in rows.to_pylist():
+        if r["role"] == "source":
+            sources[r["var"]] = r
+        elif r["role"] == "assign":
+            targets.setdefault(r["line"], set()).add(r["var"])
+        else:
+            lines.append((r["line"], r["names"]))
+    file_id, path = rows["file_id"][0].as_py(), next(iter(sources.values()))["path"] if sources else None
+    uses = _uses(lines, set(sources).union(*targets.values()) if sources else set(), match)
+    seen = {v: (v, r["taint_type"], r["origin"], None, r["line"], 0) for v, r in sources.items()}
+    frontier, depth = sorted(seen), 0
+    while frontier:
+        depth += 1
+        # The two smallest variables per line: a variable does not taint itself.
+        hit: dict[int, list[str]] = {}
+        for v in frontier:  # in ascending order
+            for line in uses.get(v, ()):
+                if len(hit.setdefault(line, [])) < 2:
+                    hit[line].append(v)
+        best: dict[str, tuple[int, str]] = {}
+        for line, by in hit.items():
+            for t in targets.get(line, ()):
+                parent = by[0] if by[0] != t else by[1] if len(by) > 1 else None
+                if parent is not None and t not in seen and (t not in best or (line, parent) < best[t]):
+                    best[t] = (line, parent)
+        for t, (line, parent) in best.items():
+            seen[t] = (t, seen[parent][1], seen[parent][2], parent, line, depth)
+        for line in hit:
+            targets[line] = {t for t in targets.get(line, ()) if t not in seen}
+        frontier = sorted(best)
+    out = list(zip(*seen.values())) or [()] * 6
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    return pa.table({
+        "file_id": pa.array([file_id] * len(seen), pa.int64()), "path": pa.array([path] * len(seen), pa.string()),
+        **{n: pa.array(v, t) for n, v, t in zip(("var", "taint_type", "origin", "parent", "line", "depth"), out, types)}})
+
+
+_TAINTED = "file_id bigint, path string, var string, taint_type string, origin string, parent string, line int, depth int"
 
 
 def taint_propagate(facts: DataFrame, tainted: DataFrame | None = None, match: str = "identifier") -> DataFrame:
-    """Closure of the tainted variables over assignments.
+    """Closure of the tainted variables over assignments, with the parent each
+    was tainted by.
 
-    A round joins the newest variables to the assignments whose line names
-    them and keeps targets not yet seen, the one with the smallest (line,
-    parent) first.  Each variable enters once, so cycles end.  ``path`` holds
-    the steps from the origin.
+    Values do not leave their file, and a file was one text in one row, so each
+    file is closed in one task, in one job however long its chains are.
     """
     sources = durable(tainted if tainted is not None else taint_sources(facts))
-    sources = sources.withColumn("path_steps", F.array(_step(F.col("var"), F.col("line"), F.col("origin"))))
     assigns = of_kind(facts, "assign").join(sources.select("file_id").distinct(), "file_id", "left_semi")
-    edges = durable(_uses(assigns.select(
-        "file_id", F.col("name").alias("target"), F.col("line").alias("assign_line"), "code"), match))
-    seen, frontier, depth = sources, sources, 0
-    while True:
-        depth += 1
-        heads = frontier.withColumn("_key", _variable_key(F.col("var"), match))
-        reached = edges.join(heads, ["file_id", "_key"]).where(
-            (F.col("target") != F.col("var")) & _really(match))
-        fresh = reached.join(
-            seen.select("file_id", F.col("var").alias("target")), ["file_id", "target"], "left_anti")
-        best = fresh.groupBy("file_id", "path", "target").agg(
-            F.min(F.struct("assign_line", "var", "taint_type", "origin", "path_steps")).alias("b"))
-        frontier, n = durable_counted(best.select(
-            "file_id", "path", F.col("target").alias("var"), "b.taint_type", "b.origin",
-            F.col("b.var").alias("parent"), F.col("b.assign_line").alias("line"), F.lit(depth).alias("depth"),
-            F.concat("b.path_steps", F.array(_step(
-                F.col("target"), F.col("b.assign_line"),
-                F.concat(F.lit("propagated from "), F.col("b.var"))))).alias("path_steps")))
-        if n == 0:
-            return seen
-        seen = seen.unionByName(frontier)
+    none = F.lit(None).cast("string")
+    no_names = F.lit(None).cast("array<string>")
+
+    def part(rows: DataFrame, role: str, **columns: Column) -> DataFrame:
+        columns = {"path": none, "var": none, "taint_type": none, "origin": none, "names": no_names} | columns
+        return rows.select("file_id", F.lit(role).alias("role"), "line", *[v.alias(k) for k, v in columns.items()])
+
+    rows = part(sources, "source", **{c: F.col(c) for c in ("path", "var", "taint_type", "origin")}).unionByName(
+        part(assigns.select("file_id", "line", "name").distinct(), "assign", var=F.col("name"))).unionByName(
+        part(_lines(assigns, facts), "line", names=_names(F.col("code"), match)))
+    return durable(rows.groupBy("file_id").applyInArrow(lambda t: _closure(t, match), _TAINTED))
 
 
 def mitigation_for(weakness: Column) -> Column:
@@ -130,23 +177,42 @@ def taint_to_sinks(
 
     ``self_hits`` also reports a variable on the line that taints it.
     """
-    clean = tx.contains_any(F.col("code"), SANITIZERS)
-    calls = of_kind(facts, "call").where(~clean).select(
+    calls = durable(of_kind(facts, "call").select(
         "file_id", "path", "seq", "line", "col", "code", "context", F.col("name").alias("sink_call"),
         F.explode_outer(_matching([
             {"entry": s.rstrip("("), "weakness": weakness, "severity": severity}
             for s, (weakness, severity) in sinks.items()])).alias("k"),
-    ).where(F.col("k").isNotNull())
-    vars_ = tainted.select(
-        "file_id", "var", "origin", "taint_type", "depth", "path_steps", F.col("line").alias("taint_line"),
-        _variable_key(F.col("var"), match).alias("_key"))
-    hits = _uses(calls, match).join(vars_, ["file_id", "_key"]).where(_really(match))
+    ).where(F.col("k").isNotNull()))
+    lines = _lines(calls, facts).where(~tx.contains_any(F.col("code"), SANITIZERS))
+    vars_ = tainted.select("file_id", "var", "origin", "taint_type", "depth", F.col("line").alias("taint_line"))
+    # Which variables a line names is found once per line, not per call.
+    named = _named(lines, vars_, match).join(vars_, ["file_id", "var"])
+    hits = calls.join(named, ["file_id", "line"])
     if not self_hits:
         hits = hits.where(F.col("taint_line") != F.col("line"))
-    return hits.select(
+    return with_lines(hits, facts).select(
         "file_id", "path", "seq", "line", "col", "code", "context",
         F.col("k.entry").alias("sink"), "k.weakness", "k.severity", "sink_call",
-        F.col("var").alias("tainted_variable"), "origin", "taint_type", "depth", "path_steps")
+        F.col("var").alias("tainted_variable"), "origin", "taint_type", "depth")
+
+
+def _named(lines: DataFrame, vars_: DataFrame, match: str) -> DataFrame:
+    """``file_id, line, var`` for the variables that lines name."""
+    if match == "identifier":
+        names = lines.select("file_id", "line", F.explode(_names(F.col("code"), match)).alias("var"))
+        return names.join(vars_.select("file_id", "var"), ["file_id", "var"], "left_semi")
+    both = lines.select("file_id", "line", "code", F.lit(None).cast("string").alias("var")).unionByName(
+        vars_.select("file_id", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("code"), "var"))
+
+    def find(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        uses = _uses([(r["line"], [r["code"]]) for r in rows if r["var"] is None], {r["var"] for r in rows if r["var"] is not None}, match)
+        found = [(line, v) for v, at in uses.items() for line in at]
+        return pa.table({
+            "file_id": pa.array([rows[0]["file_id"]] * len(found), pa.int64()),
+            "line": pa.array([x[0] for x in found], pa.int32()), "var": pa.array([x[1] for x in found], pa.string())})
+
+    return both.groupBy("file_id").applyInArrow(find, "file_id bigint, line int, var string")
 
 
 def taint_findings(hits: DataFrame) -> DataFrame:
@@ -159,24 +225,52 @@ def taint_findings(hits: DataFrame) -> DataFrame:
         mitigation=mitigation_for(F.col("weakness")))
 
 
-def taint_traces(hits: DataFrame) -> DataFrame:
+def _paths(wanted: pa.Table, tainted: pa.Table) -> pa.Table:
+    """Steps from the origin to each wanted variable of one file."""
+    by = {r["var"]: r for r in tainted.to_pylist()}
+    out = {"file_id": [], "tainted_variable": [], "steps": []}
+    for file_id, v in zip(wanted["file_id"].to_pylist(), wanted["tainted_variable"].to_pylist()):
+        chain, at = [], by.get(v)
+        while at is not None:
+            source = at["origin"] if at["parent"] is None else f"propagated from {at['parent']}"
+            chain.append({"variable": at["var"], "line": at["line"], "source": source})
+            at = by.get(at["parent"])
+        out["file_id"].append(file_id)
+        out["tainted_variable"].append(v)
+        out["steps"].append(chain[::-1])
+    step = pa.struct([("variable", pa.string()), ("line", pa.int32()), ("source", pa.string())])
+    return pa.table({
+        "file_id": pa.array(out["file_id"], pa.int64()), "tainted_variable": pa.array(out["tainted_variable"], pa.string()),
+        "steps": pa.array(out["steps"], pa.list_(step))})
+
+
+def _with_steps(hits: DataFrame, tainted: DataFrame) -> DataFrame:
+    """``hits`` with all ``steps`` from the origin to the sink.  They are built
+    from the parents, for the variables of hits only."""
+    wanted = hits.select("file_id", "tainted_variable").distinct()
+    held = tainted.select("file_id", "var", "parent", "origin", "line").join(wanted.select("file_id").distinct(), "file_id", "left_semi")
+    paths = wanted.groupBy("file_id").cogroup(held.groupBy("file_id")).applyInArrow(
+        _paths, "file_id bigint, tainted_variable string, steps array<struct<variable:string,line:int,source:string>>")
+    sink = F.struct(F.lit("sink").alias("variable"), F.col("line"), F.col("sink_call").alias("source"))
+    return hits.join(paths, ["file_id", "tainted_variable"]).withColumn("steps", F.concat("steps", F.array(sink)))
+
+
+def taint_traces(hits: DataFrame, tainted: DataFrame) -> DataFrame:
     """Ordered steps from the origin to the sink, one row per step."""
-    steps = F.concat("path_steps", F.array(_step(F.lit("sink"), F.col("line"), F.col("sink_call"))))
-    return hits.select(
-        "file_id", "path", "seq", "sink", "tainted_variable", "weakness",
-        F.posexplode(steps).alias("step", "s"),
+    return _with_steps(hits, tainted).select(
+        "file_id", "path", "seq", "sink", "tainted_variable", "weakness", F.posexplode("steps").alias("step", "s"),
     ).select("file_id", "path", "seq", "sink", "tainted_variable", "weakness", "step",
              "s.variable", "s.line", "s.source")
 
 
-def trace_edges(hits: DataFrame) -> DataFrame:
+def trace_edges(hits: DataFrame, tainted: DataFrame) -> DataFrame:
     """Edges between neighbouring steps of each trace, within the row."""
-    steps = F.concat("path_steps", F.array(_step(F.lit("sink"), F.col("line"), F.col("sink_call"))))
-    pairs = tx.let(steps, lambda s: F.transform(
+    pairs = tx.let(F.col("steps"), lambda s: F.transform(
         F.slice(s, F.lit(2), F.size(s) - 1),
         lambda b, i: F.struct(F.get(s, i).alias("a"), b.alias("b"), i.alias("i"))))
     node = lambda p: F.concat_ws(":", F.col("file_id").cast("string"), F.col(f"p.{p}.line").cast("string"), F.col(f"p.{p}.variable"))
-    return hits.select("file_id", "path", "seq", "sink", "tainted_variable", F.explode(pairs).alias("p")).select(
+    rows = _with_steps(hits, tainted)
+    return rows.select("file_id", "path", "seq", "sink", "tainted_variable", F.explode(pairs).alias("p")).select(
         "file_id", "seq", "sink", "tainted_variable", F.col("p.i").alias("step"),
         node("a").alias("source"), node("b").alias("target"), F.lit("trace").alias("type"))
 

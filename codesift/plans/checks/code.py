@@ -47,6 +47,11 @@ def _hits(s, d, which, **more):
     return taint.taint_to_sinks(f, t, **more)
 
 
+def _traced(run, s, d, which):
+    f, t = _tainted(s, d, which)
+    return run(taint.taint_to_sinks(f, t), t)
+
+
 def _both(run):
     """The same operator over both corpora."""
     return lambda s, d: run(_code(s, d)).unionByName(run(_flow(s, d)))
@@ -64,7 +69,7 @@ _CODE_FACTS = [
     (6, "assign", 0, "q", 1, 1, "Call"), (6, "call", 1, "request.args.get", 1, 1, None), (6, "string", 2, None, 1, 1, None),
     (6, "assign", 3, "z", 2, 2, "Constant"), (6, "assign", 4, "r", 3, 3, "Name"), (6, "assign", 5, "s", 4, 4, "Constant"),
     (6, "call", 6, "cursor.execute", 5, 5, None),
-    (7, "function", 0, "f", 1, 5, None),
+    (7, "function", 0, "f", 1, 5, None), (7, "handler", 1, None, 4, 5, None),
 ]
 _FLOW_CALLS = [
     (0, "auth", 3), (0, "request.args.get", 4), (0, "os.system", 6), (0, "done", 7), (0, "load", 9),
@@ -241,6 +246,7 @@ CHECKS = {
         fx.rule_imports, [], [(2, "PY-INSECURE-RANDOM-001", "Medium", 1), (5, "PY-WEAK-CRYPTO-001", "Medium", 1)]),
     "rule_assignments": _rule_check(
         fx.rule_assignments, [(4, "PY-HARDCODED-SECRET-001", "High", 1)], [(3, "PY-HARDCODED-SECRET-001", "High", 7)]),
+    "rule_exceptions": _rule_check(fx.rule_exceptions, [(7, "PY-BARE-EXCEPT-001", "Low", 4)], []),
     "dangerous_calls": Check(
         _both(lambda f: fx.dangerous_calls(f).select("file_id", F.col("file").alias("path"), "line", "type", "description", "code")),
         _expect(["line", "type", "description", "code"], [], [
@@ -268,7 +274,7 @@ CHECKS = {
         lambda s, d: _hits(s, d, _code, self_hits=True).select("file_id", "path", *_SINK_COLUMNS),
         _expect(_SINK_COLUMNS, _CODE_SINKS + _SELF_SINKS)),
     "taint_traces": Check(
-        lambda s, d: taint.taint_traces(_hits(s, d, _code).unionByName(_hits(s, d, _flow))).select(
+        lambda s, d: _traced(taint.taint_traces, s, d, _code).unionByName(_traced(taint.taint_traces, s, d, _flow)).select(
             "file_id", "path", "sink", "step", "variable", "line", "source"),
         _expect(["sink", "step", "variable", "line", "source"], _trace_rows("c", _CODE_SINKS, False), _trace_rows("f", _FLOW_SINKS, False))),
     "mitigation_lookup": Check(
@@ -321,8 +327,7 @@ CHECKS = {
         _both(flow.path_count),
         _expect(["functions"], [(7, 1)], [(0, 1), (1, 3), (2, 1), (3, 2), (5, 1)], "functions::BIGINT AS functions")),
     "trace_edges": Check(
-        lambda s, d: taint.trace_edges(_hits(s, d, _code).withColumn("path", F.lit("c")).unionByName(
-            _hits(s, d, _flow).withColumn("path", F.lit("f")))).select("file_id", "sink", "step", "source", "target", "type"),
+        lambda s, d: _traced(taint.trace_edges, s, d, _code).unionByName(_traced(taint.trace_edges, s, d, _flow)).select("file_id", "sink", "step", "source", "target", "type"),
         _strip_path(_expect(["sink", "step", "a", "b"], _trace_rows("c", _CODE_SINKS, True), _trace_rows("f", _FLOW_SINKS, True),
                             "sink, step, p_partkey::VARCHAR || ':' || a AS source, p_partkey::VARCHAR || ':' || b AS target, 'trace' AS type"))),
 }

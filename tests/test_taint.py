@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from codesift.operators import facts as fx, taint
 
@@ -27,7 +28,7 @@ def test_cycle_ends_and_traces(files):
     facts = fx.fact_table(files({"a.py": CYCLE}))
     tainted = taint.taint_propagate(facts)
     assert {(r["var"], r["parent"], r["depth"]) for r in tainted.collect()} == {("a", None, 0), ("b", "a", 1), ("c", "a", 1)}
-    steps = sorted((r["step"], r["variable"], r["line"]) for r in taint.taint_traces(taint.taint_to_sinks(facts, tainted)).collect())
+    steps = sorted((r["step"], r["variable"], r["line"]) for r in taint.taint_traces(taint.taint_to_sinks(facts, tainted), tainted).collect())
     assert steps == [(0, "a", 1), (1, "c", 5), (2, "sink", 7)]
 
 
@@ -72,9 +73,24 @@ def test_random_programs(files, match):
         assert got[path] == closure(lines, {"start"}, match), path
 
 
-def test_long_chain(files):
-    text = "v0 = input()\npad = 1\n" + "".join(f"v{i} = v{i - 1}\n" for i in range(1, 13)) + "eval(v12)\n"
+@pytest.mark.parametrize("links", [12, 1000])
+def test_long_chain(files, links):
+    text = "v0 = input()\npad = 1\n" + "".join(f"v{i} = v{i - 1}\n" for i in range(1, links + 1)) + f"eval(v{links})\n"
     facts = fx.fact_table(files({"a.py": text}))
-    hits = taint.taint_to_sinks(facts, taint.taint_propagate(facts))
-    assert [(r["tainted_variable"], r["depth"]) for r in hits.collect()] == [("v12", 12)]
-    assert taint.taint_traces(hits).count() == 14
+    tainted = taint.taint_propagate(facts)
+    hits = taint.taint_to_sinks(facts, tainted)
+    assert [(r["tainted_variable"], r["depth"]) for r in hits.collect()] == [(f"v{links}", links)]
+    assert taint.taint_traces(hits, tainted).count() == links + 2
+
+
+def test_one_long_line(files):
+    """A generated file of one line: facts do not repeat it, joins do not square it."""
+    n = 20_000
+    text = "q = request.args.get(1);" + ";".join(f"v{i} = q" for i in range(n)) + ";" + ";".join(["f(q)"] * n) + ";os.system(q)"
+    facts = fx.fact_table(files({"a.py": text}))
+    size = facts.agg(F.sum(F.coalesce(F.length("code"), F.lit(0)) + F.coalesce(F.length("context"), F.lit(0))).alias("n")).first()["n"]
+    assert size <= 2 * len(text) + 10
+    assert taint.taint_propagate(facts).count() == n + 1
+    hits = taint.taint_to_sinks(facts, taint.taint_sources(facts), self_hits=True)
+    assert [(r["tainted_variable"], r["code"] == text) for r in hits.collect()] == [("q", True)]
+    assert [r["code"] == text for r in fx.dangerous_calls(facts).collect()] == [True]
