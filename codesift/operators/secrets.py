@@ -99,10 +99,10 @@ def secrets_union(env: DataFrame, pattern_secrets: DataFrame) -> DataFrame:
     return pattern_secrets.unionByName(env, allowMissingColumns=True)
 
 
-def all_secrets(files: DataFrame) -> DataFrame:
+def all_secrets(files: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """Both kinds over one corpus, likely false positives left out.  Files over
-    the size cap are searched for keys only."""
-    capped = files.where(F.col("size") <= MAX_FILE_BYTES)
+    ``max_bytes`` (none with ``None``) are searched for keys only."""
+    capped = files if max_bytes is None else files.where(F.col("size") <= max_bytes)
     return secrets_union(env_secrets(files), as_secret_rows(drop_false_positives(scan_sensitive(capped))))
 
 

@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from codesift.operators import deps, facts as fx, flow, report, score, search, secrets, select, taint
+from codesift.catalog.languages import MAX_FILE_BYTES
+from codesift.operators import account, deps, facts as fx, flow, report, score, search, secrets, select, taint
 from codesift.sources import catalogues, corpus
 
 
@@ -20,6 +21,7 @@ class Scan:
     findings: DataFrame
     secrets: DataFrame | None = None
     extra: DataFrame | None = None
+    skipped: DataFrame | None = None
 
     def totals(self) -> DataFrame:
         secrets_ = self.secrets if self.secrets is not None else self.files.sparkSession.createDataFrame([], "file string")
@@ -33,12 +35,17 @@ def pattern_scan(
     with_secrets: bool = True,
     search_pattern: str | None = None,
     search_functions: list[str] | None = None,
+    max_bytes: int | None = MAX_FILE_BYTES,
 ) -> Scan:
-    """Rules by extension, calls of Python files, scores, and secrets."""
+    """Rules by extension, calls of Python files, scores, and secrets.
+
+    Files over ``max_bytes`` (none with ``None``) are left out and listed in
+    ``skipped``, with what could not be parsed.
+    """
     chosen = select.env_files(files, extensions) if with_secrets else select.supported_files(files, extensions)
     if exclude_pattern:
         chosen = select.exclude_paths(chosen, exclude_pattern)
-    texts = corpus.size_cap(chosen.where(~F.col("path").endswith(".env")) if with_secrets else chosen)
+    texts = corpus.size_cap(chosen.where(~F.col("path").endswith(".env")) if with_secrets else chosen, max_bytes)
     facts = fx.fact_table(texts)
     findings = score.score_findings(report.all_findings(
         search.pattern_findings(texts), fx.dangerous_calls(facts), fx.user_input_calls(facts), fx.syntax_errors(facts)))
@@ -48,7 +55,8 @@ def pattern_scan(
     if search_functions:
         named = search.search_functions(texts, search_functions)
         extra = named if extra is None else extra.unionByName(named, allowMissingColumns=True)
-    return Scan(chosen, findings, secrets.all_secrets(chosen) if with_secrets else None, extra)
+    found = secrets.all_secrets(chosen, max_bytes) if with_secrets else None
+    return Scan(chosen, findings, found, extra, account.skipped_files(chosen, facts, max_bytes))
 
 
 def advanced_scan(
@@ -58,6 +66,7 @@ def advanced_scan(
     queries: DataFrame | None = None,
     advisories: DataFrame | None = None,
     match: str = "identifier",
+    max_bytes: int | None = MAX_FILE_BYTES,
 ) -> Scan:
     """Structural rules, data flow, control flow, dependencies and queries.
 
@@ -66,7 +75,8 @@ def advanced_scan(
     manifests and queries see every file given.
     """
     spark = files.sparkSession
-    chosen = corpus.size_cap(select.supported_files(files, extensions))
+    supported = select.supported_files(files, extensions)
+    chosen = corpus.size_cap(supported, max_bytes)
     names = None if rules is None else fx.rule_names(rules)
     rules = catalogues.rules_table(spark) if rules is None else rules
     advisories = catalogues.advisory_table(spark) if advisories is None else advisories
@@ -75,10 +85,11 @@ def advanced_scan(
     hits = deps.dedup_advisories(deps.vulnerable_deps(deps.read_dependencies(files), advisories))
     findings = report.all_findings(
         fx.rule_calls(facts, rules), fx.rule_imports(facts, rules), fx.rule_assignments(facts, rules),
+        fx.rule_exceptions(facts, rules),
         taint.taint_findings(taint.taint_to_sinks(facts, tainted, match=match)),
         flow.bare_except(facts), flow.unmanaged_open(facts),
         deps.dependency_findings(hits), search.run_all_queries(files, queries))
-    return Scan(chosen, findings)
+    return Scan(chosen, findings, skipped=account.skipped_files(files, facts, max_bytes))
 
 
 def findings_per_severity(files: DataFrame) -> DataFrame:

@@ -162,8 +162,9 @@ def read_corpus(
     )
 
 
-def size_cap(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    return files.where(F.col("size") <= max_bytes)
+def size_cap(files: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+    """Files of at most ``max_bytes``; all with ``None``."""
+    return files if max_bytes is None else files.where(F.col("size") <= max_bytes)
 
 
 def max_files_cap(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
