@@ -36,3 +36,13 @@ def skipped_files(files: DataFrame, facts: DataFrame | None = None, max_bytes: i
         unparsed = unparsed_files(facts).select("path", F.lit(None).cast("long").alias("size"), F.lit("source does not parse").alias("reason"))
         parts.append(unparsed)
     return reduce(DataFrame.unionByName, parts)
+
+
+def colliding_ids(files: DataFrame) -> DataFrame:
+    """Paths that share a ``file_id`` with another path.
+
+    Ids of ``read_corpus`` are 64-bit digests of paths; among some ten billion
+    files a few are expected to meet, and joins on the id would mix them.
+    """
+    met = files.groupBy("file_id").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b")
+    return files.select("file_id", "path").join(met.select("file_id"), "file_id", "left_semi")

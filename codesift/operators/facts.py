@@ -329,7 +329,7 @@ def rule_exceptions(facts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def skipped_rules(rules: DataFrame) -> DataFrame:
-    """Rule patterns of a type without a defined meaning."""
+    """Rule patterns that no operator reads: of another type or language."""
     return rules.where(~F.col("applied")).select("language", "rule_id", "pattern_no", "pattern_type")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codesift.catalog.structural import GRAPH_DANGEROUS_NAMES
 from codesift.functions import text as tx
 from codesift.operators.report import DEPENDENCY_FILE
+from codesift.session import durable
 
 
 def file_node_id(file: Column) -> Column:
@@ -27,8 +28,9 @@ def _in_files(findings: DataFrame) -> DataFrame:
 
 
 def graph_nodes(findings: DataFrame) -> DataFrame:
-    """One node per file with findings and one per finding."""
-    rows = _in_files(findings)
+    """One node per file with findings and one per finding.  The findings are
+    read twice, so their columns are cut first."""
+    rows = durable(_in_files(findings).select("file", "phase", "rule_id", "match_no", "line", "type", "severity"))
     none = F.lit(None).cast("string")
     file_nodes = rows.select("file").distinct().select(
         file_node_id(F.col("file")).alias("id"), tx.base_name(F.col("file")).alias("label"),

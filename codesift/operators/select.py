@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codesift.catalog.languages import EXCLUDED_DIRS, EXCLUDED_FILES, SEVERITY_RANKS, SUPPORTED_EXTENSIONS
 from codesift.functions import text as tx
 from codesift.operators.ordering import numbered
+from codesift.session import durable
 
 
 def _supported(extensions: list[str] | None) -> Column:
@@ -103,7 +104,8 @@ def findings_view(findings: DataFrame) -> DataFrame:
     """List view: number in report order, short names, short description."""
     order = [report_rank(F.col("severity")), F.col("file"), F.col("file_id"), F.col("line"),
              F.col("rule_id"), F.col("match_no")]
-    rows = numbered(findings, order)
+    # The order is sampled before it is sorted: the findings are written first.
+    rows = numbered(durable(findings), order)
     return rows.select(
         "row_no", "severity", "type",
         tx.base_name(F.col("file")).alias("file_name"),

@@ -50,7 +50,7 @@ def ext(path: str) -> str:
 DOCS = ("SELECT doc_id AS file_id, source || '/' || doc_id::VARCHAR || '.' || lang AS path, "
         "length(text)::BIGINT AS size, text FROM documents")
 PAGES = "SELECT page_id AS file_id, regexp_replace(url, '[?#].*', '') AS path, length(html)::BIGINT AS size, html AS text FROM pages"
-CONVERSATIONS = ("SELECT conv_id * 1000 + turn AS file_id, 'conv/' || conv_id::VARCHAR || '/' || turn::VARCHAR || '.txt' AS path, "
+CONVERSATIONS = ("SELECT conv_id * 1048576 + turn AS file_id, 'conv/' || conv_id::VARCHAR || '/' || turn::VARCHAR || '.txt' AS path, "
                  "length(text)::BIGINT AS size, text FROM conversations")
 
 

@@ -29,11 +29,11 @@ def _general(s, d, **more):
 
 def _both(s, d):
     """Documents and code of many languages in one corpus."""
-    code = tables.polyglot_files(s, d).withColumn("file_id", F.col("file_id") + 10_000_000)
+    code = tables.polyglot_files(s, d).withColumn("file_id", -1 - F.col("file_id"))
     return _docs(s, d).unionByName(code)
 
 
-_BOTH = f"SELECT file_id, path, text FROM ({DOCS}) UNION ALL SELECT file_id + 10000000, path, text FROM ({POLYGLOT})"
+_BOTH = f"SELECT file_id, path, text FROM ({DOCS}) UNION ALL SELECT -1 - file_id, path, text FROM ({POLYGLOT})"
 _GROUP = f"CASE WHEN substr({ext('f.path')}, 2) IN ({', '.join(lit(g) for g in search.EXTENSION_GROUPS)}) THEN substr({ext('f.path')}, 2) ELSE 'generic' END"
 
 

@@ -19,7 +19,7 @@ from codesift.sources import tables
 
 def _findings(s, d):
     docs = search.pattern_findings(tables.document_files(s, d), ["generic", "sensitive_data"])
-    code = search.pattern_findings(tables.polyglot_files(s, d).withColumn("file_id", F.col("file_id") + 10_000_000))
+    code = search.pattern_findings(tables.polyglot_files(s, d).withColumn("file_id", -1 - F.col("file_id")))
     return report.all_findings(docs, code)
 
 
@@ -32,7 +32,7 @@ _TYPES = {r[0]: r[2] for r in pattern_rows(BY_EXTENSION)}
 _ALL_ROWS = pattern_rows(BY_EXTENSION + ["sensitive_data"])
 # One relation ``f``: findings of the documents, then of the code corpus.
 _BASE = f"""{pattern_found(DOCS)},
-code_found AS (WITH {_CODE_FOUND.replace(_BOTH, f"SELECT file_id + 10000000 AS file_id, path, text FROM ({POLYGLOT})")}),
+code_found AS (WITH {_CODE_FOUND.replace(_BOTH, f"SELECT -1 - file_id AS file_id, path, text FROM ({POLYGLOT})")}),
 {values('labels', ['rule_id', 'type', 'severity', 'confidence', 'description'], [(r[0], r[2], r[4], r[5], r[6]) for r in _ALL_ROWS])},
 f AS (SELECT file_id, path AS file, rule_id, match_no, line, {CODE_LINE} AS code, severity, type, description FROM found
   UNION ALL SELECT c.file_id, c.file, c.rule_id, c.match_no, c.line, c.code, l.severity, l.type, l.description
@@ -95,7 +95,7 @@ def _phases(s, d):
     files = tables.polyglot_files(s, d)
     return report.all_findings(
         search.pattern_findings(files), search.run_all_queries(files),
-        search.pattern_findings(tables.flow_files(s, d).withColumn("file_id", F.col("file_id") + 10_000_000)))
+        search.pattern_findings(tables.flow_files(s, d).withColumn("file_id", -1 - F.col("file_id"))))
 
 
 def _query_sql(corpus: str) -> str:
@@ -105,7 +105,7 @@ def _query_sql(corpus: str) -> str:
 
 
 _POLY_BY_EXT = _by_extension_sql().replace(_BOTH, POLYGLOT)
-_FLOW_BY_EXT = _by_extension_sql().replace(_BOTH, f"SELECT file_id + 10000000 AS file_id, path, text FROM ({FLOW})")
+_FLOW_BY_EXT = _by_extension_sql().replace(_BOTH, f"SELECT -1 - file_id AS file_id, path, text FROM ({FLOW})")
 _PHASES = f"""pattern_rows AS (({_POLY_BY_EXT}) UNION ALL ({_FLOW_BY_EXT})),
 query_rows AS (WITH {_query_sql(POLYGLOT)} SELECT * FROM found)"""
 

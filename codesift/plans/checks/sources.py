@@ -76,7 +76,7 @@ def _pages(spark, sf):
 
 _FOUND_DOCS = pattern_found(DOCS)
 _FINDING = f"SELECT file_id, path AS file, line, rule_id, match_no, severity, {CODE_LINE} AS code, type, description FROM found"
-_RULE_ROWS = [(language, rid, p["type"] in APPLIED_PATTERN_TYPES)
+_RULE_ROWS = [(language, rid, language == "python" and p["type"] in APPLIED_PATTERN_TYPES and (p["type"] != "assignment" or "variable_name" in p))
               for language, rid, _n, _d, _s, patterns, _m in STRUCTURAL_RULE_ROWS for p in patterns]
 _MANIFEST_LANGUAGES = values("m", ["i", "language"], [
     (i, lang) for i, lang in enumerate(

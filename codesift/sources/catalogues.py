@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -102,6 +101,14 @@ def pattern_table(spark: SparkSession) -> DataFrame:
               "severity string, confidence string, cwe string")
 
 
+def _is_applied():
+    """Whether an operator reads the pattern: facts are those of Python files,
+    and an assignment is known by the name of its variable."""
+    kind = F.col("p.type")
+    named = F.when(kind == "assignment", F.col("p.variable_name").isNotNull()).otherwise(F.lit(True))
+    return F.coalesce(kind.isin(APPLIED_PATTERN_TYPES) & named, F.lit(False)) & (extension_of_language(F.col("language")) == ".py")
+
+
 def _one_row_per_pattern(rule_files: DataFrame) -> DataFrame:
     rules = rule_files.select(
         F.coalesce("language", F.lit("common")).alias("language"), F.explode("rules").alias("r"))
@@ -122,7 +129,7 @@ def _one_row_per_pattern(rule_files: DataFrame) -> DataFrame:
         F.col("p.target").alias("target"),
         F.col("p.pattern").alias("pattern"),
         F.col("p.with").alias("with"),
-        F.col("p.type").isin(APPLIED_PATTERN_TYPES).alias("applied"),
+        _is_applied().alias("applied"),
     )
 
 
@@ -143,7 +150,8 @@ def read_rules_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rules_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """Rule files in YAML: a small configuration read on the driver.
+    """Rule files in YAML, read whole by Spark, so from any storage it knows;
+    a small configuration that the driver parses.
 
     A file may hold several ``language``/``rules`` blocks one after the other;
     each block keeps its own language.
@@ -151,13 +159,10 @@ def read_rules_yaml(spark: SparkSession, path: str) -> DataFrame:
     import yaml
 
     rows = []
-    names = sorted(os.listdir(path)) if os.path.isdir(path) else [""]
-    for name in names:
-        full = os.path.join(path, name) if name else path
-        if not full.endswith((".yaml", ".yml")):
-            continue
-        with open(full, encoding="utf-8") as f:
-            source = f.read()
+    sources = (
+        spark.read.option("pathGlobFilter", "*.{yaml,yml}").text(path, wholetext=True)
+        .select(F.input_file_name().alias("name"), "value").orderBy("name").collect())
+    for source in (row["value"] for row in sources):
         blocks, current = [], []
         for line in source.splitlines():
             if line.startswith("language:") and current:

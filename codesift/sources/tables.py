@@ -39,7 +39,7 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     path = F.concat(F.lit("conv/"), conv, F.lit("/"), turn, F.lit(".txt"))
     return _files(
-        table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), path, F.col("text"))
+        table(spark, sf_dir, "conversations"), F.col("conv_id") * (1 << 20) + F.col("turn"), path, F.col("text"))
 
 
 # Eight kinds of Python file, by part key modulo 8.

@@ -124,7 +124,7 @@ def test_rule_files(spark, tmp_path):
     rows = catalogues.read_rules_yaml(spark, str(tmp_path)).orderBy("rule_id", "pattern_no").collect()
     assert [(r["language"], r["rule_id"], r["pattern_type"], r["applied"]) for r in rows] == [
         ("python", "A", "function_call", True), ("javascript", "B", "string_concat", False),
-        ("javascript", "B", "import", True), ("common", "C", "import", True)]
+        ("javascript", "B", "import", False), ("common", "C", "import", True)]
     assert rows[0]["severity"] == "Medium" and rows[3]["include_methods"] is False
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "r.json").write_text(json.dumps({"language": "python", "rules": [{"id": "J", "patterns": [{"type": "import", "name": "q"}]}]}))
@@ -203,3 +203,28 @@ def test_stream(spark, files, tmp_path):
         incremental.write_stream(stream, out, str(tmp_path / "cp")).awaitTermination(120)
     rows = spark.read.parquet(out).select("file", "rule_id").collect()
     assert sorted(map(tuple, rows)) == [("a.py", "py-1"), ("b.js", "js-4")]
+
+
+def test_account_of_files(spark, files):
+    from codesift.operators import account
+
+    df = files({"big.py": "x" * 50, "package.json": "{", "sub/pyproject.toml": "[a", "ok/package.json": "{}", "n.bin": None})
+    got = {(r["path"], r["reason"]) for r in account.skipped_files(df, None, 40).collect()}
+    assert got == {("big.py", "too large"), ("package.json", "manifest does not parse"),
+                   ("sub/pyproject.toml", "manifest does not parse"), ("n.bin", "not text")}
+    assert ("big.py", "too large") not in {(r["path"], r["reason"]) for r in account.skipped_files(df, None, None).collect()}
+    twin = df.withColumn("file_id", F.col("file_id") % 4)
+    assert sorted(r["path"] for r in account.colliding_ids(twin).collect()) == ["big.py", "n.bin"]
+
+
+def test_tables_are_dropped(spark):
+    from codesift import session
+
+    held = session._written[:]
+    session._written.clear()
+    try:
+        df = session.durable(spark.range(3).toDF("n"))
+        assert df.count() == 3
+        assert session.drop_tables(spark) == 1 and session.drop_tables(spark) == 0
+    finally:
+        session._written.extend(held)

@@ -77,8 +77,9 @@ def test_rules_and_options(spark, files):
     found = fx.rule_assignments(facts, rules).collect()
     assert [(r["line"], r["rule_id"], r["code"]) for r in found] == [(6, "PY-HARDCODED-SECRET-001", "password = 1")]
     assert found[0]["context"] == "import random as r\nfrom random import randint\npassword = 1\n"
-    assert {(r["rule_id"], r["pattern_type"]) for r in fx.skipped_rules(rules).collect()} == {
-        ("JS-EXEC-SQL-001", "string_concat"), ("JS-PROTO-POLLUTION-001", "object_merge")}
+    skipped = fx.skipped_rules(rules).collect()
+    assert {r["language"] for r in skipped} == {"javascript"}
+    assert {"JS-EXEC-SQL-001", "JS-PROTO-POLLUTION-001", "JS-EVAL-001"} <= {r["rule_id"] for r in skipped}
 
 
 def test_custom_rule_names_carry_context(spark, files):
