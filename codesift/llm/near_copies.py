@@ -1,0 +1,215 @@
+"""Near copies beyond the radius of the 64-bit fingerprints.
+
+Texts of a similarity of 0.8 (Jaccard of their five-word shingles) differ in
+some ten of 64 bits, too many to probe for.  Their 256-bit fingerprints differ
+in ``256 * acos(2 s / (1 + s)) / pi`` bits on average, unrelated ones in 128,
+so within ``LIMIT`` bits the similarity is known well enough to link, at any
+number of documents.
+
+Pairs meet in bands of ``width`` bits drawn from the 256.  ``width`` follows
+the number of fingerprints, so that a bucket holds a few hundred unrelated ones
+at most, and the number of bands is what makes a pair at the similarity meet
+with the wanted chance (``RECALL``).  Buckets return spanning forests; a bucket
+beyond ``BUCKET_ROWS`` is dealt into finer ones by further bits.
+
+Rows are distinct pairs of both fingerprints; the 64-bit one names the vertex,
+so these links and those of ``simhash`` make one graph.
+"""
+
+from __future__ import annotations
+
+import math
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F
+
+from codesift.llm import simhash
+from codesift.llm.common import packed
+from codesift.llm.components import components
+from codesift.session import durable, durable_counted
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+WORDS = 5
+SIMILARITY = 0.8
+RECALL = 0.97
+NUMBERS = 4
+BITS = 64 * NUMBERS
+SEED = 41
+FINER_BITS = 12
+FINER_WAYS = 4
+
+# Odd numbers that turn one 64-bit hash into four.
+_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_LANES = np.uint64(0x0101010101010101)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits at a similarity of the shingle sets."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def limit(similarity: float = SIMILARITY) -> int:
+    """Differing bits up to which texts are linked: a standard deviation over
+    the expectation, so that five in six pairs at the similarity itself are."""
+    p = differing_share(similarity)
+    return int(BITS * p + math.sqrt(BITS * p * (1 - p)))
+
+
+def bands_for(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Width and number of bands for ``n`` fingerprints."""
+    width = max(14, math.ceil(math.log2(max(n, 2))) - 8)
+    meet = (1 - differing_share(similarity)) ** width
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """256 bits of the distinct shingle hashes: set in over half of them."""
+    h = np.unique(h)
+    if not len(h):
+        return bytes(8 * NUMBERS)
+    with np.errstate(over="ignore"):
+        x = h[None, :] * _TURNS[:, None]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+    counts = np.zeros((NUMBERS, 8, 8), np.int64)
+    for start in range(0, len(h), 255):
+        block = x[:, start:start + 255]
+        for bit in range(8):
+            lanes = ((block >> np.uint64(bit)) & _LANES).sum(axis=1, dtype=np.uint64)
+            counts[:, :, bit] += lanes.view(np.uint8).reshape(NUMBERS, 8)
+    return np.packbits((2 * counts.reshape(-1) > len(h)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def both_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``fp`` and ``wide`` in place of the text."""
+    names = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, wides = [], []
+            for t in batch.column(text):
+                value = t.as_py()
+                fps.append(simhash.fingerprint(simhash.hashes(value, simhash.WORDS)))
+                wides.append(wide_fingerprint(simhash.hashes(value, WORDS)))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], pa.array(fps, pa.int64()), pa.array(wides, pa.binary())],
+                names=[*names, "fp", "wide"])
+
+    return docs.mapInArrow(run, docs.drop(text).schema.add("fp", "long").add("wide", "binary"))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, NUMBERS)
+
+
+def _band_values(wide: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Values of the chosen bits as numbers; ``places`` holds a band per row."""
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")
+    powers = 1 << np.arange(places.shape[1], dtype=np.int64)
+    return np.stack([bits[:, p].astype(np.int64) @ powers for p in places], 1)
+
+
+_SCHEMA = "key bigint, fp bigint, wide binary"
+
+
+def _rows(key: np.ndarray, fp: np.ndarray, wide: np.ndarray) -> dict:
+    flat = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1)
+    return {"key": pa.array(key), "fp": pa.array(fp), "wide": pa.array([r.tobytes() for r in flat], pa.binary())}
+
+
+def _probes(places: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                fp, wide = np.asarray(part.column("fp")), _numbers(part.column("wide"))
+                keys = _band_values(wide, places) | (np.arange(len(places), dtype=np.int64) << 40)[None, :]
+                n = len(places)
+                yield pa.RecordBatch.from_pydict(_rows(keys.reshape(-1), np.repeat(fp, n), np.repeat(wide, n, axis=0)))
+
+    return run
+
+
+def _link(most: int, within: int):
+    keys = ("key",)
+    dtype = [("key", "<i8"), ("fp", "<i8"), ("wide", "<u8", (NUMBERS,))]
+
+    def read(batch: pa.RecordBatch) -> np.ndarray:
+        rows = np.empty(batch.num_rows, dtype)
+        rows["key"], rows["fp"] = np.asarray(batch.column("key")), np.asarray(batch.column("fp"))
+        rows["wide"] = _numbers(batch.column("wide"))
+        return rows
+
+    def refined(rows: np.ndarray) -> pa.RecordBatch:
+        """Finer buckets: other bits, drawn by the bucket's own key."""
+        seed = int(rows["key"][0]) & (1 << 63) - 1
+        places = np.stack([np.random.default_rng([SEED, seed, w]).choice(BITS, FINER_BITS, replace=False) for w in range(FINER_WAYS)])
+        values = _band_values(rows["wide"], places)
+        with np.errstate(over="ignore"):
+            mixed = (np.uint64(seed) * _TURNS[:FINER_WAYS])[None, :] ^ (values.astype("<u8") * _TURNS[1] + _TURNS[2])
+        key = (mixed >> np.uint64(1)).astype(np.int64).reshape(-1)
+        out = _rows(key, np.repeat(rows["fp"], FINER_WAYS), np.repeat(rows["wide"], FINER_WAYS, axis=0))
+        none = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_pydict({**out, "a": none, "b": none})
+
+    def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        wide = np.ascontiguousarray(rows["wide"])
+        close = lambda i, j: np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= within
+        forest = lambda s, n: simhash._forest(n, lambda i, others: close(s + others, np.full(len(others), s + i)))
+        pairs = rows["fp"][simhash._edges_of(rows, keys, close, forest)]
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        if len(pairs):
+            n = len(pairs)
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.nulls(n, pa.int64()), "fp": pa.nulls(n, pa.int64()), "wide": pa.nulls(n, pa.binary()),
+                "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from simhash._bucket_stream(batches, read, keys, linked, refined, lambda row: True, most)
+
+    return run
+
+
+def wide_links(reps: DataFrame, n: int, similarity: float = SIMILARITY, most: int = simhash.BUCKET_ROWS) -> DataFrame:
+    """Edges ``a, b`` between the 64-bit fingerprints of near copies in
+    ``reps(fp, wide)``.  Rows equal in all bits make a bucket no finer, so they
+    must be distinct."""
+    width, bands = bands_for(n, similarity)
+    rng = np.random.default_rng(SEED)
+    places = np.stack([rng.choice(BITS, width, replace=False) for _ in range(bands)])
+    todo, edges = reps.select("fp", "wide").mapInArrow(_probes(places), _SCHEMA), None
+    for _ in range(BITS):
+        dealt = todo.repartition("key").sortWithinPartitions("key")
+        out = durable(dealt.mapInArrow(_link(most, limit(similarity)), _SCHEMA + ", a bigint, b bigint"))
+        found = out.where("a IS NOT NULL").select("a", "b")
+        edges = found if edges is None else edges.unionByName(found)
+        todo, open_ = durable_counted(out.where("a IS NULL").select("key", "fp", "wide"))
+        if not open_:
+            return edges
+    return edges
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns: of each group of near
+    copies the smallest doc_id; rows that repeat it stay once.
+
+    A group is connected by links of 64-bit fingerprints of three-word shingles
+    within ``simhash.RADIUS`` bits, or of wide fingerprints of five-word
+    shingles at the similarity.
+    """
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
+    keys = durable(both_fingerprints(rows.select("doc_id", "text")))
+    firsts, n = durable_counted(keys.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    pairs, m = durable_counted(keys.select("fp", "wide").distinct())
+    edges = simhash.links(firsts, n).unionByName(wide_links(pairs, m, similarity))
+    kept = simhash.named(keys.select("doc_id", "fp"), firsts, components(edges)).where(
+        F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return simhash.staying(rows, keys, kept)

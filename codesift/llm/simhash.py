@@ -233,25 +233,6 @@ def probes(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     return out
 
 
-def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one bucket as edges to the first member of each component."""
-    label = np.full(len(fps), -1)
-    for start in range(len(fps)):
-        if label[start] >= 0:
-            continue
-        label[start] = start
-        reach = [start]
-        while reach:
-            open_ = np.flatnonzero(label < 0)
-            if not len(open_):
-                break
-            near = open_[np.bitwise_count(fps[open_] ^ fps[reach.pop()]) <= radius]
-            label[near] = start
-            reach.extend(near.tolist())
-    linked = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[label[linked]], fps[linked]
-
-
 def _splits(mask: int, radius: int) -> bool:
     """Whether the free bits can be dealt; if not, they are so few that a
     bucket holds a fixed number of distinct fingerprints at most."""
@@ -264,106 +245,140 @@ def _finer(mask: int, parts: int) -> list[int]:
     return [sum(1 << b for b in free[i::parts]) for i in range(parts)]
 
 
+def _boundaries(rows: np.ndarray, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the buckets in sorted rows."""
+    differ = np.zeros(max(len(rows) - 1, 0), bool)
+    for k in keys:
+        differ |= np.diff(rows[k]) != 0
+    starts = np.concatenate([[0], np.flatnonzero(differ) + 1])
+    return starts, np.diff(np.concatenate([starts, [len(rows)]]))
+
+
+def _bucket_stream(batches, read, keys, linked, refined, splits, most):
+    """Feed whole buckets of sorted rows to ``linked`` and the rows of buckets
+    beyond ``most`` to ``refined``.  At most one bucket of ``most`` rows and one
+    batch are held."""
+
+    def whole_buckets(rows):
+        if not len(rows):
+            return
+        starts, sizes = _boundaries(rows, keys)
+        large = (sizes > most) & np.array([splits(rows[s]) for s in starts])
+        for s, n in zip(starts[large], sizes[large]):
+            yield refined(rows[s:s + n])
+        yield from linked(rows[np.repeat(~large, sizes)])
+
+    held, spill = None, None  # spill: the bucket that goes on to finer ones
+    for batch in batches:
+        rows = read(batch)
+        if spill is not None and len(rows):
+            ours = np.ones(len(rows), bool)
+            for k, v in zip(keys, spill):
+                ours &= rows[k] == v
+            if ours.any():
+                yield refined(rows[ours])
+                rows = rows[~ours]
+            if len(rows):
+                spill = None
+        if held is not None:
+            rows = np.concatenate([held, rows])
+            held = None
+        if not len(rows):
+            continue
+        # The last bucket may go on in the next batch.
+        last = int(_boundaries(rows, keys)[0][-1])
+        yield from whole_buckets(rows[:last])
+        tail = rows[last:]
+        if len(tail) > most and splits(tail[0]):
+            yield refined(tail)
+            spill = tuple(tail[k][0] for k in keys)
+        else:
+            held = tail
+    if held is not None:
+        yield from whole_buckets(held)
+
+
+def _edges_of(rows, keys, close, forest) -> np.ndarray:
+    """Edges between row numbers of linked rows; ``close(i, j)`` compares pairs
+    of rows, ``forest(rows)`` links one larger bucket."""
+    starts, sizes = _boundaries(rows, keys)
+    out = []
+    group_end = np.repeat(starts + sizes, sizes)
+    at = np.flatnonzero(np.repeat(sizes <= SMALL_BUCKET, sizes))
+    for step in range(1, int(min(sizes.max(), SMALL_BUCKET))):
+        at = at[at + step < group_end[at]]
+        if not len(at):
+            break
+        near = close(at, at + step)
+        out.append(np.stack([at[near], at[near] + step], 1))
+    for s, n in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET]):
+        out.append(forest(s, n) + s)
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _forest(n: int, near) -> np.ndarray:
+    """Links of one bucket as edges to the first member of each component;
+    ``near(i, others)`` tells which of the others are linked to row i."""
+    label = np.full(n, -1)
+    for start in range(n):
+        if label[start] >= 0:
+            continue
+        label[start] = start
+        reach = [start]
+        while reach:
+            open_ = np.flatnonzero(label < 0)
+            if not len(open_):
+                break
+            found = open_[near(reach.pop(), open_)]
+            label[found] = start
+            reach.extend(found.tolist())
+    linked = np.flatnonzero(label != np.arange(n))
+    return np.stack([label[linked], linked], 1)
+
+
 def _link_buckets(radius: int, most: int):
     """Arrow map over rows sorted by bucket: edges, and rows for finer buckets."""
+    keys = ("mask", "value")
+    dtype = [("mask", "<i8"), ("value", "<i8"), ("fp", "<i8")]
+
+    def out(mask, value, fp, a, b, edge) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(x)) for x in (mask, value, fp, a, b)] + [pa.array(np.full(len(mask), edge))],
+            names=["mask", "value", "fp", "a", "b", "edge"])
+
+    def read(batch: pa.RecordBatch) -> np.ndarray:
+        rows = np.empty(batch.num_rows, dtype)
+        for c in ("mask", "value", "fp"):
+            rows[c] = np.asarray(batch.column(c))
+        return rows
+
+    def refined(rows: np.ndarray) -> pa.RecordBatch:
+        mask, parts = int(rows["mask"][0]) & (1 << 64) - 1, []
+        for fine in _finer(mask, radius + 1):
+            new = rows["value"].astype("<u8") | (rows["fp"].astype("<u8") & np.uint64(fine))
+            parts.append((np.full(len(rows), np.uint64(fine | mask)).view("<i8"), new.view("<i8"), rows["fp"]))
+        mask, value, fp = (np.concatenate(x) for x in zip(*parts))
+        none = np.zeros(len(mask), np.int64)
+        return out(mask, value, fp, none, none, False)
+
+    def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        fps = np.ascontiguousarray(rows["fp"]).view("<u8")
+        close = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        forest = lambda s, n: _forest(n, lambda i, others: np.bitwise_count(fps[s + others] ^ fps[s + i]) <= radius)
+        pairs = np.ascontiguousarray(rows["fp"])[_edges_of(rows, keys, close, forest)]
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        if len(pairs):
+            none = np.zeros(len(pairs), np.int64)
+            yield out(none, none, none, pairs[:, 0], pairs[:, 1], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        spill: tuple[int, int] | None = None  # the bucket that goes on to finer ones
-
-        def refined(rows: np.ndarray) -> pa.RecordBatch:
-            mask, value = int(rows["mask"][0]), rows["value"]
-            out = []
-            for fine in _finer(mask & (1 << 64) - 1, radius + 1):
-                both = np.uint64(fine | mask & (1 << 64) - 1)
-                new = value.view("<u8") | (rows["fp"].view("<u8") & np.uint64(fine))
-                out.append((np.full(len(rows), both).view("<i8"), new.view("<i8"), rows["fp"]))
-            cat = [np.concatenate(x) for x in zip(*out)]
-            none = np.zeros(len(cat[0]), np.int64)
-            return _batch(*cat, none, none, False)
-
-        def _batch(mask, value, fp, a, b, edge) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(x)) for x in (mask, value, fp, a, b)] + [pa.array(np.full(len(mask), edge))],
-                names=["mask", "value", "fp", "a", "b", "edge"])
-
-        def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Whole buckets, each of at most ``most`` rows."""
-            if not len(rows):
-                return
-            change = np.flatnonzero((np.diff(rows["mask"]) != 0) | (np.diff(rows["value"]) != 0)) + 1
-            starts = np.concatenate([[0], change])
-            sizes = np.diff(np.concatenate([starts, [len(rows)]]))
-            fps = rows["fp"].view("<u8")
-            edges_a, edges_b = [], []
-            group_end = np.repeat(starts + sizes, sizes)
-            small = np.repeat(sizes <= SMALL_BUCKET, sizes)
-            at = np.arange(len(rows))
-            for step in range(1, int(min(sizes.max(), SMALL_BUCKET))):
-                i = at[small & (at + step < group_end)]
-                if not len(i):
-                    break
-                near = np.bitwise_count(fps[i] ^ fps[i + step]) <= radius
-                edges_a.append(fps[i[near]])
-                edges_b.append(fps[i[near] + step])
-            for s, n in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET]):
-                a, b = _forest(np.unique(fps[s:s + n]), radius)
-                edges_a.append(a)
-                edges_b.append(b)
-            a = np.concatenate(edges_a).view("<i8") if edges_a else np.zeros(0, np.int64)
-            b = np.concatenate(edges_b).view("<i8") if edges_b else np.zeros(0, np.int64)
-            pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-            if len(pairs):
-                none = np.zeros(len(pairs), np.int64)
-                yield _batch(none, none, none, pairs[:, 0], pairs[:, 1], True)
-
-        for batch in batches:
-            rows = np.empty(batch.num_rows, [("mask", "<i8"), ("value", "<i8"), ("fp", "<i8")])
-            for c in ("mask", "value", "fp"):
-                rows[c] = np.asarray(batch.column(c))
-            if held:
-                rows = np.concatenate([*held, rows])
-                held = []
-            if not len(rows):
-                continue
-            # The last bucket may go on in the next batch.
-            same = (rows["mask"] == rows["mask"][-1]) & (rows["value"] == rows["value"][-1])
-            last = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
-            whole, tail = rows[:last], rows[last:]
-            if spill is not None and len(rows):
-                ours = (rows["mask"] == spill[0]) & (rows["value"] == spill[1])
-                cut = int(ours.sum())
-                if cut:
-                    yield refined(rows[:cut])
-                if cut == len(rows):
-                    continue
-                spill = None
-                whole, tail = rows[cut:max(last, cut)], rows[max(last, cut):]
-            yield from _split(whole, linked, refined, most, radius)
-            if len(tail) > most and _splits(int(tail["mask"][0]), radius):
-                yield refined(tail)
-                spill = (int(tail["mask"][0]), int(tail["value"][0]))
-            else:
-                held = [tail]
-        if held:
-            yield from _split(held[0], linked, refined, most, radius)
+        yield from _bucket_stream(batches, read, keys, linked, refined, lambda row: _splits(int(row["mask"]), radius), most)
 
     return run
 
 
-def _split(rows: np.ndarray, linked, refined, most: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Buckets beyond ``most`` rows go on, the others are linked together."""
-    if not len(rows):
-        return
-    change = np.flatnonzero((np.diff(rows["mask"]) != 0) | (np.diff(rows["value"]) != 0)) + 1
-    starts = np.concatenate([[0], change])
-    sizes = np.diff(np.concatenate([starts, [len(rows)]]))
-    large = (sizes > most) & np.array([_splits(int(m), radius) for m in rows["mask"][starts]])
-    for s, n in zip(starts[large], sizes[large]):
-        yield refined(rows[s:s + n])
-    yield from linked(rows[np.repeat(~large, sizes)])
-
-
 def links(reps: DataFrame, n: int, radius: int = RADIUS, most: int = BUCKET_ROWS) -> DataFrame:
     """Edges ``a, b`` whose components are those of all pairs within ``radius``."""
     schema = "mask bigint, value bigint, fp bigint, a bigint, b bigint, edge boolean"
@@ -384,7 +399,11 @@ def labelled(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``rows(doc_id, fp, ...)`` with ``component_id``, the smallest doc_id
     that links of at most ``radius`` bits reach."""
     reps, n = durable_counted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(reps, n, radius))
+    return named(rows, reps, components(links(reps, n, radius)))
+
+
+def named(rows: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows(fp, ...)`` with the smallest doc_id of their component."""
     known = reps.join(roots, reps["fp"] == roots["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = known.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(known.join(names, "root").select("fp", "component_id"), "fp")
@@ -400,6 +419,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> Da
     rows = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
     keys = durable(fingerprints(rows.select("doc_id", "text"), words))
     kept = labelled(keys, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return staying(rows, keys, kept)
+
+
+def staying(rows: DataFrame, keys: DataFrame, kept: DataFrame) -> DataFrame:
+    """Packed ``rows`` whose doc_id is kept, each once."""
     left = rows.alias("r").join(kept.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
     repeated = keys.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").alias("k")
     same = F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))

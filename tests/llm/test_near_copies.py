@@ -1,0 +1,86 @@
+"""Wide fingerprints: links against brute force, near copies caught, others kept."""
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+from test_simhash import brute_components
+
+from codesift.llm import near_copies as nc, simhash
+from codesift.llm.components import components
+from codesift.session import durable
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n)]
+
+
+def edited(rng, base, n):
+    out = list(base)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = words(rng, 1)[0] + "x"
+    return out
+
+
+def similarity(a, b):
+    x, y = (set(simhash.hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_distance_follows_similarity():
+    rng = random.Random(1)
+    for n in (2, 5, 12):
+        found = []
+        for _ in range(40):
+            base = words(rng, 300)
+            a, b = " ".join(base), " ".join(edited(rng, base, n))
+            x, y = (np.frombuffer(nc.wide_fingerprint(simhash.hashes(t, 5)), "<u8") for t in (a, b))
+            found.append(int(np.bitwise_count(x ^ y).sum()) - 256 * nc.differing_share(similarity(a, b)))
+        assert abs(np.mean(found)) < 4
+    assert nc.wide_fingerprint(simhash.hashes(None, 5)) == bytes(32)
+
+
+def test_bands_meet_often_enough():
+    for n in (10, 10**6, 10**10):
+        width, bands = nc.bands_for(n)
+        assert 1 - (1 - (1 - nc.differing_share(0.8)) ** width) ** bands >= nc.RECALL
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    rng = random.Random(3)
+    docs, groups = [], []
+    for g in range(60):
+        base = words(rng, rng.randrange(80, 400))
+        copies = [base] + [edited(rng, base, max(1, len(base) // 120)) for _ in range(rng.randrange(0, 4))]
+        groups.append(range(len(docs), len(docs) + len(copies)))
+        docs += [" ".join(c) for c in copies]
+    for a in groups:
+        assert all(similarity(docs[a[0]], docs[i]) > 0.85 for i in a)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, fp string")
+    kept = {r["doc_id"] for r in nc.one_of_each(df).collect()}
+    assert {a[0] for a in groups} <= kept
+    # Every copy but a few by chance goes; no group loses its first.
+    assert len(kept) <= len(groups) + 2
+
+
+def test_large_groups_are_dealt_on(spark):
+    """A group beyond the bucket size, in finer buckets, is one component still."""
+    rng = random.Random(8)
+    base = words(rng, 300)
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(150)] + [" ".join(words(rng, 200)) for _ in range(50)]
+    wides = [nc.wide_fingerprint(simhash.hashes(t, 5)) for t in texts]
+    reps = durable(spark.createDataFrame([(i, w) for i, w in enumerate(wides)], "fp long, wide binary"))
+    whole = nc.wide_links(reps, len(texts), most=4096)
+    dealt = nc.wide_links(reps, len(texts), most=20)
+    sizes = [
+        sorted(r["count"] for r in components(e).groupBy("root").count().collect()) for e in (whole, dealt)]
+    assert sizes == [[150], [150]]
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "a b c", "a"), (3, "a b c", "a"), (None, "A  B\nC", "a"), (9, "w " * 50_000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, wide string")
+    kept = nc.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], (r["text"] or "")[:5]) for r in kept.collect()) == [(1, ""), (3, "a b c"), (9, "w w w")]
+    assert nc.one_of_each(docs.where("false")).count() == 0
