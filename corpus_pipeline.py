@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import exact_dedup, mixing, packing, simhash, toxicity
+from codesift.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from codesift.llm.common import table, word_count
 from codesift.session import ensure_checkpoint_dir
 
@@ -27,8 +27,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near copies one document stays: fingerprints within
+    three bits, or five-word shingles of a similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
