@@ -4,8 +4,8 @@ A page is fed to the standard library's streaming parser.  Block elements cut
 it into lines; each line has its text, its number of tags and its place in the
 page.  The ratio of text to tags per line is smoothed by a Gaussian, and lines
 above a threshold (a share of the ratios' standard deviation) form clusters.
-The regions (nearest article, main or other container) that hold a cluster are
-the content: all their lines are returned, short ones too.
+The deepest region (article, main or other container) that holds most of the
+clusters' text is the content: all its lines are returned, short ones too.
 
 Lines inside elements that are never main text (navigation, asides, forms,
 scripts, footers, and containers named as adverts, notices, menus, comments
@@ -37,6 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIGMA = 1.0
 LAMBDA = 0.5
+# Share of the clusters' text that the content region holds.
+MOST = 0.8
 _FEED = 1 << 16
 
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -80,26 +82,35 @@ class _Open(NamedTuple):
     muted: bool     # in an article's header, outside its headings
     region: int
     content: bool   # in an article or main element
+    link: bool      # in an anchor
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    region: int
+    content: bool
+    linked: int     # characters in anchors
 
 
 class _Lines(HTMLParser):
-    """Lines as (text, tags, region, in article or main); what is skipped
-    leaves a line without text, so that smoothing sees the gap."""
+    """Lines and the tree of their regions; what is skipped leaves a line
+    without text, so that smoothing sees the gap."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.stack = [_Open("", False, False, 0, False)]
-        self.regions = 0
+        self.lines: list[Line] = []
+        self.stack = [_Open("", False, False, 0, False, False)]
+        self.parents = [-1]  # of each region; the page is region 0
         self.held: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def end_line(self) -> None:
         top = self.stack[-1]
         text = "" if top.skip or top.muted else _BLANK.sub(" ", "".join(self.held)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, top.region, top.content))
-        self.held, self.tags = [], 0
+            self.lines.append(Line(text, self.tags, top.region, top.content, self.linked))
+        self.held, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         block = tag in _BLOCKS
@@ -143,10 +154,10 @@ class _Lines(HTMLParser):
         muted = tag not in _HEADINGS and (top.muted or tag == "header")
         content = top.content or tag in _CONTENT
         region = top.region
-        if tag in _CONTENT or not top.content and tag in _CONTAINERS:
-            self.regions += 1
-            region = self.regions
-        self.stack.append(_Open(tag, skip, muted, region, content))
+        if not top.content and (tag in _CONTENT or tag in _CONTAINERS):
+            self.parents.append(region)
+            region = len(self.parents) - 1
+        self.stack.append(_Open(tag, skip, muted, region, content, top.link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -170,17 +181,20 @@ class _Lines(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data):
-        if not (self.stack[-1].skip or self.stack[-1].muted):
+        top = self.stack[-1]
+        if not (top.skip or top.muted):
             self.held.append(data)
+            self.linked += len(data) if top.link else 0
 
 
-def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
+def page_lines(html: str) -> tuple[list[Line], list[int]]:
+    """Lines of a page, and the parent of each region."""
     parser = _Lines()
     for start in range(0, len(html), _FEED):
         parser.feed(html[start:start + _FEED])
     parser.close()
     parser.end_line()
-    return parser.lines
+    return parser.lines, parser.parents
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -194,24 +208,47 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def _content_region(weights: dict[int, float], parents: list[int]) -> int:
+    """The deepest region that holds most of the weight of all lines."""
+    total, inside = sum(weights.values()), [0.0] * len(parents)
+    for region, w in weights.items():
+        while region >= 0:
+            inside[region] += w
+            region = parents[region]
+    # A region has a higher number than its parent.
+    return max(r for r in range(len(parents)) if inside[r] >= MOST * total)
+
+
 def main_text(html: str | None, sigma: float = SIGMA, share: float = LAMBDA) -> str:
-    lines = page_lines(html or "")
-    if any(text and content for text, _, _, content in lines):
-        lines = [x if x[3] else ("", x[1], x[2], False) for x in lines]
-    ratios = [len(text) / max(1, tags) for text, tags, _, _ in lines]
-    with_text = [i for i, x in enumerate(lines) if x[0]]
+    lines, parents = page_lines(html or "")
+    if any(x.text and x.content for x in lines):
+        lines = [x if x.content else x._replace(text="") for x in lines]
+    with_text = [i for i, x in enumerate(lines) if x.text]
     if not with_text:
         return ""
-    level = smoothed(ratios, sigma)
+    level = smoothed([len(x.text) / max(1, x.tags) for x in lines], sigma)
     mean = sum(level) / len(level)
     threshold = share * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
-    chosen = {lines[i][2] for i in with_text if level[i] >= threshold and level[i] > 0}
-    if not chosen:
-        sizes: dict[int, int] = {}
-        for i in with_text:
-            sizes[lines[i][2]] = sizes.get(lines[i][2], 0) + len(lines[i][0])
-        chosen = {max(sizes, key=lambda r: (sizes[r], -r))}
-    return "\n\n".join(lines[i][0] for i in with_text if lines[i][2] in chosen)
+    core = {i for i in with_text if level[i] >= threshold and not _is_list_of_links(lines[i])} or set(with_text)
+    weights: dict[int, float] = {}
+    for i in core:
+        weights[lines[i].region] = weights.get(lines[i].region, 0.0) + len(lines[i].text)
+    content = _content_region(weights, parents)
+
+    def within(region: int) -> bool:
+        while region > content:
+            region = parents[region]
+        return region == content
+
+    # All of the region counts, short lines too; of regions inside it only
+    # lists of links are left out.
+    return "\n\n".join(
+        lines[i].text for i in with_text
+        if lines[i].region == content or within(lines[i].region) and (i in core or not _is_list_of_links(lines[i])))
+
+
+def _is_list_of_links(line: Line) -> bool:
+    return 2 * line.linked > len(line.text)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -40,6 +40,12 @@ LONG = "A paragraph of the article that is long enough to be told from menus. "
      f"{LONG.strip()}\n\none\n\ntwo"),
     (f"<article class='post comments-open'><p>{LONG}</p></article><article class=comment><p>{LONG}</p></article>", LONG.strip()),
     ("<article></article><footer>only a footer</footer>", ""),
+    (f"<div class=wrap><ul class=menu><li><a href=/>Home</a></ul><div class=text><h2>T</h2><p>{LONG}</p><div><p>Hm.</p></div>"
+     f"<blockquote>Quote.</blockquote><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div><div id=footer>f</div></div>",
+     f"T\n\n{LONG.strip()}\n\nHm.\n\nQuote.\n\n{LONG.strip()}"),
+    (f"<div><a href=/a>One</a> <a href=/b>Two</a></div><div><p>{LONG}</p><p>See <a href=/c>this</a> too.</p></div>",
+     f"{LONG.strip()}\n\nSee this too."),
+    (f"<main><article><p>{LONG}</p></article><article><p>Second.</p></article></main>", f"{LONG.strip()}\n\nSecond."),
     ("<article><p>Of.</p></article><div class=ad>Buy many more things than you need today</div>", "Of."),
 ])
 def test_small_pages(page, want):
