@@ -101,6 +101,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.stack = [_Open("", False, False, 0, False, False)]
+        self.open: dict[str, int] = {}  # open elements by tag
         self.parents = [-1]  # of each region; the page is region 0
         self.held: list[str] = []
         self.tags = self.linked = 0
@@ -119,7 +120,7 @@ class _Lines(HTMLParser):
             for i, o in enumerate(self.stack):
                 if o.tag in ("nav", "header") and not o.content:
                     self.end_line()
-                    del self.stack[i:]
+                    self._cut(i)
                     break
         if block:
             self.end_line()
@@ -131,7 +132,7 @@ class _Lines(HTMLParser):
                 if self.stack[i].tag in until:
                     break
                 if self.stack[i].tag in ends:
-                    del self.stack[i:]
+                    self._cut(i)
                     break
         self.tags += 1
         if tag in _VOID:
@@ -157,6 +158,7 @@ class _Lines(HTMLParser):
         if not top.content and (tag in _CONTENT or tag in _CONTAINERS):
             self.parents.append(region)
             region = len(self.parents) - 1
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.stack.append(_Open(tag, skip, muted, region, content, top.link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
@@ -164,10 +166,17 @@ class _Lines(HTMLParser):
         if tag not in _VOID:
             self.handle_endtag(tag)
 
+    def _cut(self, at: int) -> None:
+        for o in self.stack[at:]:
+            self.open[o.tag] -= 1
+        del self.stack[at:]
+
     def _close(self, tag, until=frozenset()) -> None:
+        if not self.open.get(tag):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i].tag in until:
                 return
@@ -210,13 +219,11 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
 
 def _content_region(weights: dict[int, float], parents: list[int]) -> int:
     """The deepest region that holds most of the weight of all lines."""
-    total, inside = sum(weights.values()), [0.0] * len(parents)
-    for region, w in weights.items():
-        while region >= 0:
-            inside[region] += w
-            region = parents[region]
+    inside = [weights.get(r, 0.0) for r in range(len(parents))]
     # A region has a higher number than its parent.
-    return max(r for r in range(len(parents)) if inside[r] >= MOST * total)
+    for r in range(len(parents) - 1, 0, -1):
+        inside[parents[r]] += inside[r]
+    return max(r for r in range(len(parents)) if inside[r] >= MOST * inside[0])
 
 
 def main_text(html: str | None, sigma: float = SIGMA, share: float = LAMBDA) -> str:
@@ -235,16 +242,14 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = LAMBDA) ->
         weights[lines[i].region] = weights.get(lines[i].region, 0.0) + len(lines[i].text)
     content = _content_region(weights, parents)
 
-    def within(region: int) -> bool:
-        while region > content:
-            region = parents[region]
-        return region == content
-
+    within = [r == content for r in range(len(parents))]
+    for r in range(content + 1, len(parents)):
+        within[r] = within[parents[r]]
     # All of the region counts, short lines too; of regions inside it only
     # lists of links are left out.
     return "\n\n".join(
         lines[i].text for i in with_text
-        if lines[i].region == content or within(lines[i].region) and (i in core or not _is_list_of_links(lines[i])))
+        if lines[i].region == content or within[lines[i].region] and (i in core or not _is_list_of_links(lines[i])))
 
 
 def _is_list_of_links(line: Line) -> bool:

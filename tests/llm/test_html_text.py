@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 from conftest import SF
@@ -57,6 +58,13 @@ def test_long_page_whole():
     assert len(ht.main_text(page)) == 20_000 * 11 + 300_000
 
 
+def test_broken_markup_is_linear():
+    start = time.perf_counter()
+    assert ht.main_text("<div>" * 30_000 + "x" + "</span>" * 30_000) == "x"
+    assert ht.main_text("<b>" * 30_000 + "x" + "</p>" * 30_000 + "</li>" * 1000) == "x"
+    assert time.perf_counter() - start < 10
+
+
 def test_smoothing_keeps_a_constant():
     assert ht.smoothed([3.0] * 7) == pytest.approx([3.0] * 7)
 
