@@ -9,8 +9,8 @@ alone.  It is the shard whose seeded hash with the id is largest, so one more
 shard takes records only into itself.
 
 Defined cases: a null text counts as empty, a null id is an id like any other;
-rows that repeat a doc_id go to one shard, and to one bucket only if their
-texts are equal too; an empty table gives no rows; further columns are kept by
+rows that repeat a doc_id go to one shard, as the law has it, but not to one
+bucket: their texts part them, or a drawn number where the texts repeat too; an empty table gives no rows; further columns are kept by
 ``shuffled`` under their names.
 """
 
@@ -32,6 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEED = 20_011
 BUCKET_BYTES = 16 << 20
+REPEATS = 10_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -50,6 +51,21 @@ def _fisher_yates(n: int, rng: random.Random) -> list[int]:
     return order
 
 
+# What rows with the same id and text have in common.
+_SAME = ["key", "size", "text_crc32"]
+
+
+def _salted(sized: DataFrame) -> DataFrame:
+    """``salt`` parts the rows that repeat an id and text more than
+    ``REPEATS`` times, which no hash of theirs can.  It is drawn while the
+    scattered rows are written, so a repeated task writes all of its own."""
+    many = durable(sized.groupBy(*_SAME).agg(F.count("*").alias("n")).where(F.col("n") > REPEATS))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in _SAME]
+    drawn = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("m.n") / REPEATS))
+    rows = sized.alias("r").join(many.alias("m"), same, "left")
+    return rows.select("r.*", F.coalesce(F.when(F.col("m.n").isNotNull(), drawn), F.lit(0)).alias("salt"))
+
+
 def shuffled(
     docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     bucket_bytes: int = BUCKET_BYTES, seed: int = SEED,
@@ -62,20 +78,18 @@ def shuffled(
     # Buckets per shard follow the bytes of the whole table.
     total = sized.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    salt = F.xxhash64(F.lit(seed + 1), "key", "size", "text_crc32")
-    scattered = durable(sized.withColumns({
-        "shard": shard_of(F.col("key"), shards, seed), "bucket": F.pmod(salt, F.lit(buckets)).cast("int")}))
+    scattered = durable(_salted(sized).withColumns({
+        "shard": shard_of(F.col("key"), shards, seed),
+        "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), *_SAME, "salt"), F.lit(buckets)).cast("int")}).drop("salt"))
 
     counts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
-    names = ["key", "size", "text_crc32"]
-
     def deal(ids: tuple, bucket: pa.Table) -> pa.Table:
         # The order of arrival says nothing: sort first, then shuffle.
         bucket = bucket.take(pc.sort_indices(
-            bucket.select(names), sort_keys=[(n, "ascending") for n in names]))
+            bucket.select(_SAME), sort_keys=[(n, "ascending") for n in _SAME]))
         rng = random.Random(f"{seed}/{ids[0].as_py()}/{ids[1].as_py()}")
         bucket = bucket.take(pa.array(_fisher_yates(bucket.num_rows, rng), pa.int64()))
         return bucket.append_column("at", pa.array(range(bucket.num_rows), pa.int64()))

@@ -37,6 +37,14 @@ def test_small_buckets_split_a_hot_key(spark):
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, again.select(key).collect()))
 
 
+def test_repeated_rows_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(sh, "REPEATS", 50)
+    rows = spark.range(1000).select(
+        F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise("other").alias("text"))
+    got = sh.shuffled(rows, 4, bucket_bytes=500).where("key = 5").groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in got) == 501 and max(r["count"] for r in got) <= 250
+
+
 def test_files(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sh.write_shards(docs, str(tmp_path / "out"), 5)
