@@ -405,7 +405,8 @@ def labelled(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 def named(rows: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows(fp, ...)`` with the smallest doc_id of their component."""
     known = reps.join(roots, reps["fp"] == roots["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written by itself, so that the join below can split a large component.
+    names = durable(known.groupBy("root").agg(F.min("first").alias("component_id")))
     return rows.join(known.join(names, "root").select("fp", "component_id"), "fp")
 
 
