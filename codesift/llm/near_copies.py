@@ -2,15 +2,16 @@
 
 Texts of a similarity of 0.8 (Jaccard of their five-word shingles) differ in
 some ten of 64 bits, too many to probe for.  Their 256-bit fingerprints differ
-in ``256 * acos(2 s / (1 + s)) / pi`` bits on average, unrelated ones in 128,
-so within ``LIMIT`` bits the similarity is known well enough to link, at any
-number of documents.
+in ``256 * acos(2 s / (1 + s)) / pi`` bits on average, unrelated ones in 128.
+Links within ``DEVIATIONS`` standard deviations of that gather texts into loose
+groups; inside each, links are decided by the shingle sets themselves.
 
 Pairs meet in bands of ``width`` bits drawn from the 256.  ``width`` follows
 the number of fingerprints, so that a bucket holds a few hundred unrelated ones
 at most, and the number of bands is what makes a pair at the similarity meet
-with the wanted chance (``RECALL``).  Buckets return spanning forests; a bucket
-beyond ``BUCKET_ROWS`` is dealt into finer ones by further bits.
+with the wanted chance (``RECALL``), over all distances it may have.  Buckets
+return spanning forests; a bucket beyond ``BUCKET_ROWS`` is dealt into finer
+ones by further bits.
 
 Rows are distinct pairs of both fingerprints; the 64-bit one names the vertex,
 so these links and those of ``simhash`` make one graph.
@@ -28,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from codesift.llm import simhash
-from codesift.llm.common import packed
+from codesift.llm.common import columns_of, packed
 from codesift.llm.components import components
 from codesift.session import durable, durable_counted
 
@@ -36,12 +37,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.97
+RECALL = 0.995
+DEVIATIONS = 4
 NUMBERS = 4
 BITS = 64 * NUMBERS
 SEED = 41
 FINER_BITS = 12
 FINER_WAYS = 4
+# Bytes of shingle sets that a block of a loose group holds.
+BLOCK_BYTES = 16 << 20
 
 # Odd numbers that turn one 64-bit hash into four.
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -53,18 +57,30 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def limit(similarity: float = SIMILARITY) -> int:
-    """Differing bits up to which texts are linked: a standard deviation over
-    the expectation, so that five in six pairs at the similarity itself are."""
+def limit(similarity: float = SIMILARITY, deviations: float = 1) -> int:
+    """Differing bits some standard deviations over the expectation."""
     p = differing_share(similarity)
-    return int(BITS * p + math.sqrt(BITS * p * (1 - p)))
+    return int(BITS * p + deviations * math.sqrt(BITS * p * (1 - p)))
+
+
+def found_share(similarity: float, width: int, bands: int, within: int) -> float:
+    """Chance that a pair is within the limit and meets in a band."""
+    p = differing_share(similarity)
+    return sum(
+        math.comb(BITS, d) * p ** d * (1 - p) ** (BITS - d) * (1 - (1 - (1 - d / BITS) ** width) ** bands)
+        for d in range(within + 1))
 
 
 def bands_for(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
     """Width and number of bands for ``n`` fingerprints."""
     width = max(14, math.ceil(math.log2(max(n, 2))) - 8)
-    meet = (1 - differing_share(similarity)) ** width
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    within, low, high = limit(similarity, DEVIATIONS), 0, 1
+    while found_share(similarity, width, high, within) < recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if found_share(similarity, width, mid, within) >= recall else (mid, high)
+    return width, high
 
 
 def wide_fingerprint(h: np.ndarray) -> bytes:
@@ -119,7 +135,7 @@ _SCHEMA = "key bigint, fp bigint, wide binary"
 
 
 def _rows(key: np.ndarray, fp: np.ndarray, wide: np.ndarray) -> dict:
-    flat = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1)
+    flat = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), 8 * NUMBERS)
     return {"key": pa.array(key), "fp": pa.array(fp), "wide": pa.array([r.tobytes() for r in flat], pa.binary())}
 
 
@@ -178,6 +194,15 @@ def _link(most: int, within: int):
     return run
 
 
+def _in_blocks(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows``, dealt into the ``_blocks`` of their group, once for each pair
+    ``_i, _j`` of blocks they belong to."""
+    block = F.pmod(F.xxhash64(*by), F.col("_blocks")).cast("int")
+    rows = rows.withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.where("_own <> _other OR _blocks = 1")
+    return rows.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_own", "_other", "_blocks")
+
+
 def wide_links(reps: DataFrame, n: int, similarity: float = SIMILARITY, most: int = simhash.BUCKET_ROWS) -> DataFrame:
     """Edges ``a, b`` between the 64-bit fingerprints of near copies in
     ``reps(fp, wide)``.  Rows equal in all bits make a bucket no finer, so they
@@ -188,7 +213,7 @@ def wide_links(reps: DataFrame, n: int, similarity: float = SIMILARITY, most: in
     todo, edges = reps.select("fp", "wide").mapInArrow(_probes(places), _SCHEMA), None
     for _ in range(BITS):
         dealt = todo.repartition("key").sortWithinPartitions("key")
-        out = durable(dealt.mapInArrow(_link(most, limit(similarity)), _SCHEMA + ", a bigint, b bigint"))
+        out = durable(dealt.mapInArrow(_link(most, limit(similarity, DEVIATIONS)), _SCHEMA + ", a bigint, b bigint"))
         found = out.where("a IS NOT NULL").select("a", "b")
         edges = found if edges is None else edges.unionByName(found)
         todo, open_ = durable_counted(out.where("a IS NULL").select("key", "fp", "wide"))
@@ -197,19 +222,90 @@ def wide_links(reps: DataFrame, n: int, similarity: float = SIMILARITY, most: in
     return edges
 
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``fp, shingles`` of ``docs(text)``: the sorted distinct hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text"):
+                value = t.as_py()
+                fp = simhash.fingerprint(simhash.hashes(value, simhash.WORDS))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([fp], pa.int64()), pa.array([np.unique(simhash.hashes(value, WORDS)).tobytes()], pa.binary())],
+                    names=["fp", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "fp bigint, shingles binary")
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A spanning forest of the sets whose Jaccard similarity is high enough."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    marked = np.zeros(len(values), bool)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        own = flat[ends[i]:ends[i + 1]]
+        marked[own] = True
+        both = np.bincount(owner[marked[flat]], minlength=len(sets))[others]
+        marked[own] = False
+        return both >= similarity * (sizes[i] + sizes[others] - both) - 1e-9
+
+    return simhash._forest(len(sets), near)
+
+
+def exact_links(sets: DataFrame, similarity: float = SIMILARITY, block: int = simhash.BUCKET_ROWS // 2) -> DataFrame:
+    """Edges ``a, b`` of ``sets(root, fp, shingles)``: within each root, the
+    pairs whose shingle sets have the similarity, up to what forests imply."""
+    need = F.greatest(F.count("*") / block, F.sum(F.length("shingles")) / BLOCK_BYTES)
+    sizes = sets.groupBy("root").agg(F.ceil(need).cast("int").alias("_blocks"))
+    keys = ["root", "_i", "_j"]
+    dealt = _in_blocks(sets.join(sizes, "root"), "fp", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(rows):
+            pairs = similar([np.frombuffer(s, "<u8") for _, s in rows], similarity)
+            fps = np.array([fp for fp, _ in rows], np.int64)[pairs]
+            return pa.RecordBatch.from_pydict({"a": pa.array(fps[:, 0].copy()), "b": pa.array(fps[:, 1].copy())})
+
+        key, held = None, []
+        for batch in batches:
+            for *own, fp, s in columns_of(batch, *keys, "fp", "shingles"):
+                if own != key and held:
+                    yield linked(held)
+                    held = []
+                key = own
+                held.append((fp, s))
+        if held:
+            yield linked(held)
+
+    return dealt.select(*keys, "fp", "shingles").mapInArrow(run, "a bigint, b bigint").where("a <> b")
+
+
+def similar_links(rows: DataFrame, keys: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges between the fingerprints of texts at the similarity; ``rows(doc_id,
+    text)`` are those of ``keys(doc_id, fp, wide)``."""
+    pairs, n = durable_counted(keys.select("fp", "wide").distinct())
+    loose = components(wide_links(pairs, n, similarity)).withColumnRenamed("v", "fp")
+    ids = keys.join(loose, "fp", "left_semi").select(F.col("doc_id").alias("id")).distinct()
+    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = shingle_sets(texts).where("length(shingles) > 0").distinct()
+    return durable(exact_links(durable(sets.join(loose, "fp")), similarity))
+
+
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: of each group of near
     copies the smallest doc_id; rows that repeat it stay once.
 
     A group is connected by links of 64-bit fingerprints of three-word shingles
-    within ``simhash.RADIUS`` bits, or of wide fingerprints of five-word
-    shingles at the similarity.
+    within ``simhash.RADIUS`` bits, or of sets of five-word shingles at the
+    similarity.
     """
     rows = packed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
     keys = durable(both_fingerprints(rows.select("doc_id", "text")))
     firsts, n = durable_counted(keys.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    pairs, m = durable_counted(keys.select("fp", "wide").distinct())
-    edges = simhash.links(firsts, n).unionByName(wide_links(pairs, m, similarity))
+    edges = simhash.links(firsts, n).unionByName(similar_links(rows.select("doc_id", "text"), keys, similarity))
     kept = simhash.named(keys.select("doc_id", "fp"), firsts, components(edges)).where(
         F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return simhash.staying(rows, keys, kept)

@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 from pyspark.sql import functions as F
-from test_simhash import brute_components
+from conftest import SF
+from test_simhash import brute_components, brute_fingerprint
 
 from codesift.llm import near_copies as nc, simhash
 from codesift.llm.components import components
@@ -77,6 +78,56 @@ def test_large_groups_are_dealt_on(spark):
     assert sizes == [[150], [150]]
 
 
+def overlapping(n, shared, own, tag):
+    """Texts of ``n`` groups: two sets of ``shared`` common and ``own`` further shingles."""
+    for g in range(n):
+        base = [f"{tag}{g}w{i}" for i in range(shared + 4)]
+        yield " ".join(base + [f"a{g}x{i}" for i in range(own)]), " ".join(base + [f"b{g}x{i}" for i in range(own)])
+
+
+def test_links_are_those_of_the_shingle_sets(spark):
+    """Pairs at 0.80 to 0.82 go, pairs at 0.75 to 0.79 stay, whatever their fingerprints say."""
+    near, far = list(overlapping(60, 180, 22, "n")), list(overlapping(60, 180, 25, "f"))
+    assert all(0.8 <= similarity(*p) < 0.82 for p in near) and all(0.75 < similarity(*p) < 0.8 for p in far)
+    texts = [t for p in near + far for t in p]
+    kept = {r["doc_id"] for r in nc.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    narrow = [simhash.fingerprint(simhash.hashes(t, 3)) for t in texts]
+    apart = [i for i in range(1, 240, 2) if (narrow[i] ^ narrow[i - 1]).bit_count() > simhash.RADIUS]
+    assert len(apart) > 100
+    assert sum(i in kept for i in apart if i < 120) <= 1
+    assert all(i in kept for i in apart if i > 120)
+
+
+def test_given_documents_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    sets = [set(simhash.hashes(t, 5).tolist()) for _, t in rows]
+    root = list(brute_components([brute_fingerprint(t) for _, t in rows]))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    want = {rows[r][0] for r in root}
+    kept = {r["doc_id"] for r in nc.one_of_each(docs).collect()}
+    assert want <= kept and len(kept - want) <= 1
+
+
+def test_found_share_at_the_edge():
+    for n in (10, 10**6, 10**9):
+        assert nc.found_share(0.8, *nc.bands_for(n), nc.limit(0.8, nc.DEVIATIONS)) >= nc.RECALL
+
+
+def test_blocks_of_a_loose_group(spark):
+    rng = random.Random(4)
+    base = words(rng, 200)
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(60)] + [" ".join(words(rng, 100)) for _ in range(20)]
+    sets = [(1, i, np.unique(simhash.hashes(t, 5)).tobytes()) for i, t in enumerate(texts)]
+    df = durable(spark.createDataFrame(sets, "root long, fp long, shingles binary"))
+    found = [sorted(r["count"] for r in components(durable(nc.exact_links(df, block=b))).groupBy("root").count().collect()) for b in (2048, 7)]
+    assert found == [[60], [60]]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "a b c", "a"), (3, "a b c", "a"), (None, "A  B\nC", "a"), (9, "w " * 50_000, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, wide string")
