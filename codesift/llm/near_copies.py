@@ -10,8 +10,10 @@ Pairs meet in bands of ``width`` bits drawn from the 256.  ``width`` follows
 the number of fingerprints, so that a bucket holds a few hundred unrelated ones
 at most, and the number of bands is what makes a pair at the similarity meet
 with the wanted chance (``RECALL``), over all distances it may have.  Buckets
-return spanning forests; a bucket beyond ``BUCKET_ROWS`` is dealt into finer
-ones by further bits.
+return spanning forests.  A bucket beyond ``BUCKET_ROWS`` loses no link: what is
+within ``CORE`` bits of one of its pivots is linked to it and done with, since
+all that it could link is near the pivot and linked there; the rest is dealt
+into blocks, and each pair of blocks is a bucket.
 
 Rows are distinct pairs of both fingerprints; the 64-bit one names the vertex,
 so these links and those of ``simhash`` make one graph.
@@ -42,8 +44,8 @@ DEVIATIONS = 4
 NUMBERS = 4
 BITS = 64 * NUMBERS
 SEED = 41
-FINER_BITS = 12
-FINER_WAYS = 4
+CORE = 24
+PIVOTS = 64
 # Bytes of shingle sets that a block of a loose group holds.
 BLOCK_BYTES = 16 << 20
 
@@ -152,7 +154,7 @@ def _probes(places: np.ndarray):
     return run
 
 
-def _link(most: int, within: int):
+def _link(most: int, within: int, splits: bool):
     keys = ("key",)
     dtype = [("key", "<i8"), ("fp", "<i8"), ("wide", "<u8", (NUMBERS,))]
 
@@ -162,17 +164,32 @@ def _link(most: int, within: int):
         rows["wide"] = _numbers(batch.column("wide"))
         return rows
 
+    held: dict = {"key": None}
+
     def refined(rows: np.ndarray) -> pa.RecordBatch:
-        """Finer buckets: other bits, drawn by the bucket's own key."""
-        seed = int(rows["key"][0]) & (1 << 63) - 1
-        places = np.stack([np.random.default_rng([SEED, seed, w]).choice(BITS, FINER_BITS, replace=False) for w in range(FINER_WAYS)])
-        values = _band_values(rows["wide"], places)
-        with np.errstate(over="ignore"):
-            mixed = (np.uint64(seed) * _TURNS[:FINER_WAYS])[None, :] ^ (values.astype("<u8") * _TURNS[1] + _TURNS[2])
-        key = (mixed >> np.uint64(1)).astype(np.int64).reshape(-1)
-        out = _rows(key, np.repeat(rows["fp"], FINER_WAYS), np.repeat(rows["wide"], FINER_WAYS, axis=0))
-        none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_pydict({**out, "a": none, "b": none})
+        """Links to pivots, and the rows that are left.  Rows are left only
+        once all pivots are drawn, so each meets every pivot."""
+        if held["key"] != rows["key"][0]:
+            held.update(key=rows["key"][0], fp=[], wide=[])
+        wide, left, pairs = np.ascontiguousarray(rows["wide"]), np.arange(len(rows)), []
+        at = 0
+        while len(left) and at < PIVOTS:
+            if at == len(held["fp"]):
+                held["fp"].append(int(rows["fp"][left[0]]))
+                held["wide"].append(wide[left[0]].copy())
+            apart = np.bitwise_count(wide[left] ^ held["wide"][at]).sum(axis=1)
+            others = rows["fp"][left[apart <= within + CORE]]
+            pairs.append(np.stack([np.full(len(others), held["fp"][at]), others], 1))
+            left = left[apart > CORE]
+            at += 1
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        n, more = len(pairs), _rows(rows["key"][left], rows["fp"][left], wide[left])
+        none = {"key": pa.nulls(n, pa.int64()), "fp": pa.nulls(n, pa.int64()), "wide": pa.nulls(n, pa.binary())}
+        end = pa.nulls(len(left), pa.int64())
+        return pa.RecordBatch.from_pydict({
+            **{c: pa.concat_arrays([more[c], none[c]]) for c in more},
+            **{c: pa.concat_arrays([end, pa.array(np.ascontiguousarray(pairs[:, i]))]) for i, c in enumerate("ab")}})
 
     def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(rows):
@@ -189,7 +206,7 @@ def _link(most: int, within: int):
                 "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from simhash._bucket_stream(batches, read, keys, linked, refined, lambda row: True, most)
+        yield from simhash._bucket_stream(batches, read, keys, linked, refined, lambda row: splits, most)
 
     return run
 
@@ -204,21 +221,24 @@ def _in_blocks(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def wide_links(reps: DataFrame, n: int, similarity: float = SIMILARITY, most: int = simhash.BUCKET_ROWS) -> DataFrame:
-    """Edges ``a, b`` between the 64-bit fingerprints of near copies in
-    ``reps(fp, wide)``.  Rows equal in all bits make a bucket no finer, so they
-    must be distinct."""
+    """Edges ``a, b`` between the 64-bit fingerprints in ``reps(fp, wide)``,
+    whose components hold all pairs that meet in a band and are within the
+    limit.  Rows must be distinct."""
     width, bands = bands_for(n, similarity)
     rng = np.random.default_rng(SEED)
     places = np.stack([rng.choice(BITS, width, replace=False) for _ in range(bands)])
-    todo, edges = reps.select("fp", "wide").mapInArrow(_probes(places), _SCHEMA), None
-    for _ in range(BITS):
-        dealt = todo.repartition("key").sortWithinPartitions("key")
-        out = durable(dealt.mapInArrow(_link(most, limit(similarity, DEVIATIONS)), _SCHEMA + ", a bigint, b bigint"))
-        found = out.where("a IS NOT NULL").select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
-        todo, open_ = durable_counted(out.where("a IS NULL").select("key", "fp", "wide"))
-        if not open_:
-            return edges
+    within, schema = limit(similarity, DEVIATIONS), _SCHEMA + ", a bigint, b bigint"
+    dealt = reps.select("fp", "wide").mapInArrow(_probes(places), _SCHEMA).repartition("key").sortWithinPartitions("key")
+    out = durable(dealt.mapInArrow(_link(most, within, True), schema))
+    edges = out.where("a IS NOT NULL").select("a", "b")
+    left, open_ = durable_counted(out.where("a IS NULL").select("key", "fp", "wide"))
+    if open_:
+        sizes = left.groupBy("key").agg(F.ceil(F.count("*") / (most / 2)).cast("int").alias("_blocks"))
+        dealt = _in_blocks(left.join(sizes, "key"), "fp", "wide")
+        dealt = dealt.select(F.xxhash64("key", "_i", "_j").alias("key"), "fp", "wide")
+        dealt = dealt.repartition("key").sortWithinPartitions("key")
+        out = durable(dealt.mapInArrow(_link(most, within, False), schema))
+        edges = edges.unionByName(out.select("a", "b"))
     return edges
 
 

@@ -118,6 +118,38 @@ def test_found_share_at_the_edge():
         assert nc.found_share(0.8, *nc.bands_for(n), nc.limit(0.8, nc.DEVIATIONS)) >= nc.RECALL
 
 
+def test_hot_buckets_lose_no_link(spark):
+    """Pairs in one bucket of many texts are linked as if it were not dealt."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, nc.NUMBERS, dtype=np.uint64)
+    wides = [base]
+    for _ in range(399):  # each some forty bits from one before it
+        flips = np.packbits(np.isin(np.arange(nc.BITS), rng.choice(nc.BITS, 40, replace=False)), bitorder="little").view("<u8")
+        wides.append(wides[rng.integers(len(wides))] ^ flips)
+    rows = [(7, i, w.tobytes()) for i, w in enumerate(wides)]
+    within = nc.limit(0.8, nc.DEVIATIONS)
+    bucket = spark.createDataFrame(rows, nc._SCHEMA).coalesce(1)
+    out = bucket.mapInArrow(nc._link(20, within, True), nc._SCHEMA + ", a bigint, b bigint").collect()
+    root = list(range(len(wides)))
+
+    def merge(i, j):
+        low, high = sorted((root[i], root[j]))
+        root[:] = [low if r == high else r for r in root]
+
+    left = [r["fp"] for r in out if r["a"] is None]
+    for r in out:
+        if r["a"] is not None:
+            merge(r["a"], r["b"])
+    assert len(left) + nc.PIVOTS <= len(wides)
+    for i in left:
+        for j in left:
+            if j < i and int(np.bitwise_count(wides[i] ^ wides[j]).sum()) <= within:
+                merge(i, j)
+    for i in range(len(wides)):
+        for j in range(i):
+            assert int(np.bitwise_count(wides[i] ^ wides[j]).sum()) > within or root[i] == root[j]
+
+
 def test_blocks_of_a_loose_group(spark):
     rng = random.Random(4)
     base = words(rng, 200)
