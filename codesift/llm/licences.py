@@ -2,8 +2,8 @@
 
 Templates are short licence notices.  Their words, without the commonest words
 of prose, form the licence vocabulary; how many documents hold each is counted
-over all documents.  A file looks up its licence words of highest inverse
-document frequency; the template postings they meet vote for (template, start
+over all documents.  A file looks up all of its licence words; the template
+postings they meet vote, by inverse document frequency, for (template, start
 of the template in the file), that is position in the file minus position in
 the template.  A start with enough votes is verified: the template's mandatory
 key phrases must stand in the file at that place, a few words apart at most.
@@ -64,7 +64,6 @@ TEMPLATES = [
 # The commonest words of prose; a licence is never looked up by them.
 COMMON = frozenset("a and any are as at be by for from in is it may of on or the this that to under was with".split())
 
-LOOKED_UP = 12
 SLACK = 2
 
 _TO_WORDS = bytes(
@@ -132,11 +131,9 @@ def scan_words(words: list[bytes], t: Templates) -> dict:
     base = [(at, label) for phrase, label in t.base for at in places(words, phrase, index)]
     labels, score = {label for _, label in base}, 1.0 if base else 0.0
 
-    # The file's licence words, the rarest of the corpus first.
-    rare = sorted((w for w in index if w in t.vocabulary), key=lambda w: (-t.idf.get(w, 0.0), w))[:LOOKED_UP]
     votes: dict[tuple[int, int], float] = defaultdict(float)
-    for w in rare:
-        for template, at in t.postings[w]:
+    for w in index:
+        for template, at in t.postings.get(w, ()):
             for place in index[w]:
                 votes[template, place - at] += t.idf.get(w, 0.0)
     for (template, start), weight in votes.items():

@@ -46,6 +46,15 @@ def test_every_template_finds_itself(index):
         assert label in got["labels"].split(","), notice
 
 
+def test_long_notices_hide_no_other_licence():
+    """Words that are common in the corpus count beside many rare ones."""
+    t = lc.Templates()
+    t.weighted({w: 1.0 if w in lc.words_of("licensed apache license version 2 0") else 9.0 for w in t.vocabulary})
+    for gap in (" ", " and then " * 40):
+        got = lc.scan_words(lc.words_of(gap.join(n for label, n, _ in lc.TEMPLATES if label in ("bsd", "mit", "isc", "apache-2.0"))), t)
+        assert {"bsd", "mit", "isc", "apache-2.0"} <= set(got["labels"].split(","))
+
+
 def test_words_out_of_place_or_without_key_phrase_do_not_count(index):
     for text in ["license the under mit version apache 2 0", "licensed released software", "license " * 500, "apache " * 100 + "license"]:
         assert lc.scan_words(lc.words_of(text), index)["labels"] in ("", "apache-2.0" if "apache license" in text and "2 0" in text else "")
