@@ -4,8 +4,8 @@ A page is fed to the standard library's streaming parser.  Block elements cut
 it into lines; each line has its text, its number of tags and its place in the
 page.  The ratio of text to tags per line is smoothed by a Gaussian, and lines
 above a threshold (a share of the ratios' standard deviation) form clusters.
-The deepest region (article, main or other container) that holds most of the
-clusters' text is the content: all its lines are returned, short ones too.
+The deepest region (article, main or other container) that holds all of the
+clusters is the content: all its lines are returned, short ones too.
 
 Lines inside elements that are never main text (navigation, asides, forms,
 scripts, footers, and containers named as adverts, notices, menus, comments
@@ -37,8 +37,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIGMA = 1.0
 LAMBDA = 0.5
-# Share of the clusters' text that the content region holds.
-MOST = 0.8
 _FEED = 1 << 16
 
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -46,7 +44,7 @@ figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legen
 p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Never main text, whatever their names.
-_NEVER = frozenset("""aside audio button canvas dialog footer form head iframe label math menu nav noscript object
+_NEVER = frozenset("""aside audio button canvas dialog footer form head iframe label menu nav noscript object
 option script search select style svg template textarea title video""".split())
 _CONTENT = frozenset(["article", "main"])
 _CONTAINERS = frozenset(["div", "section", "td", "body", "blockquote", "center"])
@@ -69,6 +67,10 @@ _NAMES = re.compile(
     r"|footer|masthead|topbar|toolbar|comments?|commentlist|replies|reply|responses|discussion|disqus|respond|share|sharing|social"
     r"|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widgets?|pagination|pager"
     r"|skip|disclaimer|tags|byline|teasers?)(?:$|[\s_-]|\d)", re.IGNORECASE)
+# Of these, the names that are beyond doubt inside an article.
+_NAMES_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|tions|s)?"
+    r"|cookies?|sidebars?|comments?|commentlist|disqus|share|sharing|newsletter)(?:$|[\s_-]|\d)", re.IGNORECASE)
 # A whole class name that marks an article as something beside the main one.
 _ASIDE_ARTICLE = re.compile(
     r"(?:user-|reader-)?(?:comment|reply|response)s?(?:-(?:item|body|content|\d+))?|teaser|related|promo|sponsored|ad|advert", re.IGNORECASE)
@@ -149,10 +151,11 @@ class _Lines(HTMLParser):
         elif tag == "main":
             skip = False
         elif block and tag not in _HEADINGS and tag not in ("body", "html"):
-            skip = skip or bool(_NAMES.search(called) or _HEADER_NAMES.search(called))
+            skip = skip or bool((_NAMES_INSIDE if top.content else _NAMES).search(called))
+            skip = skip or not top.content and bool(_HEADER_NAMES.search(called))
         # A page header goes; of an article's header the headings stay.
         skip = skip or tag == "header" and not top.content
-        muted = tag not in _HEADINGS and (top.muted or tag == "header")
+        muted = tag not in _HEADINGS and (top.muted or tag == "header" or block and top.content and bool(_HEADER_NAMES.search(called)))
         content = top.content or tag in _CONTENT
         region = top.region
         if not top.content and (tag in _CONTENT or tag in _CONTAINERS):
@@ -218,12 +221,12 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def _content_region(weights: dict[int, float], parents: list[int]) -> int:
-    """The deepest region that holds most of the weight of all lines."""
+    """The deepest region that holds the weight of all lines."""
     inside = [weights.get(r, 0.0) for r in range(len(parents))]
     # A region has a higher number than its parent.
     for r in range(len(parents) - 1, 0, -1):
         inside[parents[r]] += inside[r]
-    return max(r for r in range(len(parents)) if inside[r] >= MOST * inside[0])
+    return max(r for r in range(len(parents)) if inside[r] >= inside[0])
 
 
 def main_text(html: str | None, sigma: float = SIGMA, share: float = LAMBDA) -> str:

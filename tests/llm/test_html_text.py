@@ -48,6 +48,11 @@ LONG = "A paragraph of the article that is long enough to be told from menus. "
      f"{LONG.strip()}\n\nSee this too."),
     (f"<main><article><p>{LONG}</p></article><article><p>Second.</p></article></main>", f"{LONG.strip()}\n\nSecond."),
     ("<article><p>Of.</p></article><div class=ad>Buy many more things than you need today</div>", "Of."),
+    (f"<div id=content><h1>T</h1><div class=lead><p>{LONG}</p></div><div class=body>{f'<p>{LONG}</p>' * 9}</div></div>",
+     "\n\n".join(["T"] + [LONG.strip()] * 10)),
+    (f"<article>{f'<p>{LONG}</p>' * 9}</article><article><p>{LONG}</p></article>", "\n\n".join([LONG.strip()] * 10)),
+    (f"<article><div class=article-header><h1>T</h1></div><section class=discussion><p>{LONG}</p></section><p>{LONG}</p><p>a <math>x</math></p></article>",
+     f"T\n\n{LONG.strip()}\n\n{LONG.strip()}\n\na x"),
 ])
 def test_small_pages(page, want):
     assert ht.main_text(page) == want
