@@ -111,14 +111,22 @@ UNION ALL SELECT path, 'source does not parse' FROM ({CODE}) WHERE file_id % 8 =
 UNION ALL SELECT path, 'too large' FROM ({DOCS}) WHERE length(text) > {_CAP}"""
 
 
+def _write_folders(docs, folder: str, file_bytes: int = 16 << 20, file_rows: int = 10_000) -> None:
+    """``docs(folder, doc_id, value)`` as text files of bounded size, a folder per source."""
+    size = docs.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    ways = size // file_bytes + 1
+    salt = F.pmod(F.xxhash64("doc_id", "value"), F.lit(ways))
+    docs.repartition("folder", salt).drop("doc_id").write.option("maxRecordsPerFile", file_rows).partitionBy("folder").text(folder)
+
+
 def _round_trip(s, d):
     """Documents written as text files, one folder per source, and read back
     as a corpus: bytes and lines per folder."""
     ensure_checkpoint_dir(s)
     folder = f"{s.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
     line = F.regexp_replace("text", r"[\n\r]", " ")
-    docs = tables.table(s, d, "documents").select(F.concat("source", F.lit("")).alias("folder"), line.alias("value"))
-    docs.repartition("folder").write.partitionBy("folder").text(folder)
+    docs = tables.table(s, d, "documents").select(F.concat("source", F.lit("")).alias("folder"), "doc_id", line.alias("value"))
+    _write_folders(docs, folder)
     files = corpus.read_corpus(s, folder, max_bytes=None, glob="*.txt", hidden=False)
     name = F.regexp_extract("path", "folder=([^/]*)/", 1)
     return files.groupBy(name.alias("source")).agg(

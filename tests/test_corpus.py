@@ -228,3 +228,14 @@ def test_tables_are_dropped(spark):
         assert session.drop_tables(spark) == 1 and session.drop_tables(spark) == 0
     finally:
         session._written.extend(held)
+
+
+def test_a_source_is_written_as_many_files(spark, tmp_path):
+    from codesift.plans.checks.scans import _write_folders
+
+    rows = [("a" if i % 3 else "b", i, "x" * 100) for i in range(600)]
+    folder = tmp_path / "out"
+    _write_folders(spark.createDataFrame(rows, "folder string, doc_id long, value string"), str(folder), file_bytes=2000, file_rows=50)
+    files = list(folder.rglob("*.txt"))
+    assert max(f.stat().st_size for f in files) <= 50 * 101 and len(files) >= 12
+    assert sum(f.read_text().count("\n") for f in files) == 600
