@@ -125,7 +125,7 @@ def base_spans(text: str) -> list[Span]:
 
 _MORE = [
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,512}+=*+(?![A-Za-z0-9_+/=-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+=*+(?![A-Za-z0-9_+/=-])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("tel", re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])")),
 ]
@@ -151,6 +151,7 @@ _WORD = re.compile(r"\w+")
 
 
 def candidates(text: str, base: list[Span]) -> list[Span]:
+    """Base spans, and spans of further kinds beside them, which may overlap."""
     out = list(base)
     found: list[tuple[str, int, int]] = []
     if _DIGIT.search(text):
@@ -164,17 +165,25 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         found += [("name", m.start(1), m.end(1)) for m in _NAME.finditer(text)]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     taken = sorted((s.start, s.end) for s in base)
-    last = at = 0
+    at = 0
     for kind, start, end in found:
         # Both lists are in order, so each base span is passed once.
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if start >= last and (at == len(taken) or end <= taken[at][0]):
+        if at == len(taken) or end <= taken[at][0]:
             out.append(Span(start, KINDS.index(kind), end))
-            last = end
     return sorted(out)
 
 
+def without_overlaps(spans: list[Span]) -> list[Span]:
+    """Of overlapping spans the one that starts first."""
+    out: list[Span] = []
+    for s in sorted(spans):
+        if not out or s.start >= out[-1].end:
+            out.append(s)
+    return out
+
+
 # --- labelers -----------------------------------------------------------------------
 
 
@@ -380,7 +389,7 @@ def personal_spans(docs: DataFrame, sample: int = SAMPLE, cut: float = 0.5) -> D
                 kinds = Counter(s.kind for s in base)
                 out.append({
                     "doc_id": doc_id, **{f"n_{k}": kinds[i] for i, k in enumerate(BASE_KINDS)},
-                    "base_sha256": hashlib.sha256(_joined(base).encode()).hexdigest(), "spans": _joined(sorted(base + more))})
+                    "base_sha256": hashlib.sha256(_joined(base).encode()).hexdigest(), "spans": _joined(sorted(base + without_overlaps(more)))})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
                 ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE_KINDS], ("base_sha256", pa.string()), ("spans", pa.string())]))
 

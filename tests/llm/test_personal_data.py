@@ -86,6 +86,15 @@ def test_added_spans(spark):
     assert all(got[k] == "" for k, _ in rows[40:])
 
 
+def test_long_and_overlapping_candidates():
+    token = "".join(random.Random(2).choices("abcdefghijklmnop0123456789", k=700))
+    assert pd_.Span(6, pd_.KINDS.index("secret"), 706) in pd_.candidates(f"token {token} ends", [])
+    # A malformed IBAN and the secret that starts where it does are both scored.
+    text = "key DE00AAAABBBBCCCCDDDD ends"
+    assert {pd_.KINDS[s.kind] for s in pd_.candidates(text, [])} == {"iban", "secret"}
+    assert pd_.without_overlaps([pd_.Span(4, 4, 24), pd_.Span(4, 7, 24), pd_.Span(30, 7, 50)]) == [pd_.Span(4, 4, 24), pd_.Span(30, 7, 50)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (None, "a@b.cd", "x"), (2, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
