@@ -150,6 +150,10 @@ CHECKS = {
         lambda s, d: _hits(s, d, "all").where(F.col("language").isin("java", "php")).select("file_id", "package", "version"),
         f"""WITH {_HITS} SELECT file_id, package, version FROM (SELECT *, {_NUM} AS n FROM hits)
         WHERE (language = 'java' AND n >= [2, 0, 0] AND n <= [2, 14, 1]) OR (language = 'php' AND n < [4, 2, 12])"""),
+    "vulnerable_deps_all_mode_languages": Check(
+        lambda s, d: _hits(s, d, "all").select("file_id", "language", "package", "version"),
+        f"""WITH {_HITS} SELECT file_id, language, package, version FROM (SELECT *, {_NUM} AS n FROM hits)
+        WHERE (language = 'java' AND n >= [2, 0, 0] AND n <= [2, 14, 1]) OR (language = 'php' AND n < [4, 2, 12]) OR language NOT IN ('java', 'php')"""),
     "dedup_advisories": Check(
         lambda s, d: _unique(s, d).select("advisory_id", "package", "version", "path", "file_id"),
         f"WITH {_HITS}, {_FIRST} SELECT advisory_id, package, version, path, file_id FROM firsts"),
