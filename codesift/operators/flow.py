@@ -132,6 +132,28 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None)
     return seen
 
 
+def reachable_in_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """As ``reachable``, where each node has at most one edge to it, in rounds
+    that grow with the logarithm of the longest way: each node knows a node
+    before it and how far that is, and takes over what that one knows."""
+    starts = starts.select("node").distinct().withColumn("depth", F.lit(0))
+    steps = edges.select(F.col("dst").alias("node"), F.col("src").alias("back")).join(starts, "node", "left_anti")
+    todo, n = durable_counted(steps.withColumn("far", F.lit(1)))
+    seen, most, reach = durable(starts), n, 1
+    while n:
+        known = seen.select(F.col("node").alias("back"), "depth")
+        done = durable(todo.join(known, "back").select("node", (F.col("depth") + F.col("far")).cast("int").alias("depth")))
+        seen = durable(seen.unionByName(done))
+        # All ways of up to ``reach`` edges are known; what is left then goes round in a cycle.
+        if reach > most:
+            break
+        left = todo.join(done.select("node"), "node", "left_anti")
+        ahead = todo.select(F.col("node").alias("back"), F.col("back").alias("next"), F.col("far").alias("more"))
+        todo, n = durable_counted(left.join(ahead, "back").select("node", F.col("next").alias("back"), (F.col("far") + F.col("more")).alias("far")))
+        reach *= 2
+    return seen
+
+
 def finding_function(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """The smallest function around each finding; null outside of all."""
     keys = ["file_id", "phase", "rule_id", "match_no", "line"]

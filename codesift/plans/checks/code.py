@@ -224,6 +224,13 @@ def _event_reach(s, d):
     return flow.reachable(edges, first)
 
 
+def _event_reach_all(s, d):
+    """Events that any steps lead to from the first of a user: all of them."""
+    nodes = _event_nodes(s, d)
+    first = nodes.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node")
+    return flow.reachable_in_chains(_event_edges(s, d), first)
+
+
 def _triage(s, d):
     f, t = _tainted(s, d, _flow)
     return flow.triage_difficulty(taint.taint_to_sinks(f, t), f).select(
@@ -314,6 +321,9 @@ CHECKS = {
         _event_reach,
         "WITH e AS (SELECT *, date_trunc('day', ts) AS day, min(date_trunc('day', ts)) OVER (PARTITION BY user_id) AS first_day FROM events) "
         "SELECT event_id AS node, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS depth FROM e WHERE day = first_day"),
+    "reachable_events_all": Check(
+        _event_reach_all,
+        "SELECT event_id AS node, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS depth FROM events"),
     "triage_difficulty": Check(
         _triage,
         _strip_path(_expect(["function", "sink", "tainted_variable", "line", "branches", "auth", "controlled", "difficulty"], [], [

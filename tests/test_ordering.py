@@ -51,3 +51,13 @@ def test_reachable_in_a_graph_with_cycles(spark):
             frontier = {b for a, b in edges if a in frontier} - set(want)
             want |= {n: d for n in frontier}
         assert {r["node"]: r["depth"] for r in reachable(df, starts, depth).collect()} == want
+
+
+def test_reachable_in_chains_of_any_length(spark):
+    from codesift.operators.flow import reachable_in_chains
+
+    edges = [(i, i + 1) for i in range(100)] + [(200, 201), (201, 202), (202, 200), (50, 300)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    starts = spark.createDataFrame([(3,), (60,)], "node long")
+    want = {i: i - 3 for i in range(3, 60)} | {i: i - 60 for i in range(60, 101)} | {300: 48}
+    assert {r["node"]: r["depth"] for r in reachable_in_chains(df, starts).collect()} == want
