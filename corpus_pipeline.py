@@ -3,6 +3,12 @@
 
 Every stage but the last returns the columns of ``documents``; each is written
 as Parquet and read back as the next one's input.
+
+Defined cases, for every stage: a null text is an empty one; a null doc_id is an
+id of its own, after all others; of rows that repeat an id and a text the
+deduplicating stages keep one, the others treat each; further columns, whatever
+their names, come through all stages but the last; an empty table stays empty;
+a very long text is one row of one task in each stage.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import exact_dedup, mixing, near_copies, packing, toxicity
+from codesift.llm import exact_dedup, mixing, packing, simhash, toxicity
 from codesift.llm.common import table, word_count
 from codesift.session import ensure_checkpoint_dir
 
@@ -27,9 +33,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays: fingerprints within
-    three bits, or five-word shingles of a similarity of 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """Of each group of documents whose fingerprints of three-word shingles are
+    linked within three bits, the one with the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
