@@ -10,6 +10,7 @@ from codesift.catalog.queries import DANGEROUS_EVAL_PATTERN
 from codesift.functions import text as tx
 from codesift.operators.match import GENERIC, Rule, expand_matches, find_matches
 from codesift.operators.ordering import numbered_in_groups
+from codesift.operators.trigrams import Index, indexed_matches
 from codesift.schemas import as_findings
 from codesift.session import durable, durable_counted
 from codesift.sources.catalogues import extension_of_language, pattern_rules, query_rules, saved_query_rules
@@ -49,10 +50,21 @@ def pattern_findings(files: DataFrame, groups: list[str] | None = None) -> DataF
     return as_findings(match_rules(files, groups), "pattern", file=F.col("path"))
 
 
+_SEARCH = {"flags": MULTILINE, "code": False, "context": True}
+
+
+def _as_search_rows(matches: DataFrame) -> DataFrame:
+    return matches.select("file_id", F.col("path").alias("file"), "match_no", "line", "match", "context",
+                          F.lit("pattern_match").alias("type"))
+
+
 def search_pattern(files: DataFrame, pattern: str) -> DataFrame:
-    rows = find_matches(files, [Rule("search", pattern)], flags=MULTILINE, code=False, context=True)
-    return rows.select("file_id", F.col("path").alias("file"), "match_no", "line", "match", "context",
-                       F.lit("pattern_match").alias("type"))
+    return _as_search_rows(find_matches(files, [Rule("search", pattern)], **_SEARCH))
+
+
+def search_index(index: Index, pattern: str) -> DataFrame:
+    """As ``search_pattern`` over the files of an index, reading candidates only."""
+    return _as_search_rows(indexed_matches(index, [Rule("search", pattern)], **_SEARCH))
 
 
 def function_patterns(name: str) -> list[str]:
@@ -101,15 +113,25 @@ def search_functions(files: DataFrame, names: list[str]) -> DataFrame:
                        F.lit("function_match").alias("type"))
 
 
-def _query_rows(files: DataFrame, rules) -> DataFrame:
-    return find_matches(
-        files, rules, tx.extension(F.col("path")), flags=MULTILINE, code=False, context=True,
-        context_rows=True, end_line=True,
-    ).select(
+_QUERY = {"flags": MULTILINE, "code": False, "context": True, "context_rows": True, "end_line": True}
+
+
+def _as_query_rows(matches: DataFrame) -> DataFrame:
+    return matches.select(
         "file_id", F.col("path").alias("file"), F.col("rule_id").alias("query_id"), "name", "match_no",
         F.col("line").alias("line_start"), "line_end", "match", "context", "context_rows", "severity")
 
 
+def _query_rows(files: DataFrame, rules) -> DataFrame:
+    return _as_query_rows(find_matches(files, rules, tx.extension(F.col("path")), **_QUERY))
+
+
+def run_query_on_index(index: Index, query_id: str | None = None) -> DataFrame:
+    """As ``run_query`` with the built-in queries, each on its candidates only."""
+    rules = saved_query_rules(query_id)
+    return _as_query_rows(indexed_matches(index, rules, lambda: tx.extension(F.col("path")), **_QUERY))
+
+
 def run_query(files: DataFrame, query_id: str | None = None, queries: DataFrame | None = None) -> DataFrame:
     """One saved query, or all of them; built in, or from a query table."""
     if queries is None:
@@ -198,9 +220,14 @@ def create_query_ids(new: DataFrame, existing: DataFrame, chunk_size: int = 1000
     rows = durable(rows.withColumn("k", F.col("k").cast("long") - 1))
     taken = _as_numbers(existing)
     query_id = F.when(F.col("_no") == 0, F.col("base_id")).otherwise(F.concat_ws("-", "base_id", F.col("_no").cast("string")))
+    # Only a name that looks like a numbered one can meet the id of another.
+    may_meet = not rows.where(F.col("base_id").rlike(_NUMBERED)).isEmpty()
     while True:
         free = _free_numbers(rows.select("base_id", "k", "seq"), taken, chunk_size).select("seq", F.col("no").alias("_no"))
-        given = durable(rows.join(free, "seq").withColumn("query_id", query_id))
+        given = rows.join(free, "seq").withColumn("query_id", query_id)
+        if not may_meet:
+            break
+        given = durable(given)
         first = given.groupBy("query_id").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1")
         lost = given.join(first, "query_id").where(F.col("seq") > F.col("first")).select("base_id", F.col("_no").alias("no"))
         lost, n = durable_counted(lost.distinct())

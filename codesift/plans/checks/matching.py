@@ -8,11 +8,12 @@ from codesift.catalog import secrets as cat
 from codesift.catalog.queries import DANGEROUS_EVAL_PATTERN, SAVED_QUERY_ROWS
 from codesift.functions import text as tx
 from codesift.operators import secrets as sec
-from codesift.operators import search
+from codesift.operators import search, trigrams
 from codesift.operators.match import find_matches
 from codesift.plans.checks.common import (
     CODE, CODE_LINE, CONTEXT, CONVERSATIONS, DOCS, FLOW, PAGES, POLYGLOT, SECRET_COLUMNS, Check, any_of, ext, found,
     lit, pattern_found, pattern_rows, query_found, secret_found, strip, values)
+from codesift.session import scratch_folder
 from codesift.sources import catalogues, tables
 
 GENERAL = ["generic", "sensitive_data"]
@@ -131,6 +132,45 @@ def _language_of(s, d):
     return files.select("file_id", "path", sec.detect_code_language(F.col("text")).alias("language"))
 
 
+# Searches over the documents: with one word, with alternatives, without case,
+# and without any three characters that a match must hold.
+SEARCHES = [r"secret\w* \d", r"(token|pass)\s*[:=]", r"(?i)gmail", r"\d{3}-\d{2}"]
+
+
+def _indexed(s, files, block_bytes=256 << 10):
+    return trigrams.write_index(files, scratch_folder(s, "index"), block_bytes)
+
+
+def _code_index(s, d):
+    poly = tables.polyglot_files(s, d).withColumn("file_id", -1 - F.col("file_id"))
+    return _indexed(s, tables.flow_files(s, d).unionByName(poly))
+
+
+def _costs(s, d):
+    index = _indexed(s, _docs(s, d))
+    out = None
+    for pattern in SEARCHES:
+        row = trigrams.search_cost(index, pattern)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _condition_sql(condition) -> str:
+    """A trigram condition as a test of the folded text."""
+    if condition is True:
+        return "TRUE"
+    if isinstance(condition, str):
+        return f"contains(folded, {lit(condition)})"
+    return "(" + f" {condition[0].upper()} ".join(_condition_sql(c) for c in condition[1]) + ")"
+
+
+_COSTS_SQL = " UNION ALL ".join(
+    f"SELECT {lit(p)} AS pattern, {c is not True} AS indexed, count(*) AS files, sum(size)::BIGINT AS bytes, "
+    f"count(*) FILTER ({_condition_sql(c)}) AS candidates, coalesce(sum(size) FILTER ({_condition_sql(c)}), 0)::BIGINT AS candidate_bytes "
+    f"FROM (SELECT size, lower(upper(text)) AS folded FROM ({DOCS}))"
+    for p in SEARCHES for c in [trigrams.condition_of(p)])
+
+
 CHECKS = {
     "match_rules": Check(_match_rules, _by_extension_sql()),
     "match_line_numbers": Check(
@@ -158,6 +198,19 @@ CHECKS = {
         rf"""WITH {found(f"SELECT file_id, path, text FROM ({DOCS}) UNION ALL SELECT file_id, path, text FROM ({CONVERSATIONS})",
                          ["rule_id", "pattern"], [("search", r"^[A-Z][a-z]+ [\pL\pN_]+\.$|\d{4,}")], flags="(?m)")}
         SELECT file_id, path AS file, match_no, line, match, {CONTEXT} AS context, 'pattern_match' AS type FROM found"""),
+    "search_index": Check(
+        lambda s, d: search.search_index(_indexed(s, _docs(s, d)), SEARCHES[1]).unionByName(
+            search.search_index(_indexed(s, tables.conversation_files(s, d)), SEARCHES[3])),
+        " UNION ALL ".join(
+            f"""SELECT * FROM (WITH {found(f"SELECT file_id, path, text FROM ({corpus})", ["rule_id", "pattern"], [("search", p)], flags="(?m)")}
+        SELECT file_id, path AS file, match_no, line, match, {CONTEXT} AS context, 'pattern_match' AS type FROM found)"""
+            for corpus, p in ((DOCS, SEARCHES[1]), (CONVERSATIONS, SEARCHES[3])))),
+    "search_index_cost": Check(_costs, _COSTS_SQL),
+    "run_query_on_index": Check(
+        lambda s, d: search.run_query_on_index(_code_index(s, d)).select(
+            "file_id", "file", "query_id", "line_start", "line_end", "match", "context", "severity"),
+        f"""WITH {query_found(f"SELECT file_id, path, text FROM ({FLOW}) UNION ALL SELECT -1 - file_id, path, text FROM ({POLYGLOT})")} SELECT file_id, path AS file, query_id,
+        line AS line_start, (line + length(match) - length(replace(match, chr(10), '')))::INTEGER AS line_end, match, {CONTEXT} AS context, severity FROM found"""),
     "search_functions": Check(
         lambda s, d: search.search_functions(
             tables.flow_files(s, d).unionByName(tables.polyglot_files(s, d)),
