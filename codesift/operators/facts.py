@@ -125,7 +125,8 @@ def _assign(node: ast.Assign) -> list[dict]:
 
 
 def _import(node: ast.Import | ast.ImportFrom) -> list[dict]:
-    return [{"kind": "import", "name": a.name, "asname": a.asname, "module": getattr(node, "module", None)}
+    dots = "." * (getattr(node, "level", 0) or 0)  # of a relative import
+    return [{"kind": "import", "name": a.name, "asname": a.asname, "module": getattr(node, "module", None), "value": dots or None}
             for a in node.names]
 
 

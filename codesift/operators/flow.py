@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import itertools
-import sys
 
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codesift.operators.facts import definitions, of_kind, with_lines
@@ -14,24 +11,21 @@ from codesift.operators.ordering import next_in_groups, numbered_in_groups
 from codesift.schemas import as_findings
 from codesift.session import durable, durable_counted
 
-# The helpers travel with the job, so executors need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Lines per bin of the interval joins, and calls per chunk of a function.
 BIN = 64
 CHUNK = 1000
 
 
-def _bin(line: Column) -> Column:
+def line_bin(line: Column) -> Column:
     return F.floor(line / BIN)
 
 
-def _function_bins(facts: DataFrame) -> DataFrame:
+def function_bins(facts: DataFrame) -> DataFrame:
     """Function ranges, one row per bin of lines they cover."""
     return definitions(facts).select(
         "file_id", F.col("name").alias("function"), F.col("line").alias("f_line"),
         F.col("end_line").alias("f_end"), F.col("col").alias("f_col"),
-        F.explode(F.sequence(_bin(F.col("line")), _bin(F.col("end_line")))).alias("_bin"))
+        F.explode(F.sequence(line_bin(F.col("line")), line_bin(F.col("end_line")))).alias("_bin"))
 
 
 def bare_except(facts: DataFrame, scope: str = "function") -> DataFrame:
@@ -65,9 +59,9 @@ def calls_in_function(facts: DataFrame) -> DataFrame:
     that cover its bin.
     """
     calls = of_kind(facts, "call").select(
-        "file_id", "path", "seq", "line", "col", F.col("name").alias("call"), "args", _bin(F.col("line")).alias("_bin"))
+        "file_id", "path", "seq", "line", "col", F.col("name").alias("call"), "args", line_bin(F.col("line")).alias("_bin"))
     inside = (F.col("f_line") < F.col("line")) & (F.col("line") < F.col("f_end"))
-    return calls.join(_function_bins(facts), ["file_id", "_bin"]).where(inside).select(
+    return calls.join(function_bins(facts), ["file_id", "_bin"]).where(inside).select(
         "file_id", "path", "function", "seq", "line", "col", "call", "args")
 
 
@@ -157,9 +151,9 @@ def reachable_in_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def finding_function(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """The smallest function around each finding; null outside of all."""
     keys = ["file_id", "phase", "rule_id", "match_no", "line"]
-    rows = findings.withColumn("_bin", _bin(F.col("line")))
+    rows = findings.withColumn("_bin", line_bin(F.col("line")))
     inside = (F.col("f_line") <= F.col("line")) & (F.col("line") <= F.col("f_end"))
-    found = rows.join(_function_bins(facts), ["file_id", "_bin"]).where(inside).groupBy(*keys).agg(
+    found = rows.join(function_bins(facts), ["file_id", "_bin"]).where(inside).groupBy(*keys).agg(
         F.min(F.struct((F.col("f_end") - F.col("f_line")).alias("size"), "f_line", "function", "f_end")).alias("f"))
     found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "f.function", "f.f_line", "f.f_end")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
@@ -205,8 +199,8 @@ def triage_difficulty(hits: DataFrame, facts: DataFrame) -> DataFrame:
         "file_id", "seq", "function", F.col("depth").alias("end_depth"))
     targets = hits.select("file_id", "seq", "sink", "tainted_variable", "line").join(at, ["file_id", "seq"])
     words = _on_the_way(targets, nodes, keys)
-    ranges = _function_bins(facts)
-    branches = of_kind(facts, "branch").select("file_id", F.col("line").alias("b_line"), _bin(F.col("line")).alias("_bin"))
+    ranges = function_bins(facts)
+    branches = of_kind(facts, "branch").select("file_id", F.col("line").alias("b_line"), line_bin(F.col("line")).alias("_bin"))
     inside = branches.join(ranges, ["file_id", "_bin"]).where(
         (F.col("f_line") < F.col("b_line")) & (F.col("b_line") <= F.col("f_end")))
     # Branches up to the finding's line, counted along the lines of the function.
@@ -223,52 +217,5 @@ def triage_difficulty(hits: DataFrame, facts: DataFrame) -> DataFrame:
         .when((n > 2) | F.col("auth") | F.col("controlled"), "Medium").otherwise("Easy"))
 
 
-def call_edges(facts: DataFrame) -> DataFrame:
-    """Calls between functions of one file; module-level callers are null."""
-    last = F.substring_index("call", ".", -1)
-    held = calls_in_function(facts).select("file_id", "seq").distinct()
-    calls = of_kind(facts, "call").select("file_id", "seq", F.col("name").alias("call"))
-    top = calls.join(held, ["file_id", "seq"], "left_anti").select(
-        "file_id", F.lit(None).cast("string").alias("caller"), last.alias("callee"))
-    inner = calls_in_function(facts).select("file_id", F.col("function").alias("caller"), last.alias("callee"))
-    names = definitions(facts).select("file_id", F.col("name").alias("callee"))
-    return top.unionByName(inner).join(names, ["file_id", "callee"], "left_semi").distinct()
-
-
-def _unreached(rows: pa.Table) -> pa.Table:
-    """Functions of one file that no calls from module level lead to."""
-    calls: dict[str, list[str]] = {}
-    reach: list[str] = []
-    for caller, callee, is_call in zip(*(rows[c].to_pylist() for c in ("caller", "function", "is_call"))):
-        if is_call and caller is None:
-            reach.append(callee)
-        elif is_call:
-            calls.setdefault(caller, []).append(callee)
-    seen = set(reach)
-    while reach:
-        for callee in calls.get(reach.pop(), ()):
-            if callee not in seen:
-                seen.add(callee)
-                reach.append(callee)
-    keep = [not is_call and f not in seen for f, is_call in zip(rows["function"].to_pylist(), rows["is_call"].to_pylist())]
-    return rows.filter(pa.array(keep, pa.bool_())).select(["file_id", "path", "function", "line"])
-
-
-def unreachable_functions(facts: DataFrame) -> DataFrame:
-    """Functions no chain of calls from module level leads to.
-
-    A chain stays in its file, and a file was one text in one row, so each
-    file's calls are followed in one task, however long the chain.
-    """
-    functions = definitions(facts).select(
-        "file_id", "path", F.col("name").alias("function"), "line", F.lit(None).cast("string").alias("caller"), F.lit(False).alias("is_call"))
-    none = F.lit(None)
-    calls = call_edges(facts).select(
-        "file_id", none.cast("string").alias("path"), F.col("callee").alias("function"), none.cast("int").alias("line"),
-        "caller", F.lit(True).alias("is_call"))
-    schema = "file_id bigint, path string, function string, line int"
-    return functions.unionByName(calls).groupBy("file_id").applyInArrow(_unreached, schema)
-
-
 def path_count(facts: DataFrame) -> DataFrame:
     return definitions(facts).groupBy("file_id", "path").agg(F.count("*").alias("functions"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codesift.operators import facts as fx, flow, taint
+from codesift.operators import calls, facts as fx, flow, reach, taint
 from codesift.operators.ordering import next_in_groups, numbered_in_groups
 from codesift.plans.checks.common import Check, values
 from codesift.session import durable
@@ -215,22 +215,40 @@ def _event_depths(s, d):
 
 
 def _event_reach(s, d):
-    """Events that steps of a day at most lead to from the first of a user."""
-    near = _event_nodes(s, d).withColumn("day", F.date_trunc("day", F.col("ts")))
-    firsts = near.groupBy("user_id").agg(F.min("day").alias("day"))
-    near = near.join(firsts, ["user_id", "day"])
-    edges = next_in_groups(near, ["user_id"], ["ts", "event_id"], F.col("day"), "event_id")
-    first = near.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node")
-    return flow.reachable(edges, first)
+    """Events that any steps lead to from the first of a user."""
+    first = _event_nodes(s, d).groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node"))
+    return reach.reached(_event_edges(s, d), first)
 
 
 def _event_reach_all(s, d):
-    """Events that any steps lead to from the first of a user: all of them."""
+    """The same with their depth, along chains."""
     nodes = _event_nodes(s, d)
     first = nodes.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node")
     return flow.reachable_in_chains(_event_edges(s, d), first)
 
 
+# Files of ``linked_files`` with the next one of their chain.
+_LINKS_SQL = f"""links AS (
+  SELECT k, b, CASE WHEN k = last THEN b * {tables.CHAIN} ELSE k + 1 END AS n, b % {tables.ENTERED} = 0 AND k = b * {tables.CHAIN} AS entered
+  FROM (SELECT p_partkey AS k, p_partkey // {tables.CHAIN} AS b,
+          least((p_partkey // {tables.CHAIN} + 1) * {tables.CHAIN} - 1, max(p_partkey) OVER ()) AS last FROM part))"""
+
+
+def _linked_graph(s, d):
+    """Calls between functions of other files, by their names; names bound by an
+    import are followed to what they stand for."""
+    graph = durable(calls.call_graph(fx.fact_table(tables.linked_files(s, d))))
+    graph = graph.where("src IS NOT NULL")
+    bound = graph.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+    # A bound name is no function of its file: it has no definition.
+    file_of = lambda c: F.split(c, ":")[0]
+    defined = F.col("dst").rlike(r"^(\d+):[fg]\1$")
+    through = graph.where(~defined).join(bound, "dst").select("src", F.col("end").alias("dst"))
+    rows = graph.where(defined).unionByName(through).where(F.col("src").rlike(r"^(\d+):[fg]\1$"))
+    return rows.select(file_of("src").cast("long").alias("src_file"), F.split("src", ":")[1].alias("caller"),
+                       file_of("dst").cast("long").alias("dst_file"), F.split("dst", ":")[1].alias("callee"))
+
+
 def _triage(s, d):
     f, t = _tainted(s, d, _flow)
     return flow.triage_difficulty(taint.taint_to_sinks(f, t), f).select(
@@ -317,10 +335,7 @@ CHECKS = {
     "event_depths": Check(
         _event_depths,
         "SELECT event_id AS node, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS depth FROM events"),
-    "reachable_events": Check(
-        _event_reach,
-        "WITH e AS (SELECT *, date_trunc('day', ts) AS day, min(date_trunc('day', ts)) OVER (PARTITION BY user_id) AS first_day FROM events) "
-        "SELECT event_id AS node, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS depth FROM e WHERE day = first_day"),
+    "reachable_events": Check(_event_reach, "SELECT event_id AS node FROM events"),
     "reachable_events_all": Check(
         _event_reach_all,
         "SELECT event_id AS node, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS depth FROM events"),
@@ -331,8 +346,21 @@ CHECKS = {
             (2, "pick", "execute", "q", 11, 3, 0, 1, "Medium"), (2, "pick", "cursor.execute", "q", 11, 3, 0, 1, "Medium")],
             "function, sink, tainted_variable, line, branches::BIGINT AS branches, auth = 1 AS auth, controlled = 1 AS controlled, difficulty"))),
     "unreachable_functions": Check(
-        _both(flow.unreachable_functions),
+        _both(calls.unreachable_functions),
         _expect(["function", "line"], [(7, "f", 1)], [(1, "lost", 7), (2, "pick", 2), (3, "get", 2), (3, "run", 5), (5, "read", 3)])),
+    "call_graph": Check(
+        _linked_graph,
+        f"""WITH {_LINKS_SQL}
+        SELECT k AS src_file, 'f' || k AS caller, n AS dst_file, 'f' || n AS callee FROM links
+        UNION ALL SELECT k, 'g' || k, k, 'f' || k FROM links"""),
+    "unreachable_across_files": Check(
+        lambda s, d: calls.unreachable_functions(fx.fact_table(tables.linked_files(s, d))).select("file_id", "path", "function", "line"),
+        f"""WITH RECURSIVE {_LINKS_SQL},
+        seen AS (SELECT k FROM links WHERE entered UNION SELECT n FROM links JOIN seen USING (k)),
+        functions AS (
+          SELECT k, b, 'f' || k AS function, 2 AS line FROM links WHERE k NOT IN (SELECT k FROM seen)
+          UNION ALL SELECT k, b, 'g' || k, 4 FROM links)
+        SELECT k AS file_id, 'repo/line/b' || b || '/m' || k || '.py' AS path, function, line FROM functions"""),
     "path_count": Check(
         _both(flow.path_count),
         _expect(["functions"], [(7, 1)], [(0, 1), (1, 3), (2, 1), (3, 2), (5, 1)], "functions::BIGINT AS functions")),

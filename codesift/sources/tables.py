@@ -67,6 +67,24 @@ FLOW_KINDS = [
     "from Crypto.Cipher.DES import new\nimport pickle\ndef read(b):\n    try:\n        return pickle.loads(b)\n    except Exception:\n        return None\n",
 ]
 
+# Chains of Python files that call each other, by part key modulo 8: each way to
+# name a function of another file.  ``k`` is the file, ``n`` the next one of its
+# chain, ``b`` the chain.
+LINK_KINDS = [
+    "from line.b{b}.m{n} import f{n}\ndef f{k}(x):\n    return f{n}(x)\n",
+    "from line.b{b}.m{n} import f{n} as step\ndef f{k}(x):\n    return step(x)\n",
+    "import line.b{b}.m{n}\ndef f{k}(x):\n    return line.b{b}.m{n}.f{n}(x)\n",
+    "import line.b{b}.m{n} as after\ndef f{k}(x):\n    return after.f{n}(x)\n",
+    "from line.b{b} import m{n}\ndef f{k}(x):\n    return m{n}.f{n}(x)\n",
+    "from .m{n} import f{n}\ndef f{k}(x):\n    return f{n}(x)\n",
+    "from . import m{n} as after\ndef f{k}(x):\n    return after.f{n}(x)\n",
+    "from ..b{b}.m{n} import *\ndef f{k}(x):\n    return f{n}(x)\n",
+]
+# Files of one chain; each chain ends in a call of its own first function, so it
+# is a cycle, and every third chain is entered from the top of its first file.
+CHAIN = 1000
+ENTERED = 3
+
 # One line per rule group and form, by part key modulo their number.
 SNIPPETS = [
     ("py", 'import os\nos.system("{brand}")\nsubprocess.call(cmd)'),
@@ -116,6 +134,25 @@ def flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                   _pick(F.col("p_partkey"), FLOW_KINDS, F.col("p_brand")))
 
 
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per part that calls the next one of its chain; a function ``g``
+    in each calls the chain but is called by nothing."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    most = parts.agg(F.max("p_partkey")).first()[0] or 0
+    chain = F.floor(F.col("p_partkey") / CHAIN).cast("long")
+    last = F.least((chain + 1) * CHAIN - 1, F.lit(most))
+    k, b = F.col("p_partkey"), chain.cast("string")
+    n = F.when(k == last, chain * CHAIN).otherwise(k + 1).cast("string")
+    text = F.get(F.array(*[F.lit(t) for t in LINK_KINDS]), F.pmod(k, F.lit(len(LINK_KINDS))).cast("int"))
+    text = F.concat(text, F.lit("def g{k}(x):\n    return f{k}(x)\n"))
+    entered = (F.pmod(chain, F.lit(ENTERED)) == 0) & (k == chain * CHAIN)
+    text = F.when(entered, F.concat(text, F.lit("f{k}(1)\n"))).otherwise(text)
+    for name, value in (("k", k.cast("string")), ("n", n), ("b", b)):
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    path = F.concat(F.lit("repo/line/b"), b, F.lit("/m"), k.cast("string"), F.lit(".py"))
+    return _files(parts, k, path, text)
+
+
 def polyglot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     exts = F.array(*[F.lit(e) for e, _ in SNIPPETS])
     ext = F.get(exts, F.pmod("p_partkey", F.lit(len(SNIPPETS))).cast("int"))
@@ -155,6 +192,45 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(table(spark, sf_dir, "part"), k, path, text)
 
 
+# Versions of the generated feed: ``a.b.c`` below 50 each, by their number.
+VERSIONS = 125_000
+
+
+def _numbered_version(n: Column) -> Column:
+    return F.concat_ws(".", *[F.pmod(F.floor(n / w), F.lit(50)).cast("string") for w in (2500, 50, 1)])
+
+
+def _feed_package(key: Column) -> Column:
+    """A third of all rows are about one package."""
+    return F.when(F.pmod(key, F.lit(3)) == 0, F.lit("left-pad")).otherwise(F.concat(F.lit("pkg"), F.pmod(key, F.lit(1000)).cast("string")))
+
+
+def feed_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One advisory per order: ranges, upper and lower bounds, single versions."""
+    k = F.col("o_orderkey")
+    low = F.pmod(k * 6947, F.lit(VERSIONS))
+    first = _numbered_version(low)
+    last, middle, top = (_numbered_version(F.least(low + more, F.lit(VERSIONS - 1))) for more in (F.pmod(k, F.lit(5)), F.lit(2), F.lit(6)))
+    entries = F.array(
+        F.array(F.concat(first, F.lit("-"), last)), F.array(F.concat(F.lit("<=0.0."), F.pmod(k, F.lit(7)).cast("string"))),
+        F.array(first, F.concat(F.lit(">49.49.4"), F.pmod(k, F.lit(10)).cast("string"))),
+        F.array(F.concat(first, F.lit("-"), last), F.concat(middle, F.lit("-"), top)))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("ADV-"), k.cast("string")).alias("id"), F.lit("javascript").alias("language"), _feed_package(k).alias("package"),
+        F.get(entries, F.pmod(F.floor(k / 4), F.lit(4)).cast("int")).alias("affected_versions"), F.array(F.lit("99")).alias("patched_versions"),
+        F.lit("High").alias("severity"), F.lit("t").alias("title"), F.lit("d").alias("description"),
+        F.array(F.lit("r")).alias("references"), F.to_date("o_orderdate").alias("published_date"))
+
+
+def locked_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dependency per order line, as ``read_dependencies`` gives them."""
+    n = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104_729 + F.col("l_partkey") * 31, F.lit(VERSIONS))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("file_id"), F.concat(F.lit("app"), F.col("l_orderkey").cast("string"), F.lit("/yarn.lock")).alias("path"),
+        F.col("l_linenumber").cast("int").alias("dep_no"), _feed_package(F.col("l_partkey")).alias("name"), _numbered_version(n).alias("version"),
+        F.lit("").alias("version_constraint"), F.lit("javascript").alias("language"), F.lit("yarn.lock").alias("source"))
+
+
 # Manifest name and text; every text names the part and one known package.
 MANIFESTS = [
     ("requirements.txt", "# pinned\n{name}=={version}\nrequests<={version}  # note\ngit+https://x/y\nurllib3\nflask~=2.0 ; extra\n"),
