@@ -20,12 +20,17 @@ PARSED_MANIFESTS = _JSON + _TOML
 def skipped_files(files: DataFrame, facts: DataFrame | None = None, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """``path, size, reason`` of files that were left out or could not be read:
     too large for the cap (none with ``None``), not text, sources the parser
-    gave up on (of ``facts``), and manifests that do not parse."""
+    gave up on (of ``facts``), and manifests that do not parse; and the paths
+    with an ``error`` of ``read_corpus_in_full``."""
     name = tx.base_name(F.col("path"))
     text = F.col("text")
     broken = (name.isin(_JSON) & F.get_json_object(text, "$").isNull()) | (
         name.isin(_TOML) & toml_as_json(F.when(name.isin(_TOML), text)).isNull())
-    parts = [
+    parts = []
+    if "error" in files.columns:
+        parts.append(files.where("error IS NOT NULL").select("path", "size", F.col("error").alias("reason")))
+        files = files.where("error IS NULL")
+    parts += [
         files.where(text.isNull()).select("path", "size", F.lit("not text").alias("reason")),
         files.where(name.isin(PARSED_MANIFESTS) & text.isNotNull()).where(broken).select(
             "path", "size", F.lit("manifest does not parse").alias("reason")),

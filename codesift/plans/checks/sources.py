@@ -13,8 +13,9 @@ from codesift.operators import deps, report, search, select
 from codesift.plans.checks.common import (
     CODE, CODE_LINE, DOCS, PAGES, POLYGLOT, Check, base_name, ext, lit, pattern_found, pattern_rows, query_found, values)
 from codesift.schemas import FINDINGS
-from codesift.session import ensure_checkpoint_dir
+from codesift.session import durable, ensure_checkpoint_dir, scratch_folder
 from codesift.sources import catalogues, corpus, sinks, tables
+from codesift.sources.tree import write_tree
 
 
 def _contents(spark, sf):
@@ -38,6 +39,33 @@ def _round_trip(spark, sf):
     return back.select("file_id", "file", "line", "rule_id", "match_no", "severity", "code")
 
 
+# Size cap of the tree that is written and read back.
+_TREE_CAP = 6000
+
+
+def _tree(spark, sf):
+    """The documents as a tree of files, some hidden or in hidden folders, read
+    back with everything that is in it."""
+    docs = tables.document_files(spark, sf)
+    k = F.col("file_id")
+    folder = F.when(k % 5 == 0, F.lit(".config/")).when(k % 5 == 1, F.lit("_gen/deep/")).otherwise(F.lit(""))
+    name = F.when(k % 7 == 0, F.lit(".")).when(k % 7 == 1, F.lit("_")).otherwise(F.lit("f"))
+    path = F.concat(F.regexp_extract("path", "^([^/]*)/", 1), F.lit("/"), folder, name, k.cast("string"), "ext")
+    root = scratch_folder(spark, "tree")
+    written = durable(write_tree(docs.select(path.alias("path"), "text"), root))
+    files = corpus.read_corpus_in_full(spark, root, _TREE_CAP)
+    rows = files.withColumn("path", F.element_at(F.split("path", root.rsplit("/", 1)[1] + "/"), -1))
+    # What was written and what came back, side by side.
+    return written.join(rows, "path", "full").select(
+        "path", "length", "ext", "size", F.length("text").cast("long").alias("chars"), "error")
+
+
+_TREE_SQL = f"""WITH t AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN '.config/' WHEN doc_id % 5 = 1 THEN '_gen/deep/' ELSE '' END AS folder,
+  CASE WHEN doc_id % 7 = 0 THEN '.' WHEN doc_id % 7 = 1 THEN '_' ELSE 'f' END AS mark, octet_length(encode(text))::BIGINT AS bytes FROM documents)
+SELECT source || '/' || folder || mark || doc_id || '.' || lang AS path, bytes AS length, '.' || lang AS ext, bytes AS size,
+  CASE WHEN bytes <= {_TREE_CAP} THEN length(text)::BIGINT END AS chars, CASE WHEN bytes > {_TREE_CAP} THEN 'too large' END AS error FROM t"""
+
+
 def _rules_per_language(spark, sf):
     rules = catalogues.rules_table(spark).groupBy("language").agg(
         F.countDistinct("rule_id").alias("n_rules"), F.count("*").alias("n_patterns"),
@@ -89,6 +117,7 @@ CHECKS = {
     "corpus_files": Check(
         lambda s, d: tables.document_files(s, d).select("file_id", "path", "ext", "size"),
         f"SELECT file_id, path, {ext('path')} AS ext, size FROM ({DOCS})"),
+    "corpus_tree": Check(_tree, _TREE_SQL),
     "corpus_decode": Check(
         lambda s, d: _contents(s, d).select("file_id", F.md5(corpus.decode_text(F.col("content")).cast("binary")).alias("digest")),
         f"SELECT file_id, md5(CASE file_id % 5 WHEN 0 THEN chr(65533) || text WHEN 1 THEN text || chr(65533) ELSE text END) AS digest FROM ({DOCS})"),

@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import re
-import sys
-
-import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codesift.catalog.languages import BINARY_PROBE_CHARS, MAX_FILE_BYTES, MAX_FILES
 from codesift.functions import text as tx
-from codesift.session import durable_counted
-
-# The listing helpers travel with the job, so executors need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from codesift.sources.tree import read_tree
 
 
 def decode_text(content: Column) -> Column:
@@ -38,97 +28,6 @@ def read_binary(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return reader.load(path)
 
 
-# --- files the listing of Spark passes over -----------------------------------
-#
-# Spark takes names that start with "." or "_" for bookkeeping files, but in a
-# source tree they are ``.env``, ``__init__.py`` and the like.
-
-
-def _is_hidden(name: str) -> bool:
-    kept = name.startswith(("_metadata", "_common_metadata"))
-    return name.startswith(".") or name.endswith("._COPYING_") or (
-        name.startswith("_") and "=" not in name and not kept)
-
-
-def _filesystem(uri: str):
-    """File system and path of a qualified address."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
-_ENTRIES = "path string, is_dir boolean, hidden boolean, length long"
-_CONTENTS = "path string, length long, content binary"
-_READ_BATCH = 16 * 1024 * 1024
-
-
-def _list_folders(batches):
-    """One level below each folder; links to folders are not followed."""
-    for batch in batches:
-        out = {"path": [], "is_dir": [], "hidden": [], "length": []}
-        for uri, hidden in zip(batch.column("path").to_pylist(), batch.column("hidden").to_pylist()):
-            fs, where = _filesystem(uri)
-            try:
-                entries = fs.get_file_info(pafs.FileSelector(where, recursive=False, allow_not_found=True))
-            except PermissionError:
-                continue
-            for e in entries:
-                is_dir = e.type == pafs.FileType.Directory
-                if is_dir and uri.startswith("file:") and os.path.islink(e.path):
-                    continue
-                out["path"].append(f"{uri.rstrip('/')}/{e.base_name}")
-                out["is_dir"].append(is_dir)
-                out["hidden"].append(hidden or _is_hidden(e.base_name))
-                out["length"].append(0 if is_dir else e.size)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-            ("path", pa.string()), ("is_dir", pa.bool_()), ("hidden", pa.bool_()), ("length", pa.int64())]))
-
-
-def _read_files(batches):
-    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
-    rows, held = [], 0
-    for batch in batches:
-        for uri in batch.column("path").to_pylist():
-            fs, where = _filesystem(uri)
-            with fs.open_input_stream(where) as f:
-                content = f.read()
-            rows.append({"path": uri, "length": len(content), "content": content})
-            held += len(content)
-            if held >= _READ_BATCH:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
-def _qualified(spark: SparkSession, path: str) -> str:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.makeQualified(p).toString()
-
-
-def read_hidden(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Hidden files, and files in hidden folders: ``path, length, content``.
-
-    The tree is listed level by level, the folders of a level spread over the
-    tasks; contents are read by the tasks as well.
-    """
-    level = spark.createDataFrame([(_qualified(spark, path), False)], "path string, hidden boolean")
-    found = None
-    while True:
-        entries, _ = durable_counted(level.mapInArrow(_list_folders, _ENTRIES))
-        files = entries.where(~F.col("is_dir") & F.col("hidden")).select("path", "length")
-        found = files if found is None else found.unionByName(files)
-        level = entries.where("is_dir").select("path", "hidden")
-        if level.isEmpty():
-            break
-        level = level.repartition("path")
-    if max_bytes is not None:
-        found = found.where(F.col("length") <= max_bytes)
-    return found.repartition("path").mapInArrow(_read_files, _CONTENTS)
-
-
 def read_corpus(
     spark: SparkSession,
     path: str,
@@ -137,28 +36,40 @@ def read_corpus(
     glob: str | None = None,
     hidden: bool = True,
 ) -> DataFrame:
-    """All files below ``path``; the size cap is pushed into the scan.
+    """All files below ``path`` that can be read and are within the size cap.
 
     ``hidden=False`` leaves out names such as ``.env`` and ``__init__.py`` and
-    saves the listing they need.
+    reads through Spark's own file source.
     """
-    raw = read_binary(spark, path, glob).select("path", "length", "content")
     if hidden:
-        more = read_hidden(spark, path, max_bytes)
-        if glob:
-            pattern = "^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"
-            more = more.where(tx.base_name(F.col("path")).rlike(pattern))
-        raw = raw.unionByName(more)
-    if max_bytes is not None:
-        raw = raw.where(F.col("length") <= max_bytes)
+        raw = read_tree(spark, path, max_bytes, glob).where("error IS NULL")
+    else:
+        raw = read_binary(spark, path, glob)
+        if max_bytes is not None:
+            raw = raw.where(F.col("length") <= max_bytes)
     if skip_binary:
         raw = raw.where(is_text(F.col("content")))
+    return _as_files(raw)
+
+
+def read_corpus_in_full(
+    spark: SparkSession, path: str, max_bytes: int | None = MAX_FILE_BYTES, glob: str | None = None,
+) -> DataFrame:
+    """As ``read_corpus`` with hidden names, and a row with ``error`` and without
+    a text for every folder that cannot be listed and every file that cannot be
+    read or is over the cap: nothing vanishes."""
+    raw = read_tree(spark, path, max_bytes, glob)
+    return _as_files(raw, "error")
+
+
+def _as_files(raw: DataFrame, *more: str) -> DataFrame:
     return raw.select(
         F.xxhash64("path").alias("file_id"),
         "path",
         tx.extension(F.col("path")).alias("ext"),
         F.col("length").alias("size"),
         decode_text(F.col("content")).alias("text"),
+        *more,
     )
 
 
