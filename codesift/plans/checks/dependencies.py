@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codesift.catalog.advisories import ADVISORY_ROWS
 from codesift.functions.versions import version_compare
-from codesift.operators import deps, select
+from codesift.operators import advisories, deps, select
 from codesift.plans.checks.common import Check, lit, values
 from codesift.sources import catalogues, tables
 
@@ -121,6 +121,26 @@ _VERSIONS = f"""SELECT p_partkey,
 FROM part"""
 
 
+def _feed(s, d, mode):
+    return advisories.vulnerable_deps_by_range(tables.locked_dependencies(s, d), tables.feed_advisories(s, d), mode).select(
+        "file_id", "dep_no", "package", "version", "advisory_id")
+
+
+def _feed_sql(mode: str) -> str:
+    """The feed in numbers: every advisory is one or two intervals of versions."""
+    package = "CASE WHEN {k} % 3 = 0 THEN 'left-pad' ELSE 'pkg' || ({k} % 1000) END"
+    # Where all entries must hold, a single version and a bound above it never do.
+    two = "(kind = 2 AND (n = lo OR n > 124990 + o_orderkey % 10))" if mode == "any" else "(kind = 2 AND n = lo AND n > 124990 + o_orderkey % 10)"
+    last = f"kind = 3 AND (n BETWEEN lo AND hi {'OR' if mode == 'any' else 'AND'} n BETWEEN mid AND top)"
+    return f"""WITH adv AS (SELECT o_orderkey, {package.format(k='o_orderkey')} AS package, (o_orderkey // 4) % 4 AS kind, (o_orderkey * 6947) % {tables.VERSIONS} AS lo,
+        {", ".join(f"least((o_orderkey * 6947) % {tables.VERSIONS} + {more}, {tables.VERSIONS - 1}) AS {name}" for name, more in (("hi", "o_orderkey % 5"), ("mid", 2), ("top", 6)))} FROM orders),
+      dep AS (SELECT l_orderkey, l_linenumber, {package.format(k='l_partkey')} AS package,
+        (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % {tables.VERSIONS} AS n FROM lineitem)
+      SELECT l_orderkey AS file_id, l_linenumber::INTEGER AS dep_no, package, (n // 2500) || '.' || (n // 50) % 50 || '.' || n % 50 AS version,
+        'ADV-' || o_orderkey AS advisory_id FROM dep JOIN adv USING (package)
+      WHERE (kind = 0 AND n BETWEEN lo AND hi) OR (kind = 1 AND n <= o_orderkey % 7) OR {two} OR ({last})"""
+
+
 CHECKS = {
     "find_manifests": Check(
         lambda s, d: deps.find_manifests(tables.manifest_files(s, d)).select("file_id", "path", "language"),
@@ -147,9 +167,15 @@ CHECKS = {
         lambda s, d: _hits(s, d).select("file_id", "path", "package", "version", "language", "advisory_id", "severity"),
         f"WITH {_HITS} SELECT file_id, path, package, version, language, advisory_id, severity FROM hits"),
     "vulnerable_deps_all_mode": Check(
-        lambda s, d: _hits(s, d, "all").where(F.col("language").isin("java", "php")).select("file_id", "package", "version"),
+        lambda s, d: _hits(s, d, "all").select("file_id", "package", "version"),
         f"""WITH {_HITS} SELECT file_id, package, version FROM (SELECT *, {_NUM} AS n FROM hits)
-        WHERE (language = 'java' AND n >= [2, 0, 0] AND n <= [2, 14, 1]) OR (language = 'php' AND n < [4, 2, 12])"""),
+        WHERE (language = 'java' AND n >= [2, 0, 0] AND n <= [2, 14, 1]) OR (language = 'php' AND n < [4, 2, 12]) OR language NOT IN ('java', 'php')"""),
+    "vulnerable_deps_by_range": Check(
+        lambda s, d: advisories.vulnerable_deps_by_range(_all_deps(s, d), catalogues.advisory_table(s)).select(
+            "file_id", "path", "package", "version", "language", "advisory_id", "severity"),
+        f"WITH {_HITS} SELECT file_id, path, package, version, language, advisory_id, severity FROM hits"),
+    "vulnerable_deps_feed": Check(lambda s, d: _feed(s, d, "any"), _feed_sql("any")),
+    "vulnerable_deps_feed_all_mode": Check(lambda s, d: _feed(s, d, "all"), _feed_sql("all")),
     "vulnerable_deps_all_mode_languages": Check(
         lambda s, d: _hits(s, d, "all").select("file_id", "language", "package", "version"),
         f"""WITH {_HITS} SELECT file_id, language, package, version FROM (SELECT *, {_NUM} AS n FROM hits)
