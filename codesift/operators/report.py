@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codesift.functions import text as tx
 from codesift.operators.select import report_rank, severity_rank
@@ -26,19 +26,26 @@ def severity_sort(findings: DataFrame) -> DataFrame:
     return findings.orderBy(report_rank(F.col("severity")), "file", "file_id", "line", "rule_id", "match_no")
 
 
+# Findings of one place and kind are one.
+PLACE = ["file_id", "file", "line", "type"]
+
+
+def best_first() -> Column:
+    """Order among the findings of a place: the smallest stands for all."""
+    rest = [f.name for f in FINDINGS if f.name not in PLACE]
+    return F.struct(
+        (-severity_rank(F.col("severity"))).alias("_rank"), "phase", "rule_id", "match_no",
+        *[c for c in rest if c not in ("phase", "rule_id", "match_no")])
+
+
 def dedup_findings(findings: DataFrame) -> DataFrame:
     """One row per (file, line, type) with the best severity.
 
     A minimum over a struct aggregates map-side, so a line with very many
     copies is reduced before the shuffle.
     """
-    keys = ["file_id", "file", "line", "type"]
-    rest = [f.name for f in FINDINGS if f.name not in keys]
-    order = F.struct(
-        (-severity_rank(F.col("severity"))).alias("_rank"), "phase", "rule_id", "match_no",
-        *[c for c in rest if c not in ("phase", "rule_id", "match_no")])
-    best = findings.groupBy(*keys).agg(F.min(order).alias("b"), F.count("*").alias("n_merged"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"b.{c}") for c in FINDINGS.names], "n_merged")
+    best = findings.groupBy(*PLACE).agg(F.min(best_first()).alias("b"), F.count("*").alias("n_merged"))
+    return best.select(*[F.col(c) if c in PLACE else F.col(f"b.{c}") for c in FINDINGS.names], "n_merged")
 
 
 def language_counts(findings: DataFrame) -> DataFrame:
