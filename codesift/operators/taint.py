@@ -1,18 +1,22 @@
 """Data flow: untrusted values from sources through assignments to sinks.
 
-Joins are keyed by (file, variable) or (file, line).  The closure runs file by
-file in one job: a file was one text in one row, so its variables and lines fit
-in a task.
+Joins are keyed by (file, variable) or (file, line).  What needs a whole file (the
+closure, the steps to a sink) streams over partitions sorted by file: a file was
+one text in one row, so its rows fit in a task, and very many small files cost no
+call each.
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codesift.catalog.taint import DEFAULT_MITIGATION, MITIGATIONS, SANITIZERS, TAINT_SINKS, TAINT_SOURCES
 from codesift.functions import text as tx
@@ -24,6 +28,30 @@ from codesift.session import durable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 IDENTIFIER = r"(?dU)\b[^\W\d]\w*"
+# Rows of an Arrow batch.
+_BATCH = 5000
+
+
+def file_by_file(rows: DataFrame, run: Callable[[int, list[tuple]], list[tuple]], schema: T.StructType) -> DataFrame:
+    """``run(file_id, rows)`` for the rows (tuples without their first column,
+    ``file_id``) of each file; gives rows of ``schema``."""
+    arrow = to_arrow_schema(schema)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+        out: list[tuple] = []
+        for file_id, group in itertools.groupby(flat, key=lambda r: r[0]):
+            out += run(file_id, [r[1:] for r in group])
+            if len(out) >= _BATCH:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return rows.repartition("file_id").sortWithinPartitions("file_id").mapInArrow(stream, schema)
 
 
 def _matching(table: list[dict]) -> Column:
@@ -95,7 +123,7 @@ def _uses(lines: list[tuple[int, list[str]]], known: set[str], match: str) -> di
     return out
 
 
-def _closure(rows: pa.Table, match: str) -> pa.Table:
+def _closure(rows: list[tuple], match: str) -> list[tuple]:
     """Tainted variables of one file, round by round.
 
     A round takes the variables marked last; a line that names one of them
@@ -103,16 +131,16 @@ def _closure(rows: pa.Table, match: str) -> pa.Table:
     target is looked at until it is seen, so the work is linear in the file.
     """
     sources, targets, lines = {}, {}, []
-    for r in rows.to_pylist():
-        if r["role"] == "source":
-            sources[r["var"]] = r
-        elif r["role"] == "assign":
-            targets.setdefault(r["line"], set()).add(r["var"])
+    for role, line, path, var, taint_type, origin, names in rows:
+        if role == "source":
+            sources[var] = (path, taint_type, origin, line)
+        elif role == "assign":
+            targets.setdefault(line, set()).add(var)
         else:
-            lines.append((r["line"], r["names"]))
-    file_id, path = rows["file_id"][0].as_py(), next(iter(sources.values()))["path"] if sources else None
+            lines.append((line, names))
+    path = next(iter(sources.values()))[0] if sources else None
     uses = _uses(lines, set(sources).union(*targets.values()) if sources else set(), match)
-    seen = {v: (v, r["taint_type"], r["origin"], None, r["line"], 0) for v, r in sources.items()}
+    seen = {v: (v, taint_type, origin, None, line, 0) for v, (_, taint_type, origin, line) in sources.items()}
     frontier, depth = sorted(seen), 0
     while frontier:
         depth += 1
@@ -133,14 +161,12 @@ def _closure(rows: pa.Table, match: str) -> pa.Table:
         for line in hit:
             targets[line] = {t for t in targets.get(line, ()) if t not in seen}
         frontier = sorted(best)
-    out = list(zip(*seen.values())) or [()] * 6
-    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-    return pa.table({
-        "file_id": pa.array([file_id] * len(seen), pa.int64()), "path": pa.array([path] * len(seen), pa.string()),
-        **{n: pa.array(v, t) for n, v, t in zip(("var", "taint_type", "origin", "parent", "line", "depth"), out, types)}})
+    return [(path, *r) for r in seen.values()]
 
 
-_TAINTED = "file_id bigint, path string, var string, taint_type string, origin string, parent string, line int, depth int"
+_TAINTED = T.StructType([
+    T.StructField("file_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("path", "var", "taint_type", "origin", "parent")],
+    T.StructField("line", T.IntegerType()), T.StructField("depth", T.IntegerType())])
 
 
 def taint_propagate(facts: DataFrame, tainted: DataFrame | None = None, match: str = "identifier") -> DataFrame:
@@ -162,7 +188,7 @@ def taint_propagate(facts: DataFrame, tainted: DataFrame | None = None, match: s
     rows = part(sources, "source", **{c: F.col(c) for c in ("path", "var", "taint_type", "origin")}).unionByName(
         part(assigns.select("file_id", "line", "name").distinct(), "assign", var=F.col("name"))).unionByName(
         part(_lines(assigns, facts), "line", names=_names(F.col("code"), match)))
-    return durable(rows.groupBy("file_id").applyInArrow(lambda t: _closure(t, match), _TAINTED))
+    return durable(file_by_file(rows, lambda file_id, held: [(file_id, *r) for r in _closure(held, match)], _TAINTED))
 
 
 def mitigation_for(weakness: Column) -> Column:
@@ -204,15 +230,14 @@ def _named(lines: DataFrame, vars_: DataFrame, match: str) -> DataFrame:
     both = lines.select("file_id", "line", "code", F.lit(None).cast("string").alias("var")).unionByName(
         vars_.select("file_id", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("code"), "var"))
 
-    def find(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        uses = _uses([(r["line"], [r["code"]]) for r in rows if r["var"] is None], {r["var"] for r in rows if r["var"] is not None}, match)
-        found = [(line, v) for v, at in uses.items() for line in at]
-        return pa.table({
-            "file_id": pa.array([rows[0]["file_id"]] * len(found), pa.int64()),
-            "line": pa.array([x[0] for x in found], pa.int32()), "var": pa.array([x[1] for x in found], pa.string())})
+    def find(file_id: int, rows: list[tuple]) -> list[tuple]:
+        uses = _uses([(line, [code]) for line, code, var in rows if var is None], {var for _, _, var in rows if var is not None}, match)
+        return [(file_id, line, v) for v, at in uses.items() for line in at]
 
-    return both.groupBy("file_id").applyInArrow(find, "file_id bigint, line int, var string")
+    return file_by_file(both, find, _NAMED)
+
+
+_NAMED = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("var", T.StringType())])
 
 
 def taint_findings(hits: DataFrame) -> DataFrame:
@@ -225,32 +250,34 @@ def taint_findings(hits: DataFrame) -> DataFrame:
         mitigation=mitigation_for(F.col("weakness")))
 
 
-def _paths(wanted: pa.Table, tainted: pa.Table) -> pa.Table:
+_STEP = T.StructType([T.StructField("variable", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("source", T.StringType())])
+_PATHS = T.StructType([
+    T.StructField("file_id", T.LongType()), T.StructField("tainted_variable", T.StringType()), T.StructField("steps", T.ArrayType(_STEP))])
+
+
+def _paths(file_id: int, rows: list[tuple]) -> list[tuple]:
     """Steps from the origin to each wanted variable of one file."""
-    by = {r["var"]: r for r in tainted.to_pylist()}
-    out = {"file_id": [], "tainted_variable": [], "steps": []}
-    for file_id, v in zip(wanted["file_id"].to_pylist(), wanted["tainted_variable"].to_pylist()):
-        chain, at = [], by.get(v)
-        while at is not None:
-            source = at["origin"] if at["parent"] is None else f"propagated from {at['parent']}"
-            chain.append({"variable": at["var"], "line": at["line"], "source": source})
-            at = by.get(at["parent"])
-        out["file_id"].append(file_id)
-        out["tainted_variable"].append(v)
-        out["steps"].append(chain[::-1])
-    step = pa.struct([("variable", pa.string()), ("line", pa.int32()), ("source", pa.string())])
-    return pa.table({
-        "file_id": pa.array(out["file_id"], pa.int64()), "tainted_variable": pa.array(out["tainted_variable"], pa.string()),
-        "steps": pa.array(out["steps"], pa.list_(step))})
+    by = {var: (parent, origin, line) for wanted, var, parent, origin, line in rows if not wanted}
+    out = []
+    for v in [r[1] for r in rows if r[0]]:
+        chain, at = [], v
+        while at in by:
+            parent, origin, line = by[at]
+            chain.append({"variable": at, "line": line, "source": origin if parent is None else f"propagated from {parent}"})
+            at = parent
+        out.append((file_id, v, chain[::-1]))
+    return out
 
 
 def _with_steps(hits: DataFrame, tainted: DataFrame) -> DataFrame:
     """``hits`` with all ``steps`` from the origin to the sink.  They are built
     from the parents, for the variables of hits only."""
-    wanted = hits.select("file_id", "tainted_variable").distinct()
-    held = tainted.select("file_id", "var", "parent", "origin", "line").join(wanted.select("file_id").distinct(), "file_id", "left_semi")
-    paths = wanted.groupBy("file_id").cogroup(held.groupBy("file_id")).applyInArrow(
-        _paths, "file_id bigint, tainted_variable string, steps array<struct<variable:string,line:int,source:string>>")
+    none = F.lit(None)
+    wanted = hits.select("file_id", F.col("tainted_variable").alias("var")).distinct()
+    held = tainted.join(wanted.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.lit(False).alias("wanted"), "var", "parent", "origin", "line")
+    rows = held.unionByName(wanted.select(
+        "file_id", F.lit(True).alias("wanted"), "var", none.cast("string").alias("parent"), none.cast("string").alias("origin"), none.cast("int").alias("line")))
+    paths = file_by_file(rows, _paths, _PATHS)
     sink = F.struct(F.lit("sink").alias("variable"), F.col("line"), F.col("sink_call").alias("source"))
     return hits.join(paths, ["file_id", "tainted_variable"]).withColumn("steps", F.concat("steps", F.array(sink)))
 
