@@ -8,7 +8,7 @@ from codesift.catalog import secrets as cat
 from codesift.catalog.queries import DANGEROUS_EVAL_PATTERN, SAVED_QUERY_ROWS
 from codesift.functions import text as tx
 from codesift.operators import secrets as sec
-from codesift.operators import search, trigrams
+from codesift.operators import late, prefilter, search, trigrams
 from codesift.operators.match import find_matches
 from codesift.plans.checks.common import (
     CODE, CODE_LINE, CONTEXT, CONVERSATIONS, DOCS, FLOW, PAGES, POLYGLOT, SECRET_COLUMNS, Check, any_of, ext, found,
@@ -58,6 +58,18 @@ def _match_rules(s, d):
     return rows.select("file_id", F.col("path").alias("file"), "rule_id", "match_no", "line", "match", "code", "severity")
 
 
+def _match_rules_in_one_pass(s, d):
+    files = _both(s, d)
+    rows = prefilter.find_many(files, catalogues.pattern_rules(BY_EXTENSION), search.rule_group(F.col("path")))
+    return rows.select("file_id", F.col("path").alias("file"), "rule_id", "match_no", "line", "match", "code", "severity")
+
+
+def _lines_once(s, d):
+    """Matches of the general rules and their lines, put together again."""
+    found = late.find_matches_late(_docs(s, d), catalogues.pattern_rules(GENERAL))
+    return late.with_lines_of(found.matches, found.lines).select("file_id", "rule_id", "match_no", "line", "match", "code", "context")
+
+
 def _function_rows(names: list[str]) -> list[tuple]:
     return [(n, i, p) for n in names for i, p in enumerate(search.function_patterns(n))]
 
@@ -173,6 +185,10 @@ _COSTS_SQL = " UNION ALL ".join(
 
 CHECKS = {
     "match_rules": Check(_match_rules, _by_extension_sql()),
+    "match_rules_in_one_pass": Check(_match_rules_in_one_pass, _by_extension_sql()),
+    "match_lines_once": Check(
+        _lines_once,
+        f"WITH {pattern_found(DOCS)} SELECT file_id, rule_id, match_no, line, match, {CODE_LINE} AS code, {CONTEXT} AS context FROM found"),
     "match_line_numbers": Check(
         lambda s, d: _general(s, d, code=False).select("file_id", "rule_id", "match_no", "line"),
         f"WITH {pattern_found(DOCS)} SELECT file_id, rule_id, match_no, line FROM found"),
