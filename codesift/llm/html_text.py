@@ -5,7 +5,10 @@ it into lines; each line has its text, its number of tags and its place in the
 page.  The ratio of text to tags per line is smoothed by a Gaussian, and lines
 above a threshold (a share of the ratios' standard deviation) form clusters.
 The deepest region (article, main or other container) that holds all of the
-clusters is the content: all its lines are returned, short ones too.
+clusters is the content: its lines are returned, short ones too.  Lines that are
+mostly links stay only where the smoothed ratio of all of a run of them is that of
+a cluster: one among paragraphs is part of the text, a list is a menu, in an
+article as well.
 
 Lines inside elements that are never main text (navigation, asides, forms,
 scripts, footers, and containers named as adverts, notices, menus, comments
@@ -14,12 +17,15 @@ or a main element has its content in those only.
 
 Defined cases: a null page is an empty page and has empty text; broken markup
 is read as far as the parser makes sense of it, an unclosed menu or page
-header ends where an article begins; repeated rows are read each; an empty
-table gives no rows; further columns do not matter.
+header ends where an article begins, an unclosed comment goes on to the end;
+repeated rows are read each; an empty table gives no rows; further columns do
+not matter.  A very long page is one row of one task: the places of open
+elements are kept by tag, so any nesting is read in linear time.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import sys
@@ -37,15 +43,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIGMA = 1.0
 LAMBDA = 0.5
-_FEED = 1 << 16
 
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option
 p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Never main text, whatever their names.
-_NEVER = frozenset("""aside audio button canvas dialog footer form head iframe label menu nav noscript object
+_NEVER = frozenset("""aside audio canvas dialog footer form head iframe menu nav noscript object
 option script search select style svg template textarea title video""".split())
+# No main text by themselves, but words of a paragraph within one.
+_CONTROLS = frozenset(["button", "label"])
 _CONTENT = frozenset(["article", "main"])
 _CONTAINERS = frozenset(["div", "section", "td", "body", "blockquote", "center"])
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -67,8 +74,9 @@ _NAMES = re.compile(
     r"|footer|masthead|topbar|toolbar|comments?|commentlist|replies|reply|responses|discussion|disqus|respond|share|sharing|social"
     r"|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widgets?|pagination|pager"
     r"|skip|disclaimer|tags|byline|teasers?)(?:$|[\s_-]|\d)", re.IGNORECASE)
-# Of these, the names that are beyond doubt inside an article.
-_NAMES_INSIDE = re.compile(
+# Of these, the names that may be of the text inside an article: its own sections
+# are called like this too, other blocks are not.
+_SECTION_NAMES = re.compile(
     r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|tions|s)?"
     r"|cookies?|sidebars?|comments?|commentlist|disqus|share|sharing|newsletter)(?:$|[\s_-]|\d)", re.IGNORECASE)
 # A whole class name that marks an article as something beside the main one.
@@ -103,7 +111,8 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.stack = [_Open("", False, False, 0, False, False)]
-        self.open: dict[str, int] = {}  # open elements by tag
+        self.places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
+        self.menus: list[int] = []  # places of open menus and page headers
         self.parents = [-1]  # of each region; the page is region 0
         self.held: list[str] = []
         self.tags = self.linked = 0
@@ -119,23 +128,18 @@ class _Lines(HTMLParser):
         block = tag in _BLOCKS
         if tag in _CONTENT:
             # A menu or page header cannot hold the article: it was not closed.
-            for i, o in enumerate(self.stack):
-                if o.tag in ("nav", "header") and not o.content:
-                    self.end_line()
-                    self._cut(i)
-                    break
+            if self.menus:
+                self.end_line()
+                self._cut(self.menus[0])
         if block:
             self.end_line()
             if tag in _ENDS_P:
                 self._close("p", _BLOCKS - _HEADINGS)
         if tag in _ENDS:
             ends, until = _ENDS[tag]
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag in until:
-                    break
-                if self.stack[i].tag in ends:
-                    self._cut(i)
-                    break
+            at = self._last(ends)
+            if at > self._last(until):
+                self._cut(at)
         self.tags += 1
         if tag in _VOID:
             if tag == "br":
@@ -150,8 +154,10 @@ class _Lines(HTMLParser):
             skip = skip or any(_ASIDE_ARTICLE.fullmatch(c) for c in called.split())
         elif tag == "main":
             skip = False
+        elif tag in _CONTROLS:
+            skip = skip or not self.places.get("p")
         elif block and tag not in _HEADINGS and tag not in ("body", "html"):
-            skip = skip or bool((_NAMES_INSIDE if top.content else _NAMES).search(called))
+            skip = skip or bool((_SECTION_NAMES if top.content and tag == "section" else _NAMES).search(called))
             skip = skip or not top.content and bool(_HEADER_NAMES.search(called))
         # A page header goes; of an article's header the headings stay.
         skip = skip or tag == "header" and not top.content
@@ -161,7 +167,9 @@ class _Lines(HTMLParser):
         if not top.content and (tag in _CONTENT or tag in _CONTAINERS):
             self.parents.append(region)
             region = len(self.parents) - 1
-        self.open[tag] = self.open.get(tag, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in ("nav", "header") and not content:
+            self.menus.append(len(self.stack))
         self.stack.append(_Open(tag, skip, muted, region, content, top.link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
@@ -170,19 +178,19 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _cut(self, at: int) -> None:
-        for o in self.stack[at:]:
-            self.open[o.tag] -= 1
-        del self.stack[at:]
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+        while self.menus and self.menus[-1] >= at:
+            self.menus.pop()
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of ``tags``; 0 when there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
     def _close(self, tag, until=frozenset()) -> None:
-        if not self.open.get(tag):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self._cut(i)
-                return
-            if self.stack[i].tag in until:
-                return
+        at = self._last([tag])
+        if at and at > self._last(until - {tag}):
+            self._cut(at)
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -202,8 +210,9 @@ class _Lines(HTMLParser):
 def page_lines(html: str) -> tuple[list[Line], list[int]]:
     """Lines of a page, and the parent of each region."""
     parser = _Lines()
-    for start in range(0, len(html), _FEED):
-        parser.feed(html[start:start + _FEED])
+    parser.feed(html)
+    if parser.rawdata.startswith("<!--"):
+        parser.rawdata = ""  # a comment without an end
     parser.close()
     parser.end_line()
     return parser.lines, parser.parents
@@ -248,11 +257,14 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = LAMBDA) ->
     within = [r == content for r in range(len(parents))]
     for r in range(content + 1, len(parents)):
         within[r] = within[parents[r]]
-    # All of the region counts, short lines too; of regions inside it only
-    # lists of links are left out.
-    return "\n\n".join(
-        lines[i].text for i in with_text
-        if lines[i].region == content or within[lines[i].region] and (i in core or not _is_list_of_links(lines[i])))
+    # All of the region counts, short lines too, but for runs of links that are
+    # not in a cluster throughout.
+    kept = []
+    for links, run in itertools.groupby((i for i in with_text if within[lines[i].region]), key=lambda i: _is_list_of_links(lines[i])):
+        run = list(run)
+        if not links or min(level[i] for i in run) >= threshold:
+            kept += [lines[i].text for i in run]
+    return "\n\n".join(kept)
 
 
 def _is_list_of_links(line: Line) -> bool:

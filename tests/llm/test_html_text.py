@@ -53,6 +53,14 @@ LONG = "A paragraph of the article that is long enough to be told from menus. "
     (f"<article>{f'<p>{LONG}</p>' * 9}</article><article><p>{LONG}</p></article>", "\n\n".join([LONG.strip()] * 10)),
     (f"<article><div class=article-header><h1>T</h1></div><section class=discussion><p>{LONG}</p></section><p>{LONG}</p><p>a <math>x</math></p></article>",
      f"T\n\n{LONG.strip()}\n\n{LONG.strip()}\n\na x"),
+    *[(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div><p>End.</p></article>", f"{LONG.strip()}\n\nEnd.") for name in (
+        "notice", "related", "tags", "banner", "popup", "social", "subscribe", "breadcrumbs", "discussion", "replies", "comments", "ad")],
+    (f"<article><p>Press <button>Start</button> and <label>wait</label> now.</p><p>{LONG}</p><button>Share</button></article>", f"Press Start and wait now.\n\n{LONG.strip()}"),
+    (f"<article><p>{LONG}</p></article><!-- never closed <p>no</p>", LONG.strip()),
+    (f"<article><p>{LONG}</p><ul><li><a href=/a>One</a><li><a href=/b>Two</a><li><a href=/c>Three</a><li><a href=/d>Four</a><li><a href=/e>Five</a></ul><p>{LONG}</p></article>",
+     f"{LONG.strip()}\n\n{LONG.strip()}"),
+    (f"<article><p>{LONG}</p><p><a href=/a>A paragraph that is a link, among others that are not.</a></p><p>{LONG}</p></article>",
+     f"{LONG.strip()}\n\nA paragraph that is a link, among others that are not.\n\n{LONG.strip()}"),
 ])
 def test_small_pages(page, want):
     assert ht.main_text(page) == want
@@ -70,6 +78,24 @@ def test_broken_markup_is_linear():
     assert time.perf_counter() - start < 10
 
 
+@pytest.mark.parametrize("page", [
+    "<b>" * 20_000 + "<li>x</li>" * 20_000, "<b>" * 20_000 + "<article>x</article>" * 20_000, "<nav>" * 20_000 + "<article>x" * 20_000,
+    "<p>a</p><!-- " + "<p>x</p>" * 1_000_000, "<p>a</p><script>" + "<p>x</p>" * 1_000_000, "<p><b>" * 20_000 + "</p>" * 20_000,
+    "<table><tr>" + "<td><i>x" * 20_000, "<dl>" + "<dt><div>x" * 20_000])
+def test_hostile_pages_are_linear(page):
+    start = time.perf_counter()
+    text = ht.main_text(page)
+    assert time.perf_counter() - start < 6 and "<" not in text
+
+
+def test_smoothing_decides(monkeypatch):
+    """Without the Gaussian a paragraph that is one link is taken for a menu."""
+    page = f"<article><p>{LONG}</p><p><a href=/a>Read on</a></p><p>{LONG}</p></article>"
+    assert "Read on" in ht.main_text(page)
+    monkeypatch.setattr(ht, "smoothed", lambda ratios, sigma=0: list(ratios))
+    assert "Read on" not in ht.main_text(page)
+
+
 def test_smoothing_keeps_a_constant():
     assert ht.smoothed([3.0] * 7) == pytest.approx([3.0] * 7)
 
