@@ -2,25 +2,29 @@
 
 Templates are short licence notices.  Their words, without the commonest words
 of prose, form the licence vocabulary; how many documents hold each is counted
-over all documents.  A file looks up all of its licence words; the template
-postings they meet vote, by inverse document frequency, for (template, start
-of the template in the file), that is position in the file minus position in
-the template.  A start with enough votes is verified: the template's mandatory
-key phrases must stand in the file at that place, a few words apart at most.
+over all documents.  The two words of a template's mandatory key phrases with the
+highest inverse document frequency are its anchors: a text that lacks one cannot
+hold the phrases, so nothing is lost by looking up anchors only.  A file's places
+of the two are intersected by their positions in the template, a few words apart
+at most.  A start that both agree on is verified: the words of the template
+around it must weigh enough, and its key phrases must stand there.
 
 Words are runs of a-z, 0-9 and all characters beyond ASCII, after lower-casing
 A-Z.  Besides, three base phrases are found wherever their words stand
 consecutively.
 
 Defined cases: a null text is an empty text, without words, labels empty and
-score 0; repeated rows are scanned each; further columns do not matter; an
-empty table gives no rows.
+score 0; repeated rows are scanned each; anchors of equal frequency are taken in
+the order of the words; of several starts of a template the best counts; further
+columns do not matter; an empty table gives no rows.  A very long text is one row
+of one task, in linear time and memory of about 100 bytes a word.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -65,6 +69,8 @@ TEMPLATES = [
 COMMON = frozenset("a and any are as at be by for from in is it may of on or the this that to under was with".split())
 
 SLACK = 2
+# Passages of one text that are remembered as tried.
+FORMS = 10_000
 
 _TO_WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -80,20 +86,14 @@ def places(words: list[bytes], phrase: list[bytes], index: dict[bytes, list[int]
 
 
 class Templates:
-    """Postings of the licence vocabulary, with the templates' key phrases."""
+    """The licence vocabulary, with the templates' key phrases and anchors."""
 
     def __init__(self, templates: list[tuple[str, str, list[str]]] = TEMPLATES):
         self.labels = [label for label, _, _ in templates]
         self.words = [words_of(notice) for _, notice, _ in templates]
         self.keys = [[words_of(k) for k in keys] for _, _, keys in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.words):
-            for at, w in enumerate(words):
-                if w.decode() not in COMMON:
-                    self.postings[w].append((t, at))
-        self.vocabulary = frozenset(self.postings)
+        self.vocabulary = frozenset(w for words in self.words for w in words if w.decode() not in COMMON)
         self.base = [(words_of(phrase), label) for phrase, label in BASE]
-        self.wanted = self.vocabulary | {phrase[0] for phrase, _ in self.base}
 
     def weighted(self, idf: dict[bytes, float]) -> None:
         """Weights of the words; what a template needs and what it is worth."""
@@ -101,6 +101,38 @@ class Templates:
         known = [[idf.get(w, 0.0) for w in words if w in self.vocabulary] for words in self.words]
         self.need = [0.999 * sum(sorted(k, reverse=True)[:2]) for k in known]
         self.full = [sum(k) for k in known]
+        # Anchors of a template: (word, its positions in the notice).
+        self.anchors = []
+        for words, keys in zip(self.words, self.keys):
+            held = sorted({w for key in keys for w in key if w in self.vocabulary}, key=lambda w: (-idf.get(w, 0.0), w))[:2]
+            self.anchors.append([(w, [at for at, x in enumerate(words) if x == w]) for w in held])
+        self.wanted = frozenset(w for a in self.anchors for w, _ in a) | {phrase[0] for phrase, _ in self.base}
+
+
+    def weight_at(self, template: int, words: list[bytes], start: int) -> float:
+        """Weight of the notice's words that stand about where it has them."""
+        return sum(
+            self.idf.get(w, 0.0) for at, w in enumerate(self.words[template])
+            if w in self.vocabulary and w in words[max(0, start + at - SLACK):start + at + SLACK + 1])
+
+
+def agreed(anchors: list[tuple[bytes, list[int]]], index: dict[bytes, list[int]]) -> Iterator[int]:
+    """Starts of a template that all its anchors have a place for; places and
+    positions ascend, so each is looked up by bisection."""
+    if not anchors or any(w not in index for w, _ in anchors):
+        return
+    # From the anchor with fewest places in this file; words may be left out or
+    # put in between, so the other may be a few words off.
+    first, *others = sorted(anchors, key=lambda a: len(index[a[0]]) * len(a[1]))
+    for place in index[first[0]]:
+        for start in [place - at for at in first[1]]:
+            if all(any(_near(index[w], start + at) for at in positions) for w, positions in others):
+                yield start
+
+
+def _near(places: list[int], at: int) -> bool:
+    k = bisect_left(places, at - SLACK)
+    return k < len(places) and places[k] <= at + SLACK
 
 
 def document_frequency(docs: DataFrame, templates: Templates) -> tuple[int, dict[bytes, int]]:
@@ -131,27 +163,30 @@ def scan_words(words: list[bytes], t: Templates) -> dict:
     base = [(at, label) for phrase, label in t.base for at in places(words, phrase, index)]
     labels, score = {label for _, label in base}, 1.0 if base else 0.0
 
-    votes: dict[tuple[int, int], float] = defaultdict(float)
-    for w in index:
-        for template, at in t.postings.get(w, ()):
-            for place in index[w]:
-                votes[template, place - at] += t.idf.get(w, 0.0)
-    for (template, start), weight in votes.items():
-        # Words may be left out or put in between, so near starts count too.
-        near = sum(votes.get((template, start + d), 0.0) for d in range(-SLACK, SLACK + 1) if d)
-        if weight + near < t.need[template] or t.labels[template] in labels and score == 1.0:
-            continue
-        span = words[max(0, start - SLACK):start + len(t.words[template]) + SLACK]
-        if all(_holds(span, key) for key in t.keys[template]):
-            labels.add(t.labels[template])
-            score = max(score, min(1.0, (weight + near) / t.full[template]) if t.full[template] else 0.0)
+    for template, label in enumerate(t.labels):
+        tried: set[tuple] = set()  # of texts that repeat a passage, each form once
+        for start in agreed(t.anchors[template], index):
+            if label in labels and score == 1.0:
+                break
+            low = start - SLACK
+            form = (min(low, 0), *words[max(0, low):start + len(t.words[template]) + SLACK])
+            if form in tried:
+                continue
+            if len(tried) >= FORMS:
+                tried.clear()
+            tried.add(form)
+            weight = t.weight_at(template, words, start)
+            if weight >= t.need[template] and all(_holds(form[1:], key) for key in t.keys[template]):
+                labels.add(label)
+                score = max(score, min(1.0, weight / t.full[template]) if t.full[template] else 0.0)
     starts = [at for at, _ in base]
     return {
         "n_words": len(words), "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
         "base_labels": ",".join(sorted({label for _, label in base})), "labels": ",".join(sorted(labels)), "score": score}
 
 
-def _holds(span: list[bytes], key: list[bytes]) -> bool:
+def _holds(span: tuple, key: list[bytes]) -> bool:
+    key = tuple(key)
     return any(span[i:i + len(key)] == key for i in range(len(span) - len(key) + 1))
 
 

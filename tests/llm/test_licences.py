@@ -60,6 +60,36 @@ def test_words_out_of_place_or_without_key_phrase_do_not_count(index):
         assert lc.scan_words(lc.words_of(text), index)["labels"] in ("", "apache-2.0" if "apache license" in text and "2 0" in text else "")
 
 
+def test_anchors_are_the_rarest_key_words(index):
+    t = lc.Templates()
+    t.weighted({w: {b"apache": 9.0, b"version": 1.0, b"license": 2.0}.get(w, 5.0) for w in t.vocabulary})
+    apache = [label for label, _, _ in lc.TEMPLATES].index("apache-2.0")
+    assert [w for w, _ in t.anchors[apache]] == [b"apache", b"0"] or [w for w, _ in t.anchors[apache]] == [b"apache", b"2"]
+    for keys, anchors in zip(t.keys, t.anchors):
+        assert anchors and all(any(w in key for key in keys) for w, _ in anchors)
+
+
+def test_hostile_long_texts():
+    """Two million licence words, in linear time and bounded memory."""
+    import time
+    import tracemalloc
+
+    t = lc.Templates()
+    t.weighted({w: 5.0 for w in t.vocabulary})
+    for text in ("license " * 2_000_000, "mit license " * 1_000_000, "mit the license of " * 250_000 + "General Public License"):
+        words = lc.words_of(text)
+        began = time.time()
+        got = lc.scan_words(words, t)
+        assert time.time() - began < 20 and got["n_words"] == len(words)
+    assert got["base_labels"] == "gpl"
+    words = lc.words_of("license " * 2_000_000)
+    tracemalloc.start()
+    lc.scan_words(words, t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "CC BY cc-by é", "a"), (3, "CC BY cc-by é", "a"), (None, "General Public License", "a"), (4, "w " * 100_000, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, labels string")
