@@ -11,10 +11,15 @@ to one remainder per source.
 Only DataFrame functions are used.  Every draw depends on the documents that
 meet, so that reruns agree.
 
+A row that repeats is one unit with its number n: of n times its fraction the
+whole part is given to as many of them, and what is left is rounded like any
+other unit, so a source made of one row many times meets its target too.
+
 Defined cases: null texts have size 0; null sources are a source, the last in
-order; rows equal in source, doc_id and size are dealt alike, so a repeated
-row takes what its first takes; a source without words has target 0; an empty
-table gives no rows.
+order; rows equal in source, doc_id and size repeat each other, whatever their
+texts, and differ by one copy at most; a source without words has target 0; ties
+in size are ordered by a hash; a very long text is one row; an empty table gives
+no rows; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codesift.llm.common import packed, table, uniform, word_count
-from codesift.operators.ordering import numbered
+from codesift.operators.ordering import numbered, numbered_in_groups
 from codesift.session import durable
 
 WEIGHTS = (5, 2, 1)
@@ -30,6 +35,8 @@ SHARE = 1.5
 MOST = 2.0
 LEAF = 64
 SEED = 7_919
+# Repeats of one row that a task numbers.
+REPEATS = 10_000
 
 
 def source_targets(
@@ -96,23 +103,56 @@ def _fold(units: DataFrame, seed: int) -> DataFrame:
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"), size=word_count())
-    sizes = durable(rows.select("doc_id", "source", "size"))
-    taken = mixed(sizes.distinct(), sizes, **options).where("copies > 0").select("doc_id", "source", "size", "copies")
+    dealt = durable(dealt_copies(durable(rows.select("doc_id", "source", "size")), **options)).where("base + extra > 0")
     same = (
         F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source"))
         & (F.col("r.size") == F.col("t.size")))
-    rows = rows.alias("r").join(taken.alias("t"), same).select("r.row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return rows.select("row.*")
-
 
-def mixed(rows: DataFrame, sizes: DataFrame, leaf: int = LEAF, seed: int = SEED, **targets) -> DataFrame:
-    """``rows(doc_id, source, size)`` with source_size, target and the number of
-    copies; ``sizes`` holds every row that counts for the sources."""
+    def held(some: DataFrame) -> DataFrame:
+        return rows.alias("r").join(some.alias("t"), same)
+
+    once = held(dealt.where("n = 1")).select("r.row", (F.col("t.base") + F.col("t.extra")).alias("copies"))
+    # Which of the repeats take one more is of no account; they are numbered by
+    # a draw that is written down, in as many chunks as they need.
+    key = ["doc_id", "source", "size"]
+    again = held(dealt.where("n > 1")).select("r.*", "t.n", "t.base", "t.extra")
+    again = durable(again.withColumn("_draw", F.rand(SEED)))
+    chunk = F.floor(F.col("_draw") * F.ceil(F.col("n") / REPEATS)).cast("long")
+    again = numbered_in_groups(again.withColumn("source", F.struct("source")).withColumn("doc_id", F.struct("doc_id")), key, ["_draw"], chunk, "_k")
+    again = again.select("row", (F.col("base") + F.when(F.col("_k") <= F.col("extra"), 1).otherwise(0)).alias("copies"))
+    return once.unionByName(again).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+
+def mixed(sizes: DataFrame, leaf: int = LEAF, seed: int = SEED, **targets) -> DataFrame:
+    """Every row of ``sizes(doc_id, source, size)`` with source_size, target and
+    its number of copies."""
+    dealt = dealt_copies(sizes, leaf, seed, **targets)
+    kinds = F.array(*[
+        F.struct(copies.alias("copies"), times.alias("times"))
+        for copies, times in ((F.col("base") + 1, F.col("extra")), (F.col("base"), F.col("n") - F.col("extra")))])
+    rows = dealt.select("doc_id", "source", "size", "source_size", "target", F.inline(kinds)).where("times > 0")
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))
+    many = rows.where(F.col("times") > REPEATS).select("*", F.explode(chunks).alias("_chunk")).repartition("doc_id", "_chunk")
+    many = many.withColumn("times", F.least(F.col("times") - F.col("_chunk") * REPEATS, F.lit(REPEATS))).drop("_chunk")
+    rows = rows.where(F.col("times") <= REPEATS).unionByName(many)
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_k", "times")
+
+
+def _whole() -> Column:
+    """How many of n rows surely take one copy more."""
+    return F.when(F.col("n") == 1, F.lit(0).cast("long")).otherwise(F.floor(F.col("n") * F.col("part") + 1e-9).cast("long"))
+
+
+def dealt_copies(sizes: DataFrame, leaf: int = LEAF, seed: int = SEED, **targets) -> DataFrame:
+    """The distinct rows of ``sizes(doc_id, source, size)`` with their number n,
+    source_size and target: each is copied ``base`` times, and ``extra`` of the n
+    once more."""
     goals = durable(source_targets(sizes, **targets))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = goals.withColumn("base", F.floor(ratio).cast("long")).withColumn("part", ratio - F.col("base"))
 
-    units = sizes.distinct().withColumn("bin", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
+    rows = durable(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+    units = rows.withColumn("bin", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
     # Leaves of a source follow the size: each bin has as many as it needs.
     bins = units.groupBy("source", "bin").agg(F.ceil(F.count("*") / leaf).alias("leaves"))
     before = Window.partitionBy("source").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
@@ -125,7 +165,7 @@ def mixed(rows: DataFrame, sizes: DataFrame, leaf: int = LEAF, seed: int = SEED,
     mix = F.xxhash64(F.lit(seed), "doc_id", "size")
     units = units.withColumn("mix", mix).select(
         "source", (F.col("start") + F.pmod(F.col("mix"), F.col("leaves"))).alias("leaf"),
-        F.struct("size", "mix", "doc_id", F.col("part").alias("p")).alias("unit"))
+        F.struct("size", "mix", "doc_id", F.greatest(F.col("n") * F.col("part") - _whole(), F.lit(0.0)).alias("p")).alias("unit"))
 
     level, settled = _fold(units, seed), []
     while True:
@@ -149,12 +189,12 @@ def mixed(rows: DataFrame, sizes: DataFrame, leaf: int = LEAF, seed: int = SEED,
 
     same = same_source & F.col("s.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("s.size") == F.col("u.size"))
     out = rows.alias("u").join(extra.alias("s"), same).select("u.*", "s.extra").alias("u")
-    out = out.join(goals.alias("s"), same_source).select("u.*", "source_size", "target", "base")
-    return out.withColumn("copies", F.col("base") + F.col("extra")).drop("base", "extra")
+    out = out.join(goals.alias("s"), same_source).select("u.*", "source_size", "target", "base", "part")
+    return out.withColumn("extra", F.col("extra") + _whole()).drop("part")
 
 
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
     sizes = durable(docs)
-    return mixed(sizes, sizes).select(
+    return mixed(sizes).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

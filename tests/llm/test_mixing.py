@@ -50,7 +50,7 @@ def test_many_units_round_to_their_sum(spark):
     rows = spark.range(20_000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"),
         (F.col("id") % 400 + 1).alias("size"))
-    got = mx.mixed(rows, rows, leaf=16).groupBy("source").agg(
+    got = mx.mixed(rows, leaf=16).groupBy("source").agg(
         F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
     for r in got:
         assert r["most"] <= 2 and abs(r["taken"] / r["target"] - 1) < 0.01
@@ -62,12 +62,31 @@ def test_odd_rows(spark):
     out = mx.repeated(docs)
     assert out.columns == docs.columns
     got = [tuple(r) for r in out.collect()]
-    assert set(got) <= set(rows) and got.count(rows[2]) % 2 == 0
+    # Repeats are two documents: none takes more than two copies.
+    assert set(got) <= set(rows) and got.count(rows[2]) <= 4
     assert mx.repeated(docs.where("false")).count() == 0
     nothing = docs.where("doc_id < 3").select("doc_id", "source", F.lit(0).cast("long").alias("size"))
-    assert [r["target"] for r in mx.mixed(nothing, nothing).collect()] == [0.0, 0.0]
+    assert [r["target"] for r in mx.mixed(nothing).collect()] == [0.0, 0.0]
 
 
 def test_plan_is_native(spark):
     plan = mx.op7_pivotal_mix(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_row_many_times_meets_its_target(spark):
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("hot").alias("source"), F.lit(100).cast("long").alias("size"))
+    cold = spark.range(3_000).select((F.col("id") + 100).alias("doc_id"), F.lit("cold").alias("source"), (F.col("id") % 50 + 1).alias("size"))
+    other = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(40).cast("long").alias("size"))
+    rows = hot.unionByName(cold).unionByName(other).repartition(8)
+    got = mx.mixed(rows).groupBy("source").agg(
+        F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"),
+        F.max("size").alias("largest"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"hot": 100_000, "cold": 3_000, None: 5_000}
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= r["largest"] and r["most"] <= 2
+        assert r["source"] == "cold" or r["most"] - r["least"] <= 1
+    docs = rows.select("doc_id", "source", F.repeat(F.lit("w "), F.col("size").cast("int")).alias("text"))
+    taken = mx.repeated(docs).groupBy("source").agg(F.count("*").alias("rows")).collect()
+    want = {r["source"]: r["taken"] / r["largest"] for r in got if r["source"] != "cold"}
+    assert {r["source"]: r["rows"] for r in taken if r["source"] != "cold"} == want
