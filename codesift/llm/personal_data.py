@@ -374,8 +374,11 @@ def personal_spans(docs: DataFrame, sample: int = SAMPLE, cut: float = 0.5) -> D
     model = estimate(counts)
     total = sum(c[2] for c in counts)
     share = min(1.0, sample / max(total, 1))
-    pick = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "c.start", "c.kind"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    chosen = each.where(pick).select("doc_id", "c.start", "c.kind", "c.votes", "c.features").collect()
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "c.start", "c.kind"), F.lit(1 << 30))
+    picked = each.select(draw.alias("draw"), "doc_id", "c.start", "c.kind", "c.votes", "c.features").where(F.col("draw") < F.lit(int(share * (1 << 30))))
+    # Repeats of a row draw alike: each candidate counts once, and no more than
+    # the sample comes to the driver.
+    chosen = picked.distinct().orderBy(*picked.columns).limit(sample).collect()
     chosen.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["start"], r["kind"]))
     weights, bias = fit([(list(r["features"]), model.posterior(r["kind"], list(r["votes"]))) for r in chosen])
 
