@@ -78,11 +78,13 @@ def _holds(condition, held: set[int]) -> bool:
 def candidate_rules(files: DataFrame, conditions: Sequence[Condition], keep: Sequence[str]) -> DataFrame:
     """``keep, text, rule_no`` for every rule a text may match, by number."""
     columns = [*keep, "text"]
-    index = files.sparkSession.sparkContext.broadcast(RuleIndex(conditions))  # the catalogue, which the driver holds
+    # The catalogue, which the driver holds, as plain tuples.
+    catalogue = files.sparkSession.sparkContext.broadcast(list(conditions))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = RuleIndex(catalogue.value)
         for batch in batches:
-            found = [index.value.candidates(t.as_py() or "") for t in batch.column("text")]
+            found = [index.candidates(t.as_py() or "") for t in batch.column("text")]
             some = np.flatnonzero([bool(f) for f in found])
             if len(some):
                 kept = batch.take(pa.array(some))
