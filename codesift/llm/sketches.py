@@ -107,8 +107,11 @@ _ARROW = pa.schema([
 _DEALT = pa.schema([
     ("part", pa.int64()), ("guest", pa.bool_()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("text", pa.binary())])
 _FLUSH = 4 << 20
-RANGE_BYTES = 16 << 20
-MOST_RANGES = 100_000
+# Bytes of a range, with so many for a row beside its text; ranges and keys
+# tried for each, which the driver holds.
+RANGE_BYTES = 4 << 20
+ROW_BYTES = 1 << 10
+MOST_RANGES = 20_000
 _TRIED = 20
 
 
@@ -116,8 +119,8 @@ def range_starts(keys: DataFrame) -> list[tuple]:
     """First keys of ranges of about equal size in the order of ``keys(last,
     doc_id, tie, size)``.  Each is the key of a row, the first the smallest.
 
-    Their number follows the bytes of the table up to ``MOST_RANGES``; ranges
-    are read as streams, so larger ones need no more memory.
+    Their number follows the bytes and rows of the table up to ``MOST_RANGES``;
+    ranges are read as streams, so larger ones need no more memory.
     """
     key = F.struct("last", "doc_id", "tie")
     seen = keys.agg(F.min(key).alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
@@ -142,7 +145,7 @@ def beside_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select(
         F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("tie"), "text")
-    starts = range_starts(body.select("last", "doc_id", "tie", F.octet_length("text").cast("long").alias("size")))
+    starts = range_starts(body.select("last", "doc_id", "tie", (F.octet_length("text") + F.lit(ROW_BYTES)).cast("long").alias("size")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -182,7 +185,8 @@ def beside_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
 
     dealt = body.mapInArrow(deal, "part bigint, guest boolean, last boolean, doc_id bigint, tie bigint, text binary")
     order = ["part", "guest", "last", "doc_id", "tie"]
-    return dealt.repartition("part").sortWithinPartitions(*order).select("part", "guest", "doc_id", "text").mapInArrow(run, _OUT)
+    # A range is a task: no two share one by chance.
+    return dealt.repartitionById(max(1, len(starts)), F.col("part").cast("int")).sortWithinPartitions(*order).select("part", "guest", "doc_id", "text").mapInArrow(run, _OUT)
 
 
 def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
