@@ -65,22 +65,38 @@ def _why(error: Exception) -> str:
 def listed(uri: str) -> tuple[list[str], list[tuple[str, int | None]], str | None]:
     """Folders and files (address and size) of a folder, or why it cannot be
     listed; a file without a size cannot be looked at."""
+    folders, files = [], []
     try:
         fs, where = filesystem(uri)
-        entries = fs.get_file_info(pafs.FileSelector(where, recursive=False))
+        if uri.startswith("file:"):
+            entries = [(e.name, *_local(e)) for e in os.scandir(where)]
+        else:
+            found = fs.get_file_info(pafs.FileSelector(where, recursive=False))
+            entries = [(e.base_name, e.type == pafs.FileType.Directory, e.size if e.type == pafs.FileType.File else None) for e in found]
     except (OSError, pa.ArrowException) as e:
         return [], [], _why(e)
-    folders, files = [], []
-    for e in sorted(entries, key=lambda e: e.base_name):
-        address = f"{uri.rstrip('/')}/{e.base_name}"
-        if e.type == pafs.FileType.Directory:
-            if not (uri.startswith("file:") and os.path.islink(e.path)):
-                folders.append(address)
+    for name, is_folder, size in sorted((e for e in entries if e[1] is not None), key=lambda e: e[0]):
+        address = f"{uri.rstrip('/')}/{name}"
+        if is_folder:
+            folders.append(address)
         else:
-            files.append((address, e.size if e.type == pafs.FileType.File else None))
+            files.append((address, size))
     return folders, files, None
 
 
+def _local(entry: os.DirEntry) -> tuple[bool | None, int | None]:
+    """Whether an entry is a folder (None for a link to one) and its size; a
+    link that leads nowhere is a file without a size."""
+    if entry.is_symlink() and os.path.isdir(entry.path):
+        return None, None
+    if entry.is_dir(follow_symlinks=False):
+        return True, None
+    try:
+        return False, entry.stat().st_size
+    except OSError:
+        return False, None
+
+
 @dataclass
 class Share(InputPartition):
     """A folder with all below it (``deep``), or one of ``ways`` shares of the
@@ -123,7 +139,7 @@ class _Reader(DataSourceReader):
                 name = address.rsplit("/", 1)[1]
                 if self.glob and not fnmatch.fnmatchcase(name, self.glob):
                     continue
-                if part.ways == 1 or zlib.crc32(name.encode()) % part.ways == part.share:
+                if part.ways == 1 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % part.ways == part.share:
                     yield address, size, None
             if part.deep:
                 todo += folders
@@ -142,7 +158,9 @@ class _Reader(DataSourceReader):
                     size = len(content)
                 except (OSError, pa.ArrowException) as e:
                     error = _why(e)
-            rows.append({"path": address, "length": size, "content": content, "error": error})
+            # Names that are not UTF-8 are shown with U+FFFD.
+            shown = address.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+            rows.append({"path": shown, "length": size, "content": content, "error": error})
             held += len(content or b"")
             if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
