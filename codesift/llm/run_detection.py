@@ -124,6 +124,9 @@ def lag_scan(w: np.ndarray) -> list[tuple[int, int, int]]:
             left = x - _equal_ahead(w[:x][::-1], w[q:x + q][::-1])
             done = right + 1
             length = right + q - left
+            # Equal at every q-th word, but not in between: no stretch of four.
+            if x + 3 * q >= left + length:
+                continue
             if length >= max(LEAST_WORDS, LEAST_PERIODS * q):
                 out.append((left, length, q))
                 np.maximum(inside[left:left + length], left + length, out=inside[left:left + length])
