@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codesift.functions import text as tx
 from codesift.operators.match import Rule, expand_matches, find_matches
-from codesift.operators.trigrams import Condition, condition_of, gram_of, grams_in, grams_of
+from codesift.operators.trigrams import Condition, condition_of, gram_of, grams_of
 from codesift.session import local_table
 
 # The helpers travel with the job, so executors need no installed package.

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codesift.operators import facts as fx, report
+from codesift.operators import report
 from codesift.operators.fact_store import FactStore
 from codesift.plans.checks import code as cc
 from codesift.plans.checks.common import CODE, CODE_LINE, DOCS, FLOW, Check, pattern_found
