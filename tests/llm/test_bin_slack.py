@@ -1,6 +1,5 @@
 """Pieces against the tokenizer, sequences against their limit and brute force."""
 
-import itertools
 import random
 import zlib
 from collections import Counter
