@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codesift.llm.common import packed, table, uniform, word_count
 from codesift.operators.ordering import numbered, numbered_in_groups
-from codesift.session import durable
+from codesift.session import durable, durable_counted
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -111,16 +111,22 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     def held(some: DataFrame) -> DataFrame:
         return rows.alias("r").join(some.alias("t"), same)
 
-    once = held(dealt.where("n = 1")).select("r.row", (F.col("t.base") + F.col("t.extra")).alias("copies"))
+    def copied(some: DataFrame) -> DataFrame:
+        return some.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+    once = copied(held(dealt.where("n = 1")).select("r.row", (F.col("t.base") + F.col("t.extra")).alias("copies")))
+    many, n_many = durable_counted(dealt.where("n > 1"))
+    if n_many == 0:
+        return once  # no row repeats: the texts are joined once
     # Which of the repeats take one more is of no account; they are numbered by
     # a draw that is written down, in as many chunks as they need.
     key = ["doc_id", "source", "size"]
-    again = held(dealt.where("n > 1")).select("r.*", "t.n", "t.base", "t.extra")
+    again = held(many).select("r.*", "t.n", "t.base", "t.extra")
     again = durable(again.withColumn("_draw", F.rand(SEED)))
     chunk = F.floor(F.col("_draw") * F.ceil(F.col("n") / REPEATS)).cast("long")
     again = numbered_in_groups(again.withColumn("source", F.struct("source")).withColumn("doc_id", F.struct("doc_id")), key, ["_draw"], chunk, "_k")
     again = again.select("row", (F.col("base") + F.when(F.col("_k") <= F.col("extra"), 1).otherwise(0)).alias("copies"))
-    return once.unionByName(again).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    return once.unionByName(copied(again))
 
 
 def mixed(sizes: DataFrame, leaf: int = LEAF, seed: int = SEED, **targets) -> DataFrame:
