@@ -17,6 +17,8 @@ What keeps it whole and even:
 * Equal suffixes of a buffer of texts are one line with a count before the
   shuffle, so a passage with thousands of copies is light; a frequent leading
   word is split at its second, third or fourth word.
+* The lines of a range travel compressed and a task turns each buffer's lines
+  into word numbers as they come, so it never holds the text of its range.
 * A phrase that an end of a range begins with can lie on both sides of it; such
   phrases (at most six a range) are counted apart and added up, all others are
   complete in their range.
@@ -59,6 +61,8 @@ SCALE = 2_000_000
 BUFFER = 8 << 20
 RANGE = 1_000_000
 ENDS = 40
+# Suffixes whose lines are spelt out at a time.
+SPELT = 100_000
 
 # Byte classes: white space inside a piece, ends of a piece, the rest is words.
 _BLANKS = b"\x20\x09"
@@ -68,6 +72,15 @@ _CLASS[list(_BLANKS)] = 1
 _CLASS[list(_STOPS)] = 2
 
 
+def _coded(strings: pa.LargeBinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The sorted distinct ``strings``, and the number of each among them."""
+    coded = strings.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()] if len(strings) else np.empty(0, np.int32)
+
+
 class Words:
     """The words of some bytes: numbers into their sorted vocabulary, and for
     each the number of words from it to the end of its piece."""
@@ -81,12 +94,7 @@ class Words:
         offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
         n = len(starts)
         plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])])
-        coded = plain.dictionary_encode()
-        order = pc.array_sort_indices(coded.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        self.vocabulary = coded.dictionary.take(pa.array(order))
-        self.ids = rank[coded.indices.to_numpy()] if n else np.empty(0, np.int32)
+        self.vocabulary, self.ids = _coded(plain)
         # Stops before a word number its piece; the numbers ascend.
         piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
         self.left = np.searchsorted(piece, piece, "right") - np.arange(n)
@@ -151,9 +159,9 @@ def three_way(rows: np.ndarray, counts: np.ndarray, least: int) -> list[tuple[np
             for f in found]
 
 
-def _phrases(words: Words, rows: np.ndarray, length: int) -> pa.Array:
+def _phrases(vocabulary: pa.Array, rows: np.ndarray, length: int) -> pa.Array:
     """Space-joined first ``length`` words of suffixes."""
-    columns = [words.vocabulary.take(pa.array(rows[:, k])) for k in range(length)]
+    columns = [vocabulary.take(pa.array(rows[:, k])) for k in range(length)]
     return pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))
 
 
@@ -233,13 +241,42 @@ def _below(words: Words, rows: np.ndarray, ends: list[tuple[bytes, ...]]) -> np.
     return np.array(out, np.int64)
 
 
-_ROUTED = "part int, lang string, lines binary, counts binary"
+_ROUTED = "part int, lang string, size int, lines binary, counts binary"
 _COUNTED = "lang string, phrase binary, n_words int, n bigint, whole boolean"
 
 
+def _lines(shown: pa.Array, rows: np.ndarray) -> pa.Buffer:
+    """Suffixes as lines of text; ``shown`` has the words behind an empty one."""
+    columns = [shown.take(pa.array(rows[:, k] + 1)) for k in range(LONGEST)]
+    lines = pc.binary_join_element_wise(*columns, pa.array([b"\n"] * len(rows), pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+    offsets = np.frombuffer(lines.buffers()[1], np.int64, len(rows) + 1, 8 * lines.offset)
+    return lines.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+
+
+def _read(lines: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of some lines, and the suffix that each line is."""
+    words = Words(lines)
+    # Each line is a piece, and begins with a suffix.
+    return words.vocabulary, words.suffixes(np.flatnonzero(np.concatenate(([True], words.left[:-1] == 1))))
+
+
+def _united(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Suffixes of several vocabularies in one; ``parts`` is used up."""
+    vocabulary, ids = _coded(pa.concat_arrays([v for v, _ in parts]))
+    out = np.empty((sum(len(r) for _, r in parts), LONGEST), np.int32)
+    end, at = len(ids), len(out)
+    while parts:
+        own, rows = parts.pop()
+        # Beyond the end of a piece there is no word: -1 takes the last number.
+        number = np.append(ids[end - len(own):end], np.int32(-1))
+        out[at - len(rows):at] = number[rows]
+        end, at = end - len(own), at - len(rows)
+    return vocabulary, out
+
+
 def _route(docs: DataFrame, ends: list[tuple]) -> DataFrame:
     """Distinct suffixes of each buffer as lines of text, per range."""
-    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("lines", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("lines", pa.binary()), ("counts", pa.binary())])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, data in _buffers(batches, BUFFER):
@@ -250,15 +287,14 @@ def _route(docs: DataFrame, ends: list[tuple]) -> DataFrame:
             here = [e[1:] for e in ends[low:] if e[0] == lang]
             cuts = np.concatenate(([0], _below(words, rows, here), [len(rows)]))
             shown = pa.concat_arrays([pa.array([b""], pa.large_binary()), words.vocabulary])
-            columns = [shown.take(pa.array(rows[:, k] + 1)) for k in range(LONGEST)]
-            lines = pc.binary_join_element_wise(*columns, pa.array([b"\n"] * len(rows), pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
-            offsets = np.frombuffer(lines.buffers()[1], np.int64, len(rows) + 1, 8 * lines.offset) if len(rows) else [0]
-            body = lines.buffers()[2] if len(rows) else b""
+            del words
             for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if a < b:
-                    text = memoryview(body)[int(offsets[a]):int(offsets[b])].tobytes()
-                    yield pa.RecordBatch.from_pylist(
-                        [{"part": low + k, "lang": lang, "lines": text, "counts": counts[a:b].astype("<u4").tobytes()}], schema=schema)
+                for i in range(a, b, SPELT):
+                    j = min(i + SPELT, b)
+                    text = _lines(shown, rows[i:j])
+                    yield pa.RecordBatch.from_pylist([{
+                        "part": low + k, "lang": lang, "size": len(text), "lines": pa.compress(text, "zstd", asbytes=True),
+                        "counts": counts[i:j].astype("<u4").tobytes()}], schema=schema)
 
     return _texts(docs).mapInArrow(route, _ROUTED)
 
@@ -283,35 +319,30 @@ def _counted(routed: DataFrame, ends: list[tuple], least: int) -> DataFrame:
             [pa.array([lang] * k, pa.string()), phrases.cast(pa.binary()), pa.array([length] * k, pa.int32()),
              pa.array(n, pa.int64()), pa.array([whole] * k, pa.bool_())], schema=schema)
 
-    def finish(part: int, lang: str, lines: list[bytes], counts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words = Words(b"".join(lines))
-        number = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
-        # Each line is a piece, and begins with a suffix.
-        first = np.flatnonzero(np.concatenate(([True], words.left[:-1] == 1)))
-        rows = words.suffixes(first)
+    def finish(part: int, lang: str, vocabulary: pa.Array, rows: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
         border = _border(lang, part, ends)
         for phrase in sorted(border):
-            ranks = _ranks(words.vocabulary, list(phrase))
+            ranks = _ranks(vocabulary, list(phrase))
             if all(there for _, there in ranks):
                 n = int(number[(rows[:, :len(phrase)] == [r for r, _ in ranks]).all(axis=1)].sum())
                 if n:
                     yield batch_of(lang, pa.array([b" ".join(phrase)], pa.large_binary()), len(phrase), [n], False)
         for length, (at, n) in enumerate(three_way(rows, number, least)):
             if len(at):
-                phrases = _phrases(words, rows[at], length)
+                phrases = _phrases(vocabulary, rows[at], length)
                 inner = np.array([tuple(p.split(b" ")) not in border for p in phrases.to_pylist()])
                 yield batch_of(lang, phrases.filter(pa.array(inner)), length, n[inner], True)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], tuple[list, list]] = {}
         for batch in batches:
-            for part, lang, lines, counts in columns_of(batch, "part", "lang", "lines", "counts"):
+            for part, lang, size, lines, counts in columns_of(batch, "part", "lang", "size", "lines", "counts"):
                 kept = held.setdefault((part, lang), ([], []))
-                kept[0].append(lines)
-                kept[1].append(counts)
+                kept[0].append(_read(pa.decompress(lines, size, "zstd", asbytes=True)))
+                kept[1].append(np.frombuffer(counts, "<u4"))
         while held:
-            (part, lang), (lines, counts) = held.popitem()
-            yield from finish(part, lang, lines, counts)
+            (part, lang), (parts, counts) = held.popitem()
+            yield from finish(part, lang, *_united(parts), np.concatenate(counts).astype(np.int64))
 
     return routed.mapInArrow(sort, _COUNTED)
 

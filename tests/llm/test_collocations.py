@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import oracle
@@ -63,3 +64,16 @@ def test_cut_ties_and_containment(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert co.collocations(docs).count() == 0
+
+
+def test_a_range_is_read_piece_by_piece():
+    rng = random.Random(7)
+    pieces = [b"".join(sorted(b" ".join(rng.choices([b"w%d" % i for i in range(3000)], k=rng.randrange(2, 5))) + b"\n" for _ in range(5000))) for _ in range(20)]
+    words, rows = co._read(b"".join(pieces))
+    tracemalloc.start()
+    vocabulary, got = co._united([co._read(p) for p in pieces])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert vocabulary == words and (got == rows).all()
+    # The numbers of the words, once in pieces and once in all, not some ten times the text.
+    assert peak < 2.5 * sum(map(len, pieces)), peak
