@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from codesift.operators import report
 from codesift.operators.flow import reachable
 from codesift.operators.ordering import next_in_groups, numbered, numbered_in_groups
 
@@ -61,3 +62,18 @@ def test_reachable_in_chains_of_any_length(spark):
     starts = spark.createDataFrame([(3,), (60,)], "node long")
     want = {i: i - 3 for i in range(3, 60)} | {i: i - 60 for i in range(60, 101)} | {300: 48}
     assert {r["node"]: r["depth"] for r in reachable_in_chains(df, starts).collect()} == want
+
+
+def test_findings_are_found_once_for_the_sort(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def level(i):
+        seen.add(1)
+        return ("Low", "High", "Medium")[i % 3]
+
+    rows = spark.range(100).select(
+        F.udf(level, "string")("id").alias("severity"), F.lit("f").alias("file"), F.col("id").alias("file_id"), F.lit(1).alias("line"),
+        F.lit("r").alias("rule_id"), F.lit(0).alias("match_no"))
+    got = [r["severity"] for r in report.severity_sort(rows).collect()]
+    assert got == ["High"] * 33 + ["Medium"] * 33 + ["Low"] * 34
+    assert seen.value == 100
