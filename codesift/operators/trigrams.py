@@ -5,10 +5,12 @@ condition of ANDs and ORs.  The index answers it from postings alone; only the
 candidates' texts are read, and the regex itself decides on them, so the rows are
 those of a full scan.  A regex that implies nothing scans all texts.
 
-``write_index`` lays down three tables below a folder:
+``write_index`` lays down four tables below a folder:
 
 * ``texts``, the files, in folders of blocks of about ``BLOCK_BYTES``; a search
   reads the blocks of its candidates and no others,
+* ``sizes(file_id, block, size)``, so that what a search reads is known without
+  opening the blocks,
 * ``postings(gram, block, files)``, ordered by trigram, so that a lookup skips the
   row groups of other trigrams.  A frequent trigram has a row per block and
   batch, never one array over the corpus,
@@ -25,6 +27,7 @@ import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from re import _constants as sre, _parser as parser
 
 import numpy as np
@@ -205,20 +208,24 @@ def rarest(condition: Condition, counts: dict[str, int]) -> Condition:
 
 @dataclass
 class Index:
-    """A written index."""
+    """A written index; its folders, one a block, are listed once."""
 
     spark: SparkSession
     folder: str
 
-    @property
+    @cached_property
     def texts(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/texts")
 
-    @property
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/sizes")
+
+    @cached_property
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/postings")
 
-    @property
+    @cached_property
     def grams(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/grams")
 
@@ -254,7 +261,9 @@ def write_index(files: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -
     texts = spark.read.schema(rows.schema).parquet(f"{folder}/texts")
     held = durable(texts.select("file_id", "block", "text").mapInArrow(_post, _POSTINGS))
     held.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{folder}/postings")
+    texts.select("file_id", "block", "size").write.parquet(f"{folder}/sizes")
     index = Index(spark, folder)
+    index.texts = texts
     index.postings.groupBy("gram").agg(F.sum(F.size("files")).alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/grams")
     return index
 
@@ -313,7 +322,13 @@ def indexed_matches(index: Index, rules: Sequence[Rule], group: Callable[[], Col
 
 def search_cost(index: Index, pattern: str) -> DataFrame:
     """What a search reads, beside the whole corpus: one row."""
-    everything = index.texts.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    read = candidate_files(index, [pattern]).agg(F.count("*").alias("candidates"), F.coalesce(F.sum("size"), F.lit(0)).alias("candidate_bytes"))
+    everything = index.sizes.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    condition = condition_of(pattern)
+    read = index.sizes
+    if condition is not True:
+        # The files that ``candidate_files`` would read.
+        found = durable(candidates(index, condition))
+        read = read.join(found.select("block").distinct(), "block", "left_semi").join(found.select("file_id"), "file_id", "left_semi")
+    read = read.agg(F.count("*").alias("candidates"), F.coalesce(F.sum("size"), F.lit(0)).alias("candidate_bytes"))
     both = everything.withColumn("_one", F.lit(1)).join(read.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return both.select(F.lit(pattern).alias("pattern"), F.lit(condition_of(pattern) is not True).alias("indexed"), "*")
+    return both.select(F.lit(pattern).alias("pattern"), F.lit(condition is not True).alias("indexed"), "*")

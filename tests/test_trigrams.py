@@ -112,3 +112,11 @@ def test_hot_trigrams_have_bounded_rows(spark, tmp_path):
     index = tg.write_index(files, str(tmp_path / "i"), 600)
     rows = index.postings.selectExpr("gram", "block", "size(files) AS n").collect()
     assert len({r["block"] for r in rows}) == 10 and sum(r["n"] for r in rows) == 2000 * 6 and max(r["n"] for r in rows) < 400
+
+
+def test_costs_open_no_block(corpus):
+    _, index = corpus
+    for pattern in (r"zzzeval\(", r"\d"):
+        read = tg.search_cost(index, pattern).inputFiles()
+        assert read and not any("/texts/" in f for f in read)
+    assert index.texts is index.texts and index.sizes.count() == 303
