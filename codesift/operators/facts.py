@@ -149,6 +149,25 @@ _FACTS_OF = {
 }
 
 
+# Fields without a node that has facts or leads to one.
+_PLAIN = {"ctx", "op", "ops", "id", "attr", "arg", "module", "level", "kind", "names", "type_comment", "conversion", "is_async", "simple"}
+_FIELDS = {c: tuple(f for f in c._fields if f not in _PLAIN) for c in vars(ast).values()
+           if isinstance(c, type) and issubclass(c, ast.AST) and c is not ast.Constant and getattr(c, "_fields", None)}
+
+
+def _children(node: ast.AST) -> list[ast.AST]:
+    """Child nodes in source order, as ``ast.iter_child_nodes`` has them, but
+    for names, operators and the like."""
+    out = []
+    for field in _FIELDS.get(type(node), ()):
+        value = getattr(node, field, None)
+        if isinstance(value, list):
+            out += [v for v in value if isinstance(v, ast.AST)]
+        elif isinstance(value, ast.AST):
+            out.append(value)
+    return out
+
+
 def context_names() -> frozenset[str]:
     """Last name parts of the calls, imports and variables that the built-in
     rules and sinks ask for; only such facts carry their context."""
@@ -168,6 +187,7 @@ def file_facts(text: str, names: frozenset[str] = frozenset()) -> list[dict]:
     lines = text.split("\n")
     prefixes = tuple(names)
     out, newest, stack, long = [], {}, [tree], {}
+    any_long = len(text) > INLINE and max(map(len, lines)) > INLINE
 
     def around(at: int) -> str:
         return "\n".join(lines[max(0, at - 3):at + 2])
@@ -176,7 +196,7 @@ def file_facts(text: str, names: frozenset[str] = frozenset()) -> list[dict]:
         """The fact's line and, on request, the lines around it; long ones
         are left to the row of the line."""
         code = lines[at - 1] if at <= len(lines) else ""
-        if any(len(x) > INLINE for x in (lines[max(0, at - 3):at + 2] if near else [code])):
+        if any_long and any(len(x) > INLINE for x in (lines[max(0, at - 3):at + 2] if near else [code])):
             long[at] = long.get(at, False) or near
         else:
             fact["code"] = code
@@ -205,7 +225,7 @@ def file_facts(text: str, names: frozenset[str] = frozenset()) -> list[dict]:
             if kind not in ("string", "branch"):
                 place(fact, at, near)
             out.append(fact)
-        stack.extend(reversed(list(ast.iter_child_nodes(node))))
+        stack.extend(reversed(_children(node)))
     for at, near in sorted(long.items()):
         out.append({"kind": "line", "seq": len(out), "line": at, "code": lines[at - 1], "context": around(at) if near else None})
     return out

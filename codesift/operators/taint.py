@@ -271,7 +271,9 @@ def _paths(file_id: int, rows: list[tuple]) -> list[tuple]:
 
 def _with_steps(hits: DataFrame, tainted: DataFrame) -> DataFrame:
     """``hits`` with all ``steps`` from the origin to the sink.  They are built
-    from the parents, for the variables of hits only."""
+    from the parents, for the variables of hits only.  The hits are read three
+    times, so they are written down."""
+    hits = durable(hits)
     none = F.lit(None)
     wanted = hits.select("file_id", F.col("tainted_variable").alias("var")).distinct()
     held = tainted.join(wanted.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.lit(False).alias("wanted"), "var", "parent", "origin", "line")

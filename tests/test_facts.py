@@ -110,3 +110,18 @@ def test_interval_join_over_many_bins(files):
     assert [(r["call"], r["line"]) for r in rows if r["function"] == "small"] == [("inner", 403)]
     edges = flow.flow_edges(flow.flow_nodes(facts)).collect()
     assert len([e for e in edges if e["function"] == "big"]) == 402
+
+
+def test_children_are_those_of_ast_in_their_order():
+    source = open(fx.__file__).read() + "\nmatch x:\n    case [1, *y, {'k': z}] if y: print(f'{z!r:>{w}}')\nasync def g(a, /, b: int = f(), *c, **d):\n    async with p() as q: [i async for i in q if i for j in r]\ntype T[U] = list[U]\n"
+    facts = lambda children: [
+        (type(n).__name__, n.lineno, n.col_offset) for n in walked(ast.parse(source), children) if type(n) in fx._FACTS_OF]
+
+    def walked(tree, children):
+        stack = [tree]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(reversed(list(children(node))))
+
+    assert facts(fx._children) == facts(ast.iter_child_nodes) and len(facts(fx._children)) > 400

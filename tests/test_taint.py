@@ -94,3 +94,19 @@ def test_one_long_line(files):
     hits = taint.taint_to_sinks(facts, taint.taint_sources(facts), self_hits=True)
     assert [(r["tainted_variable"], r["code"] == text) for r in hits.collect()] == [("q", True)]
     assert [r["code"] == text for r in fx.dangerous_calls(facts).collect()] == [True]
+
+
+def test_hits_are_found_once_for_their_steps(spark, files):
+    facts = fx.fact_table(files({"a.py": "q = request.args.get('a')\nz = 1\nr = q\ncursor.execute(r)\n"}))
+    tainted = taint.taint_propagate(facts)
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(line):
+        seen.add(1)
+        return line
+
+    hits = taint.taint_to_sinks(facts, tainted)
+    n = hits.count()
+    marked = hits.withColumn("line", F.udf(mark, "int")("line"))
+    edges = taint.trace_edges(marked, tainted).collect()
+    assert n and len(edges) >= 2 * n and seen.value == n
