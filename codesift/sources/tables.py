@@ -18,11 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _files(df: DataFrame, file_id: Column, path: Column, text: Column) -> DataFrame:
-    rows = df.select(file_id.cast("long").alias("file_id"), path.alias("path"), text.alias("text"))
-    rows = rows.select(
+    # Spread before paths and texts are made, so that all cores make them.
+    rows = spread(df.withColumn("file_id", file_id.cast("long")))
+    rows = rows.select("file_id", path.alias("path"), text.alias("text"))
+    return rows.select(
         "file_id", "path", tx.extension(F.col("path")).alias("ext"),
         F.length("text").cast("long").alias("size"), "text")
-    return spread(rows)
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

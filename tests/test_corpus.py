@@ -239,3 +239,12 @@ def test_a_source_is_written_as_many_files(spark, tmp_path):
     files = list(folder.rglob("*.txt"))
     assert max(f.stat().st_size for f in files) <= 50 * 101 and len(files) >= 12
     assert sum(f.read_text().count("\n") for f in files) == 600
+
+
+def test_generated_texts_are_made_by_all_cores(spark):
+    from conftest import SF
+    from codesift.sources import tables
+
+    plan = tables.flow_files(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    made, read = plan.split("RepartitionByExpression")
+    assert "AS text" in made and "AS text" not in read and "p_name" not in read.split("Relation")[0]
